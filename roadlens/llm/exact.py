@@ -10,6 +10,7 @@ from roadlens.llm.common import content
 from roadlens.session import fresh_path, saved
 
 #: Characters that normalising deletes: fixed values of the contract.
+NO_ID = (1 << 63) - 1
 DELETED = " \t\n\x0b\x0c\r"
 
 
@@ -77,8 +78,8 @@ def exact_classes(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of equal texts, repeated rows included once."""
-    classes = exact_classes(docs).where("kept").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.length(content()).desc(), F.xxhash64(content()))
-    staying = docs.join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi")
-    return staying.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place")
+    """The rows of ``docs`` that stay: one of each group of equal texts, repeated rows once."""
+    staying = exact_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    one = Window.partitionBy("_id").orderBy(F.length(content()).desc(), F.xxhash64(content()))
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(staying, "_id", "left_semi")
+    return rows.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place", "_id")

@@ -247,4 +247,10 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "grams"
     )
     found = rows.groupBy("cluster", "i", "j").applyInPandas(_linked_in_blocks(percent), "a long, b long")
-    return saved(found.unionByName(links), "links")
+    return saved(found if links is None else found.unionByName(links), "links")
+
+
+def keep_one(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays."""
+    staying = near_duplicates(docs, percent, size).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id")).distinct()
+    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(staying, "_id", "left_semi").drop("_id")
