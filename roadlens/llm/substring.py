@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadlens.llm.common import content, small_batches
 from roadlens.llm.textarrays import Words, as_bytes, slices
-from roadlens.session import saved
+from roadlens.session import discard, saved
 
 #: Words of an anchor; the smallest anchor hash of a window is the window's route.
 ANCHOR = 5
@@ -248,7 +248,9 @@ def _removed(passages: DataFrame, length: int) -> DataFrame:
     met = passages.select("id", "version", "start", "route", "code").join(firsts, ["route", "code"])
     late = F.filter(F.transform("firsts", lambda first, k: F.when(first < F.col("id"), F.col("start") + k)), lambda k: k.isNotNull())
     met = met.select("id", "version", late.alias("late")).where(F.size("late") > 0)
-    return saved(met.groupBy("id", "version").agg(F.flatten(F.collect_list("late")).alias("removed")), "removed")
+    removed = saved(met.groupBy("id", "version").agg(F.flatten(F.collect_list("late")).alias("removed")), "removed")
+    discard(distinct)
+    return removed
 
 
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
@@ -270,8 +272,10 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     lists = _shared_routes(docs, length)
     release(spark)
     passages = _cut_passages(docs, lists, length)
+    discard(lists)
     release(spark)
     removed = _removed(passages, length)
+    discard(passages)
     release(spark)
     rows = _rows(docs).join(removed, ["id", "version"], "left")
     rows = rows.select("doc_id", F.col("content").cast("binary").alias("content"), "removed", F.lit(length).alias("length"))
