@@ -431,7 +431,7 @@ def w6_chainage(spark, sf):
 
 @query(S + """
     , h AS (SELECT route_id, radians(lat) AS p2, radians(lag(lat) OVER w) AS p1, radians(lon - lag(lon) OVER w) AS dl FROM s WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY route_id ORDER BY pos))
-    SELECT route_id, round(coalesce(sum(2 * 6371000 * asin(sqrt(least(1.0, pow(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * pow(sin(dl / 2), 2))))), 0), 2) AS metres FROM h GROUP BY 1
+    SELECT route_id, round(coalesce(sum(2 * 6371000 * asin(sqrt(pow(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * pow(sin(dl / 2), 2)))), 0), 2) AS metres FROM h GROUP BY 1
 """)
 def w7_haversine_length(spark, sf):
     return geo.path_length(sections(spark, sf).select("route_id", F.col("pos").alias("ord"), "lat", "lon")).select("route_id", F.round("metres", 2).alias("metres"))
