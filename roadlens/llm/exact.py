@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadlens.llm.common import content
-from roadlens.session import fresh_path, saved
+from roadlens.llm.substring import release
+from roadlens.session import discard, fresh_path, saved
 
 #: Characters that normalising deletes: fixed values of the contract.
 NO_ID = (1 << 63) - 1
@@ -47,39 +48,48 @@ def exact_classes(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
     them has kept true.
     """
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", content().alias("content"))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), content().alias("content"))
     keyed = keyed.withColumn("norm", normalised(F.col("content")))
     digest = F.xxhash64("norm") if digest_bits == 64 else F.pmod(F.xxhash64("norm"), F.lit(1 << digest_bits))
-    best = F.struct((-F.length("content")).alias("minus_length"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
+    best = F.struct((-F.length("content")).alias("minus_length"), "id")
     keyed = keyed.select("doc_id", "norm", digest.alias("digest"), best.alias("best"))
     path = fresh_path(spark, "runs")
     flush(keyed.select("digest", "best", F.lit(1).cast("long").alias("n")), path)
-    runs = spark.read.schema("digest long, best struct<minus_length: int, no_id: boolean, doc_id: long>, n long").parquet(path)
+    runs = spark.read.schema("digest long, best struct<minus_length: int, id: long>, n long").parquet(path)
     index = compact(runs, fresh_path(spark, "level"))
-
-    # Byte verification: only digests with several rows have hits; their texts meet the text that stays.
-    several = index.where("n > 1")
-    hits = keyed.join(several.select("digest", F.col("best").alias("entry")), "digest")
-    stays = hits.where(F.col("best").eqNullSafe(F.col("entry"))).groupBy("digest").agg(F.min("norm").alias("stays"))
-    differ = saved(hits.join(stays, "digest").where("norm <> stays").select("digest", "doc_id", "best", "norm"), "clashes")
-    clashed = differ.select("digest").distinct()
+    clashes = _clashes(keyed, index)
+    release(spark)
 
     sha = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
-    rows = keyed.select("doc_id", "digest", sha)
-    plain = rows.join(index, "digest").select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256", "digest")
-    if differ.isEmpty():
-        return plain.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    # Clashing digests: group by the bytes themselves.
-    whole = keyed.join(clashed, "digest", "left_semi")
-    groups = whole.groupBy("norm").agg(F.min("best").alias("entry"), F.count("*").alias("n"))
-    regrouped = whole.join(groups, "norm").select("doc_id", F.col("entry.doc_id").alias("keep_id"), F.col("n").alias("group_size"), sha)
-    out = plain.join(clashed, "digest", "left_anti").drop("digest").unionByName(regrouped)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    plain = keyed.select("doc_id", "digest", sha).join(index, "digest").select("doc_id", F.col("best.id").alias("keep"), F.col("n").alias("group_size"), "text_sha256", "digest")
+    if not clashes.isEmpty():  # clashing digests: group by the bytes themselves
+        whole = keyed.join(clashes, "digest", "left_semi")
+        groups = whole.groupBy("norm").agg(F.min("best").alias("entry"), F.count("*").alias("n"))
+        regrouped = whole.join(groups, "norm").select("doc_id", F.col("entry.id").alias("keep"), F.col("n").alias("group_size"), sha, "digest")
+        plain = plain.join(clashes, "digest", "left_anti").unionByName(regrouped)
+    keep_id = F.nullif("keep", F.lit(NO_ID)).alias("keep_id")
+    return plain.select("doc_id", keep_id, "group_size", F.coalesce("doc_id", F.lit(NO_ID)).eqNullSafe(F.col("keep")).alias("kept"), "text_sha256")
+
+
+def _clashes(keyed: DataFrame, index: DataFrame) -> DataFrame:
+    """Byte verification: digests with a row whose bytes differ from those of the row that stays.
+
+    The text that stays is found by digest and row, so a hot group brings one row; then all rows of digests
+    with several rows meet it, in a join of plain tables that can split a hot digest.
+    """
+    spark = keyed.sparkSession
+    several = saved(index.where("n > 1").select("digest", "best"), "several")
+    stays = saved(keyed.join(several, ["digest", "best"]).groupBy("digest").agg(F.min("norm").alias("stays")), "stays")
+    release(spark)
+    clashes = saved(keyed.join(stays, "digest").where("norm <> stays").select("digest").distinct(), "clashes")
+    discard(several, stays)
+    return clashes
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of equal texts, repeated rows once."""
-    staying = exact_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    one = Window.partitionBy("_id").orderBy(F.length(content()).desc(), F.xxhash64(content()))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(staying, "_id", "left_semi")
-    return rows.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place", "_id")
+    staying = exact_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_sha", F.sha2(normalised(content()).cast("binary"), 256))
+    one = Window.partitionBy("_id", "_sha").orderBy(F.length(content()).desc(), F.xxhash64(content()))
+    rows = rows.join(staying, ["_id", "_sha"], "left_semi")
+    return rows.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place", "_id", "_sha")

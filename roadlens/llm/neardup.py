@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from roadlens.llm.common import components, content, small_batches
 from roadlens.llm.substring import release
 from roadlens.llm.textarrays import Words, as_bytes, mix, slices
-from roadlens.session import saved
+from roadlens.session import discard, saved
 
-#: Collections on each side, and minhashes in a collection.  A table is a pair of collections: 144 tables of
-#: 6 minhashes each from 72 minhashes.  Of a pair with similarity 0.85 all tables miss with chance 2.2e-5.
-COLLECTIONS, HASHES = 12, 3
+#: Collections on each side.  A table is a pair of collections, so 144 tables come from 24 collections.  A
+#: collection has as many minhashes as keep the chance that all tables miss a pair at the threshold below
+#: MISS: three from 0.85 on (2.2e-5), two from 0.78 on (0.80: 9.5e-6), else one.
+COLLECTIONS, MISS = 12, 3e-5
 #: Rounds against centres before the rest is compared block by block, and sets in a block.
 ROUNDS, BLOCK = 3, 200
 SEED = 20_240_501
 
 
+def hashes_for(percent: int) -> int:
+    """Minhashes in a collection."""
+    return next((k for k in (3, 2) if 2 * (1 - (percent / 100) ** k) ** COLLECTIONS <= MISS), 1)
+
+
 def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts of a slice, sorted within each text, and the bounds of each text."""
     hashes = words.hashes()
@@ -46,10 +52,10 @@ def _shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(row, np.arange(words.n_rows + 1))
 
 
-def _signatures(size: int):
+def _signatures(size: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
-        n = 2 * COLLECTIONS * HASHES
+        n = 2 * COLLECTIONS * hashes
         odd = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
         plus = rng.integers(0, 1 << 63, n, np.uint64)
         for batch in batches:
@@ -66,7 +72,7 @@ def _signatures(size: int):
                     d2[some] = np.bitwise_xor.reduceat(mix(grams + np.uint64(SEED)), starts)
                     for c in range(2 * COLLECTIONS):
                         code = np.zeros(len(some), np.uint64)
-                        for k in range(c * HASHES, (c + 1) * HASHES):
+                        for k in range(c * hashes, (c + 1) * hashes):
                             spread = grams * odd[k] + plus[k]
                             spread ^= spread >> np.uint64(32)
                             spread *= odd[k]
@@ -161,7 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     """
     spark = docs.sparkSession
     texts = _texts(docs)
-    signed = texts.mapInArrow(_signatures(size), "doc_id long, n_shingles long, d1 long, d2 long, left array<long>, right array<long>")
+    signed = texts.mapInArrow(_signatures(size, hashes_for(percent)), "doc_id long, n_shingles long, d1 long, d2 long, left array<long>, right array<long>")
     signed = saved(signed, "signatures")
     node_sets = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("owner"), "left", "right")).alias("one")
@@ -172,11 +178,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     sets = _sets_of(docs, nodes, members, size)
     release(spark)
     links = _links(members, sets, percent)
+    discard(sets)
     comp = components(links)
     labels = nodes.select("node", "d1", "d2", "n_shingles").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left")
     least = saved(rows, "labels")
-    names = least.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = saved(least.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     out = least.join(names, "component", "left")
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -250,7 +257,10 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return saved(found if links is None else found.unionByName(links), "links")
 
 
-def keep_one(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays."""
+def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays.
+
+    Five-word shingles and a similarity of 0.8, unless told otherwise.
+    """
     staying = near_duplicates(docs, percent, size).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id")).distinct()
     return docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(staying, "_id", "left_semi").drop("_id")

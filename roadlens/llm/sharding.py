@@ -76,9 +76,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) ->
     base = saved(base.select("doc_id", (F.col("bytes") + OVERHEAD).alias("size"), "text_crc32", "g1", "g2", F.xxhash64("doc_id", "g1", F.lit(7)).alias("h")), "documents")
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     share = total / shards
-    groups = base.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1")
-    linked = saved(base.join(groups.select("g1", "g2"), ["g1", "g2"]), "linked")
-    alone = base.join(groups.select("g1", "g2"), ["g1", "g2"], "left_anti")
+    groups = saved(base.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1").select("g1", "g2"), "groups")
+    linked = saved(base.join(groups, ["g1", "g2"]), "linked")
+    alone = base.join(groups, ["g1", "g2"], "left_anti")
     start = F.pmod("h", F.lit(shards)).cast("int")
     state = saved(linked.groupBy("g1", "g2", "size", start.alias("shard")).agg(F.count("*").alias("n")), "labels")
     state = _propagate(state, shards, share, rounds)

@@ -164,7 +164,7 @@ class SuffixAutomaton:
             if word in self.next[v]:
                 v = self.next[v][word]
                 known += 1
-            while self.length[self.link[v]] >= length:  # the state of the last ``length`` words
+            while v and self.length[self.link[v]] >= length:  # the state of the last ``length`` words
                 v = self.link[v]
                 known = self.length[v]
             if k >= length - 1:
@@ -239,18 +239,23 @@ def _cut_passages(docs: DataFrame, lists: DataFrame, length: int) -> DataFrame:
     return saved(cut.withColumn("code", F.xxhash64("passage")), "passages")
 
 
-def _removed(passages: DataFrame, length: int) -> DataFrame:
-    """Phase 3: of each document, the first words of the windows that a smaller document has."""
-    distinct = saved(passages.groupBy("route", "code", "passage").agg(F.min("id").alias("least")), "distinct")
+def _distinct_passages(passages: DataFrame) -> DataFrame:
+    return saved(passages.groupBy("route", "code", "passage").agg(F.min("id").alias("least")), "distinct")
+
+
+def _answers(distinct: DataFrame, length: int) -> DataFrame:
+    """Phase 3: of each distinct passage, the smallest document of each of its windows."""
     shards = max(1, -(-distinct.count() // SHARD_PASSAGES))
     dealt = distinct.groupBy(F.pmod(F.xxhash64("route", F.lit(1)), F.lit(shards)))
-    firsts = dealt.applyInPandas(_first_documents(length), "route long, code long, firsts array<long>")
+    return saved(dealt.applyInPandas(_first_documents(length), "route long, code long, firsts array<long>"), "firsts")
+
+
+def _removed(passages: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Phase 4: of each document, the first words of the windows that a smaller document has."""
     met = passages.select("id", "version", "start", "route", "code").join(firsts, ["route", "code"])
     late = F.filter(F.transform("firsts", lambda first, k: F.when(first < F.col("id"), F.col("start") + k)), lambda k: k.isNotNull())
     met = met.select("id", "version", late.alias("late")).where(F.size("late") > 0)
-    removed = saved(met.groupBy("id", "version").agg(F.flatten(F.collect_list("late")).alias("removed")), "removed")
-    discard(distinct)
-    return removed
+    return saved(met.groupBy("id", "version").agg(F.flatten(F.collect_list("late")).alias("removed")), "removed")
 
 
 def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
@@ -261,7 +266,7 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     or more documents from small rows.  Phase 2 cuts the runs of windows of such routes as passages; routes of
     very many documents are dealt on by the hash of the whole window.  Phase 3 reduces equal passages to one
     with their smallest doc_id, builds a suffix automaton over each shard's passages, labelled with those ids,
-    streams the passages through it for matching statistics, and joins the answers to the documents.  Words
+    and streams the passages through it for matching statistics.  Phase 4 joins the answers to the documents.  Words
     are compared as bytes, so clashing hashes cost time and change nothing.
 
     Returns doc_id, n_words, n_removed, kept_text (binary; the kept words joined by one space), one row for
@@ -274,8 +279,13 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     passages = _cut_passages(docs, lists, length)
     discard(lists)
     release(spark)
-    removed = _removed(passages, length)
-    discard(passages)
+    distinct = _distinct_passages(passages)
+    release(spark)
+    firsts = _answers(distinct, length)
+    discard(distinct)
+    release(spark)
+    removed = _removed(passages, firsts)
+    discard(passages, firsts)
     release(spark)
     rows = _rows(docs).join(removed, ["id", "version"], "left")
     rows = rows.select("doc_id", F.col("content").cast("binary").alias("content"), "removed", F.lit(length).alias("length"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadlens.llm.common import content, small_batches
 from roadlens.llm.encoder import encoder, tokenizer_version
-from roadlens.session import path_exists
+from roadlens.session import path_exists, saved
 
 
 def _encode(path: str):
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     missed = missed.dropDuplicates(["digest"])
     fresh = missed.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
-    counts = stored_counts(docs, cache_path, version)
+    counts = saved(stored_counts(docs, cache_path, version), "counts")  # a plain table, so that the join can split a hot digest
     return keyed.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes")).join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("digest")).alias("digest")
     )

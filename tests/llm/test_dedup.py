@@ -97,15 +97,15 @@ def test_suffix_automaton():
             assert automaton.stream(words, n) == want
 
 
-def shingles_of(text):
+def shingles_of(text, size=3):
     words = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
 
 
-def brute_near(rows, percent):
-    sets = [shingles_of(r["text"]) for r in rows]
+def brute_near(rows, percent, size=3):
+    sets = [shingles_of(r["text"], size) for r in rows]
     parent = list(range(len(rows)))
 
     def root(x):

@@ -5,6 +5,7 @@ import pytest
 
 from roadlens.llm import common, mixing, neardup, queries, sharding, urls
 from roadlens.llm.mixing import split_quotas
+from test_dedup import words_of
 
 
 def brute_targets(sizes):
@@ -24,7 +25,7 @@ def brute_targets(sizes):
 
 
 def check_mix(docs, rows):
-    want = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in docs.collect())
+    want = Counter((r["doc_id"], r["source"], len(words_of(r["text"]))) for r in docs.collect())
     assert Counter((r["doc_id"], r["source"], r["size"]) for r in rows) == want
     by = defaultdict(list)
     for r in rows:
@@ -52,7 +53,7 @@ def test_mixed_documents(awkward, crowd):
         assert out.columns == docs.columns
         taken = Counter()
         for r in out.collect():
-            taken[r["doc_id"]] += len(r["text"].split())
+            taken[r["doc_id"]] += len(words_of(r["text"]))
         want = Counter()
         for r in mixing.mix(docs, 4).collect():
             want[r["doc_id"]] += r["taken"]

@@ -18,7 +18,7 @@ def test_stages_and_run(spark, small):
     norms = ["".join(words_of(r["text"])) for r in once.collect()]
     assert sorted(norms) == sorted({"".join(words_of(r["text"])) for r in good.collect()})
     distinct = stages["near_dedup"](spark, once, small).cache()
-    want = {key[0] for key in brute_near(once.collect(), 85) if key[3]}
+    want = {key[0] for key in brute_near(once.collect(), 80, 5) if key[3]}
     assert {r["doc_id"] for r in distinct.collect()} == want
     mixed = stages["source_mixing"](spark, distinct, small).cache()
     taken = Counter()
