@@ -212,3 +212,16 @@ def test_delivery_tries_twice(spark):
     rows = spark.createDataFrame([("a", 200), ("b", 404), ("c", 503)], "decision_id string, status int")
     got = {r["decision_id"]: (r["status"], r["attempts"]) for r in sinks.deliver(rows, lambda r: r["status"], pause=0).collect()}
     assert got == {"a": (200, 1), "b": (404, 1), "c": (503, 2)}
+
+
+def test_evaluation_from_texts_to_rows(spark):
+    from roadlens.plans.survey import evaluate, reminders
+
+    docs = [document(n) | {"aufnahme": "2026-02-28T10:00:00", "nicht_ausgewertet": [{"foto": "x", "grund": "y"}]} for n in SHARES] + [{"schema": "other"}]
+    raw = spark.createDataFrame([(str(k), json.dumps(d)) for k, d in enumerate(docs)], "doc string, json string")
+    s = evaluate(raw, ORIGINS, "https://m/?q=")
+    assert {r["route_id"]: r["decision"] for r in s.export.collect()} == {n: GOLDENS[n][10] for n in SHARES}
+    assert [r["error"] for r in s.quarantine.collect()] == ["schema"]
+    assert {r["rejected"] for r in s.kpis.collect()} == {1}
+    events = reminders(s.decisions, s.routes).collect()
+    assert [r["route_id"] for r in events] == ["gut"] and "DTSTART;VALUE=DATE:20270228" in events[0]["event"]
