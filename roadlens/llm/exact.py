@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadlens.llm.common import content
-from roadlens.llm.substring import release
-from roadlens.session import discard, fresh_path, saved
+from roadlens.session import discard, fresh_path, release, saved
 
 #: Characters that normalising deletes: fixed values of the contract.
 NO_ID = (1 << 63) - 1

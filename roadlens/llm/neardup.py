@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm.common import components, content, small_batches
-from roadlens.llm.substring import release
 from roadlens.llm.textarrays import Words, as_bytes, mix, slices
-from roadlens.session import discard, saved
+from roadlens.session import discard, release, saved
 
 #: Collections on each side.  A table is a pair of collections, so 144 tables come from 24 collections.  A
 #: collection has as many minhashes as keep the chance that all tables miss a pair at the threshold below

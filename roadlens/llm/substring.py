@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.llm.common import content, small_batches
 from roadlens.llm.textarrays import Words, as_bytes, slices
-from roadlens.session import discard, saved
+from roadlens.session import discard, release, saved
 
 #: Words of an anchor; the smallest anchor hash of a window is the window's route.
 ANCHOR = 5
@@ -24,12 +23,6 @@ SHARD_PASSAGES = 20_000
 NO_ID = (1 << 63) - 1
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished phases before the next one."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Windows:
     """The windows of ``length`` words of a slice: first word and route of each."""
 
