@@ -16,6 +16,8 @@ from roadlens.session import saved
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
 #: Documents of a block on average, output shards, seed.
 BLOCK_ROWS, SHARDS, SEED = 256, 16, "mix-1"
+#: Pieces of an output shard that tasks write and shuffle one by one.
+PIECES = 4096
 #: Width of the draw's support in standard deviations; the mass outside is below 1e-20.
 SPREAD = 10
 
@@ -169,8 +171,8 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``: one row a pass, dealt to the output shards and
-    shuffled within them.  A document taken in part keeps its first words, joined by one space."""
+    """The documents of the mix with the columns of ``docs``: one row a pass, dealt to pieces of the output shards
+    (as many as the data need, PIECES a shard at most) and shuffled within them.  A document taken in part keeps its first words, joined by one space."""
     plan = mix(docs, shards)
     names = docs.columns
     same = ["_id", "_version", "_nth"]
@@ -183,4 +185,5 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.withColumn("text", F.when(F.col("_part.words") < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.repartition(shards, "_part.shard").sortWithinPartitions("_part.shard", "_key").select(*names)
+    dealt = rows.repartition("_part.shard", F.pmod("_key", F.lit(PIECES)))
+    return dealt.sortWithinPartitions("_part.shard", "_key").select(*names)
