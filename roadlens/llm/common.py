@@ -14,7 +14,7 @@ from roadlens.session import saved
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that holds whole texts.
-TEXT_ROWS = 2000
+TEXT_ROWS = 1000
 
 
 def content(name: str = "text") -> Column:

@@ -17,7 +17,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 #: Texts are taken in slices of about so many bytes.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
