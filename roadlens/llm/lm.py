@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from roadlens.llm.common import content, small_batches
 from roadlens.llm.quality import _tallied
-from roadlens.llm.textarrays import Words, as_bytes, mix, slices
+from roadlens.llm.textarrays import Words, as_bytes, slices
 from roadlens.session import saved
 
 #: The end token's code.
@@ -23,10 +23,10 @@ END = 0x7E5D_0E5D_0E5D_0E5D
 HEAD = 1 << 20
 #: Classes of words with a trained output, words in a class, and units of the recurrent layer.
 CLASSES, CLASS_WORDS, UNITS = 32, 64, 32
-#: Truncated backpropagation: steps of a window, windows of a passage (state is carried across them), one in
-#: how many passages is trained on, passages of a batch, learning rate.
-STEPS, PASSAGE_WINDOWS, EVERY, BATCH, RATE = 32, 4, 12, 128, 0.01
-#: Streams that are scored side by side, and tokens that a task gathers for them.
+#: Truncated backpropagation: steps of a window (state is carried across the windows of a text), streams that
+#: are trained on side by side, learning rate, and rounds after each of which the tasks' networks are averaged.
+STEPS, BATCH, RATE, ROUNDS = 32, 128, 0.01, 4
+#: Streams that are scored side by side, and tokens that a task gathers for the streams of either kind.
 STREAMS, GATHERED = 256, 3_000_000
 SMOOTH = 0.1
 
@@ -146,11 +146,11 @@ class Network:
     def forward(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray, trace: bool) -> tuple[np.ndarray, list, np.ndarray]:
         """States after each input of a window (steps x streams); ``keep`` is 0 where a text begins."""
         states, saved_steps = np.empty((*inputs.shape, UNITS), np.float32), []
-        x, u = self.p["inputs"], self.p["state"]
+        x, u = self.p["inputs"][inputs], self.p["state"]
         for t in range(len(inputs)):
             if keep is not None:
                 h = h * keep[t][:, None]
-            a, b = x[inputs[t]], h @ u
+            a, b = x[t], h @ u
             gates = _sigmoid(a[:, : 2 * UNITS] + b[:, : 2 * UNITS])
             z, r, bn = gates[:, :UNITS], gates[:, UNITS:], b[:, 2 * UNITS :]
             new = np.tanh(a[:, 2 * UNITS :] + r * bn)
@@ -178,10 +178,12 @@ class Network:
                 out[at] += logits[np.arange(len(at)), places[at] % CLASS_WORDS] - norm
         return out / np.log(10.0)
 
-    def gradient(self, inputs: np.ndarray, places: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradient of the mean log loss of one window, by backpropagation to the window's begin only."""
+    def gradient(
+        self, inputs: np.ndarray, places: np.ndarray, mask: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None
+    ) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradient of the mean log loss of one window, by backpropagation to the begin of the window or text only."""
         steps, streams = inputs.shape
-        states, trace, last = self.forward(inputs, None, h, True)
+        states, trace, last = self.forward(inputs, keep, h, True)
         flat, target, weight = states.reshape(-1, UNITS), places.ravel(), mask.ravel().astype(np.float32)
         weight = weight / max(1.0, float(weight.sum()))
         cls = np.where(target >= 0, target // CLASS_WORDS, CLASSES)
@@ -202,18 +204,19 @@ class Network:
                 back[at] += d @ self.p["word"][c]
         back = back.reshape(steps, streams, UNITS)
         u = self.p["state"]
-        into = np.empty((steps, streams, 3 * UNITS), np.float32)
-        g["state"], later = np.zeros_like(u), np.zeros((streams, UNITS), np.float32)
+        h0, z, r, bn, new = (np.stack(x) for x in zip(*trace, strict=True))
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (h0 - new) * z * (1 - z), bn * r * (1 - r)
+        into, du = np.empty((steps, streams, 3 * UNITS), np.float32), np.empty((steps, streams, 3 * UNITS), np.float32)
+        later = np.zeros((streams, UNITS), np.float32)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, bn, new = trace[t]
             dh = back[t] + later
-            dn = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h0 - new) * z * (1 - z)
-            dr = dn * bn * r * (1 - r)
-            into[t, :, :UNITS], into[t, :, UNITS : 2 * UNITS], into[t, :, 2 * UNITS :] = dz, dr, dn
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            g["state"] += h0.T @ du
-            later = dh * z + du @ u.T
+            dn = dh * to_new[t]
+            into[t, :, :UNITS], into[t, :, UNITS : 2 * UNITS], into[t, :, 2 * UNITS :] = dh * to_z[t], dn * to_r[t], dn
+            du[t, :, : 2 * UNITS], du[t, :, 2 * UNITS :] = into[t, :, : 2 * UNITS], dn * r[t]
+            later = dh * z[t] + du[t] @ u.T
+            if keep is not None:
+                later *= keep[t][:, None]
+        g["state"] = h0.reshape(-1, UNITS).T @ du.reshape(-1, 3 * UNITS)
         flat_inputs = inputs.ravel()
         order = np.argsort(flat_inputs, kind="stable")
         rows, first = np.unique(flat_inputs[order], return_index=True)
@@ -255,46 +258,59 @@ def _network(head: Head) -> Network:
     return Network(counts, head.rest_total)
 
 
-def _train(model):
-    """One task's network, trained from the common start on its passages: (weights, tokens)."""
+def _windows(places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of STEPS steps over every token of whole texts, dealt to BATCH streams: (inputs, places, mask, keep).
+
+    Columns are the streams that still have tokens, always the first ones, so that a state can be carried on.
+    """
+    lengths = np.array([len(p) for p in places])
+    streams = sorted(_streams(lengths, BATCH), key=lambda own: -int(lengths[own].sum()))
+    order = [k for own in streams for k in sorted(own)]
+    target = np.concatenate([places[k] for k in order])
+    begins = np.cumsum([0, *lengths[order][:-1]])
+    inputs = np.empty(len(target), np.int32)
+    inputs[1:] = np.where(target[:-1] >= 0, target[:-1], Network.REST)
+    inputs[begins] = Network.BEGIN
+    keep = np.ones(len(target), np.float32)
+    keep[begins] = 0
+    sizes = np.array([lengths[own].sum() for own in streams])
+    first = np.cumsum(sizes) - sizes
+    for t in range(0, int(sizes[0]), STEPS):
+        live = int(np.count_nonzero(sizes > t))
+        step = t + np.arange(min(STEPS, int(sizes[0]) - t))[:, None]
+        mask = step < sizes[:live]
+        at = np.where(mask, first[:live] + step, 0)
+        yield np.where(mask, inputs[at], Network.REST), np.where(mask, target[at], -1), mask, np.where(mask, keep[at], np.float32(1))
+
+
+def _train(model, weights):
+    """One task's network, trained from the common start on every token of its texts: (weights, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = model.value
         net = _network(head).start()
-        adam, seen, size = Adam(net.p), 0, STEPS * PASSAGE_WINDOWS
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        if weights.value is not None:
+            net.unflat(np.frombuffer(weights.value, "<f4"))
+        adam, seen, gathered = Adam(net.p), 0, 0
+        waiting: list[np.ndarray] = []
 
         def learn() -> None:
-            inputs = np.full((size, len(waiting)), Network.REST, np.int32)
-            places, mask = np.full((size, len(waiting)), -1, np.int32), np.zeros((size, len(waiting)), bool)
-            for k, (a, b) in enumerate(waiting):
-                inputs[: len(a), k], places[: len(b), k], mask[: len(b), k] = a, b, True
-            h = np.zeros((len(waiting), UNITS), np.float32)
-            for t in range(0, size, STEPS):
-                if not mask[t].any():
-                    break
-                g, h = net.gradient(inputs[t : t + STEPS], places[t : t + STEPS], mask[t : t + STEPS], h)
-                adam.step(net.p, g, RATE)
+            h = np.zeros((BATCH, UNITS), np.float32)
+            for inputs, places, mask, keep in _windows(waiting):
+                g, h = net.gradient(inputs, places, mask, h[: inputs.shape[1]], keep)
+                adam.step(net.p, g, RATE * float(mask.sum()) / (STEPS * BATCH))  # every token weighs the same
             waiting.clear()
 
         for batch in batches:
-            marks = batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64)
             texts = as_bytes(batch.column("content"))
             for first, last in slices(texts):
                 tokens, bounds = _tokens(Words(texts, first, last, lower=True))
                 places = head.look_up(tokens)[2]
-                inputs = np.empty(len(places), np.int32)
-                inputs[1:] = np.where(places[:-1] >= 0, places[:-1], Network.REST)
-                inputs[bounds[:-1]] = Network.BEGIN
-                for k in range(last - first):
-                    a, b = int(bounds[k]), int(bounds[k + 1])
-                    n = -(-(b - a) // size)
-                    for part in np.flatnonzero(mix(marks[first + k] + np.arange(n, dtype=np.uint64)) % np.uint64(EVERY) == 0).tolist():
-                        s, e = a + part * size, min(b, a + (part + 1) * size)
-                        waiting.append((inputs[s:e], places[s:e]))
-                        seen += e - s
-                        if len(waiting) == BATCH:
-                            learn()
+                waiting += [places[bounds[k] : bounds[k + 1]] for k in range(last - first)]
+                seen, gathered = seen + len(tokens), gathered + len(tokens)
+                if gathered >= GATHERED:
+                    learn()
+                    gathered = 0
         if waiting:
             learn()
         if seen:
@@ -314,9 +330,9 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()]), pa.array([n], pa.int64())], ["weights", "n"])
 
 
-def _streams(lengths: np.ndarray) -> list[list[int]]:
+def _streams(lengths: np.ndarray, most: int = STREAMS) -> list[list[int]]:
     """Texts dealt to streams, the longest first, each to the shortest stream."""
-    heap = [(0, s) for s in range(min(STREAMS, len(lengths)))]
+    heap = [(0, s) for s in range(min(most, len(lengths)))]
     out: list[list[int]] = [[] for _ in heap]
     for k in np.argsort(-lengths, kind="stable").tolist():
         n, s = heapq.heappop(heap)
@@ -399,8 +415,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """Log-likelihood of each whole text under a unigram base and under a recurrent model.
 
     Both learn from the documents with crc32(doc_id) mod 10 other than 0: token counts from every token, by a
-    shuffle; the network from one passage in EVERY of each of them, in every task from one common start, by
-    truncated backpropagation; the tasks' networks are averaged by the tokens they saw.  The output layer picks
+    shuffle; the network from every token too, by truncated backpropagation with the state carried through each
+    text.  The texts are dealt to ROUNDS rounds; in each, every task starts from one common network, and the
+    tasks' networks are averaged by the tokens they saw.  The output layer picks
     one of CLASSES classes of frequent words and a word of it, or the rest, within which tokens have their
     smoothed frequencies, so the chances of all tokens and of one unknown token add up to one.  Tasks know the
     HEAD most frequent tokens; the others meet their counts in a join.
@@ -415,12 +432,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = saved(train.select("content").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     head = _head(counts)
     model = spark.sparkContext.broadcast(head)  # at most HEAD tokens
-    trained = train.select("content", F.xxhash64("doc_id", F.lit(5)).alias("mark")).mapInArrow(_train(model), "weights binary, n long")
-    summed = saved(trained, "networks").repartition(32).mapInArrow(_add_up, "weights binary, n long").collect()  # at most 32 networks
     weights = None
-    if summed:
-        n = sum(r["n"] for r in summed)
-        weights = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["n"] / n) for r in summed).astype("<f4").tobytes()
+    for k in range(ROUNDS):
+        mine = train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(ROUNDS)) == k).select("content")
+        trained = mine.mapInArrow(_train(model, spark.sparkContext.broadcast(weights)), "weights binary, n long")
+        summed = saved(trained, "networks").repartition(32).mapInArrow(_add_up, "weights binary, n long").collect()  # at most 32 networks
+        if summed:
+            n = sum(r["n"] for r in summed)
+            weights = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["n"] / n) for r in summed).astype("<f4").tobytes()
     scored = rows.mapInArrow(_score(model, spark.sparkContext.broadcast(weights)), SCORED)
     scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     least = int(head.counts.min()) if len(head.counts) else 1 << 62

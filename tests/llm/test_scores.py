@@ -2,6 +2,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -132,6 +133,42 @@ def test_gradient():
         assert g[k][at] == pytest.approx((up - down) / (2 * eps), abs=2e-4)
 
 
+def test_training_reads_every_token_once_and_carries_the_state():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(-1, 100, n) for n in (1, 7, 31, 32, 33, 200, 3, *range(1, 300))]
+    got, net, h = [], network(), np.zeros((lm.BATCH, lm.UNITS), np.float32)
+    chance = 0.0
+    for inputs, places, mask, keep in lm._windows(texts):
+        got.append(places[mask])
+        states, _, h = net.forward(inputs, keep, h[: inputs.shape[1]], False)
+        chance += net.chances(states[mask], places[mask]).sum()
+    assert np.array_equal(np.sort(np.concatenate(got)), np.sort(np.concatenate(texts)))
+    assert chance == pytest.approx(lm.score_texts(net, texts).sum(), rel=1e-4)
+
+
+def test_network_trains_on_every_short_text():
+    rows = [f"word{k % 7} word{k % 11} other{k}" for k in range(500)]
+    words = lm.Words(lm.as_bytes(lm.pa.array(rows)), 0, len(rows), lower=True)
+    tokens, n = np.unique(lm._tokens(words)[0], return_counts=True)
+    head = lm.Head(tokens, n, np.arange(len(tokens), dtype=np.int32), int(n.sum()), len(tokens), 0, 0)
+    out = list(lm._train(SimpleNamespace(value=head), SimpleNamespace(value=None))(iter([lm.pa.RecordBatch.from_arrays([lm.pa.array(rows)], ["content"])])))
+    assert out[0].column("n").to_pylist() == [4 * len(rows)]
+
+
+def test_gradient_stops_at_the_begin_of_a_text():
+    net = network()
+    places = np.random.default_rng(7).integers(0, 100, (6, 1))
+    mask = np.ones((6, 1), bool)
+    keep = np.array([1, 1, 1, 0, 1, 1], np.float32)[:, None]
+    h = np.full((1, lm.UNITS), 0.3, np.float32)
+    both, last = net.gradient(places, places, mask, h, keep)
+    first, _ = net.gradient(places[:3], places[:3], mask[:3], h)
+    second, own = net.gradient(places[3:], places[3:], mask[3:], np.zeros_like(h))
+    assert last == pytest.approx(own)
+    for k in both:
+        assert both[k] == pytest.approx((first[k] + second[k]) / 2, abs=1e-6)
+
+
 def test_output_is_a_distribution_and_state_is_carried():
     net = network()
     states = np.random.default_rng(4).standard_normal((1, lm.UNITS)).astype(np.float32)
