@@ -75,6 +75,26 @@ def test_gibberish_is_rejected_and_clean_text_kept(spark):
     assert kept == set(range(150))
 
 
+def test_short_gibberish_is_rejected_in_every_language(spark):
+    """Texts of 64 to 100 words whose share of unique names varies, and texts of nothing but random letters."""
+    rng = np.random.default_rng(3)
+    rows, clean, bad = [], set(), set()
+    for lang in ("de", "en", "es", "fr"):
+        for _ in range(150):
+            n = int(rng.integers(64, 101))
+            name = rng.random(n) < rng.normal(0.25, 0.06)
+            words = [f"name{rng.integers(1 << 60)}" if x else f"{lang}{rng.integers(60)}" for x in name]
+            clean.add(len(rows))
+            rows.append((len(rows), " ".join(words), lang, "a", 0))
+        for _ in range(3):
+            bad.add(len(rows))
+            rows.append((len(rows), " ".join("".join(rng.choice(list("qxzjk"), 12)) for _ in range(64)), lang, "a", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in quality.quality(docs).where("kept").collect()}
+    assert not kept & bad
+    assert len(kept & clean) >= 0.98 * len(clean)
+
+
 def brute_base(rows):
     train, out = Counter(), []
     held = lambda r: zlib.crc32(str(r["doc_id"]).encode() if r["doc_id"] is not None else b"") % 10 == 0
