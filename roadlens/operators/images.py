@@ -1,7 +1,6 @@
-"""Raster kernels on numpy arrays, applied to Spark's image source in Arrow batches.
+"""Measures of photos, over Spark's image source in Arrow batches.
 
-Only pixels are handled here; typing, thresholds on features and all aggregation are column expressions
-(see signals and kpis).  Kernels are small and take masks or grey rasters.
+Only pixels are handled here; thresholds and all aggregation are column expressions (see signals and kpis).
 """
 
 from __future__ import annotations
@@ -14,12 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.operators.signals import GLARE
+from roadlens.session import ship
 
-#: Rasters are large rows: few of them in a batch.
-IMAGE_ROWS = 16
 GREY = np.array([0.114, 0.587, 0.299])  # weights of blue, green and red
-METRES_A_PIXEL = 0.005
-CRACK_REACH_M = 0.25
 
 
 def grey_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -58,153 +54,6 @@ def photo_measures(images: DataFrame, width: int = 320) -> DataFrame:
                     out.append((r.path, None, None, None, str(e)[:80]))
             yield pd.DataFrame(out, columns=["path", "mean", "glare", "sharpness", "error"])
 
-    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IMAGE_ROWS))
+    ship(images.sparkSession)  # bounds the bytes of a batch
     flat = images.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
     return flat.mapInPandas(run, "path string, mean double, glare double, sharpness double, error string")
-
-
-def labelled(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Connected regions over eight neighbours: labels from 1 in reading order, and their number.
-
-    Labels fall along rows and neighbours until nothing changes, by jumps over the smallest known label.
-    """
-    h, w = mask.shape
-    parent = np.where(mask, np.arange(h * w).reshape(h, w), -1)
-    flat_mask = mask.ravel()
-    links = []
-    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
-        a = mask[: h - dy, max(0, -dx) : w - max(0, dx)]
-        b = mask[dy:, max(0, dx) : w - max(0, -dx)]
-        y, x = np.nonzero(a & b)
-        x = x + max(0, -dx)
-        links.append(np.column_stack([y * w + x, (y + dy) * w + x + dx]))
-    pairs = np.concatenate(links) if links else np.zeros((0, 2), np.int64)
-    root = np.arange(h * w)
-    while len(pairs):
-        a, b = root[pairs[:, 0]], root[pairs[:, 1]]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        if (low == high).all():
-            break
-        np.minimum.at(root, high, low)
-        while (root != root[root]).any():
-            root = root[root]
-    del parent
-    names, inverse = np.unique(root[flat_mask], return_inverse=True)
-    out = np.zeros(h * w, np.int64)
-    out[flat_mask] = inverse + 1
-    return out.reshape(h, w), len(names)
-
-
-def hysteresis(values: np.ndarray, low: float, high: float) -> np.ndarray:
-    """Regions above ``low`` that reach ``high`` somewhere."""
-    labels, n = labelled(values > low)
-    keep = np.zeros(n + 1, bool)
-    keep[np.unique(labels[values > high])] = True
-    keep[0] = False
-    return keep[labels]
-
-
-def filled(mask: np.ndarray) -> np.ndarray:
-    """The mask and what it encloses: background that doesn't touch the border over four neighbours."""
-    outside = np.pad(~mask, 1, constant_values=True)
-    reach = np.zeros_like(outside)
-    reach[0, :] = reach[-1, :] = reach[:, 0] = reach[:, -1] = True
-    while True:
-        wide = reach.copy()
-        wide[1:] |= reach[:-1]
-        wide[:-1] |= reach[1:]
-        wide[:, 1:] |= reach[:, :-1]
-        wide[:, :-1] |= reach[:, 1:]
-        wide &= outside
-        if (wide == reach).all():
-            return ~reach[1:-1, 1:-1]
-        reach = wide
-
-
-def skeleton(mask: np.ndarray) -> np.ndarray:
-    """Centre lines by Zhang and Suen's two alternating deletions (1984)."""
-    m = np.pad(mask, 1).astype(np.int8)
-    ring = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-    h, w = mask.shape
-    changed = True
-    while changed:
-        changed = False
-        for corner in ((0, 2, 4, 6), (0, 2, 6, 4)):
-            n = np.stack([m[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in ring])
-            around, rises = n.sum(axis=0), ((n == 0) & (np.roll(n, -1, axis=0) == 1)).sum(axis=0)
-            north, east, south, west = n[0], n[2], n[4], n[6]
-            if corner == (0, 2, 4, 6):
-                sides = (north * east * south == 0) & (east * south * west == 0)
-            else:
-                sides = (north * east * west == 0) & (north * south * west == 0)
-            gone = (m[1:-1, 1:-1] == 1) & (around >= 2) & (around <= 6) & (rises == 1) & sides
-            if gone.any():
-                m[1:-1, 1:-1][gone] = 0
-                changed = True
-    return m[1:-1, 1:-1].astype(bool)
-
-
-def widened(mask: np.ndarray, radius: int) -> np.ndarray:
-    """All pixels within ``radius`` of the mask."""
-    out, h, w = np.zeros_like(mask), *mask.shape
-    big = np.pad(mask, radius)
-    for dy in range(-radius, radius + 1):
-        reach = int((radius * radius - dy * dy) ** 0.5)
-        row = np.cumsum(np.pad(big[radius + dy : radius + dy + h].astype(np.int32), ((0, 0), (1, 0))), axis=1)
-        out |= row[:, radius + reach + 1 : radius + reach + 1 + w] > row[:, radius - reach : radius - reach + w]
-    return out
-
-
-def region_features(mask: np.ndarray, metres: float = METRES_A_PIXEL) -> pd.DataFrame:
-    """Per region the features that crack typing needs: box, area, skeleton length, branches, direction."""
-    labels, n = labelled(mask)
-    lines = skeleton(mask)
-    neighbours = sum(np.roll(np.roll(np.pad(lines, 1), dy, 0), dx, 1)[1:-1, 1:-1].astype(int) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
-    out = []
-    for k in range(1, n + 1):
-        y, x = np.nonzero(labels == k)
-        sy, sx = np.nonzero(lines & (labels == k))
-        spread = np.linalg.eigh(np.cov(np.vstack([sx, sy]))) if len(sx) > 2 else (np.array([1.0, 1.0]), np.eye(2))
-        vx, vy = spread[1][:, -1]
-        along = (sx - sx.mean()) * vx + (sy - sy.mean()) * vy if len(sx) else np.zeros(1)
-        length = len(sx) * metres * 1.12
-        out.append({
-            "region": k, "box_w_m": (x.max() - x.min() + 1) * metres, "box_h_m": (y.max() - y.min() + 1) * metres, "area_m2": len(x) * metres**2, "skeleton_m": length,
-            "length_m": min(length, 1.15 * (along.max() - along.min() + 1) * metres), "mean_width_m": len(x) * metres**2 / max(length, 1e-9),
-            "branches": int(((neighbours >= 4) & lines & (labels == k)).sum()), "angle": float(np.degrees(np.arctan2(abs(vx), abs(vy)))), "elongation": float(np.sqrt(spread[0][-1] / max(spread[0][0], 1e-6))),
-        })
-    return pd.DataFrame(out)
-
-
-def damage_area(road: np.ndarray, cracks: np.ndarray, nets: np.ndarray, patches: np.ndarray, metres: float = METRES_A_PIXEL) -> tuple[float, float, float]:
-    """Damaged square metres (each once), evaluated square metres, and their share in percent."""
-    near = widened(skeleton(cracks), round(CRACK_REACH_M / metres))
-    hit, all_ = int(((near | nets | patches) & road).sum()), int(road.sum())
-    return hit * metres**2, all_ * metres**2, 100 * hit / all_ if all_ else 0.0
-
-
-def line_response(grey: np.ndarray, mask: np.ndarray, length: int = 31, directions: int = 16) -> np.ndarray:
-    """Largest mean darkness along short lines through each pixel."""
-    dark = np.where(mask, np.maximum(box_mean(grey, 12) - grey, 0), 0)
-    half, best = length // 2, np.zeros_like(dark)
-    big = np.pad(dark, half)
-    h, w = grey.shape
-    for k in range(directions):
-        a = np.pi * k / directions
-        steps = np.unique(np.rint(np.outer(np.arange(-half, half + 1), [np.sin(a), np.cos(a)])).astype(int), axis=0)
-        best = np.maximum(best, sum(big[half + dy : half + dy + h, half + dx : half + dx + w] for dy, dx in steps) / len(steps))
-    return best
-
-
-def box_mean(grey: np.ndarray, radius: int) -> np.ndarray:
-    size = 2 * radius + 1
-    total = np.pad(np.pad(grey, radius, mode="edge").cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    return (total[size:, size:] - total[:-size, size:] - total[size:, :-size] + total[:-size, :-size]) / size**2
-
-
-def rectified(grey: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Grey values at fractional image rows and columns (the ground grid projected into the image)."""
-    y, x = np.clip(rows, 0, grey.shape[0] - 1.001), np.clip(columns, 0, grey.shape[1] - 1.001)
-    i, j = y.astype(int), x.astype(int)
-    a, b = y - i, x - j
-    return (1 - a) * ((1 - b) * grey[i, j] + b * grey[i, j + 1]) + a * ((1 - b) * grey[i + 1, j] + b * grey[i + 1, j + 1])

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -14,11 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _own_folder: dict[str, str] = {}
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that Python workers get: a batch of long texts holds few of them.
+BATCH_BYTES = 16 << 20
+_BATCH_OPTION, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_CLEAN_UP_OPTION = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Make a session ready for Python workers: send them this package, once an application, and bound Arrow batches.
+
+    The bound is BATCH_BYTES, unless the session has set its own.  Operators that start Python workers call this.
+    """
     app = spark.sparkContext.applicationId
+    if spark.conf.get(_BATCH_OPTION) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_OPTION, str(BATCH_BYTES))
     if app in _shipped:
         return
     _shipped.add(app)
@@ -51,10 +58,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Spark deletes the shuffle files of the write once the table stands, since nothing else reads them.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_CLEAN_UP_OPTION)
+    spark.conf.set(_CLEAN_UP_OPTION, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP_OPTION, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table._saved_at = path
     return table
 
@@ -66,17 +82,6 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Between phases: let Spark's context cleaner drop the shuffle files of frames that nothing holds any more.
-
-    The cleaner works behind the garbage collectors of both sides, so they are asked twice.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -81,57 +81,6 @@ def test_json_sources(spark, tmp_path):
     assert routes.existing([str(tmp_path / "a.json"), str(tmp_path / "b.json")]) == [str(tmp_path / "a.json")]
 
 
-def test_regions_and_hysteresis():
-    rng = np.random.default_rng(1)
-    mask = rng.random((40, 50)) < 0.4
-    labels, n = images.labelled(mask)
-    seen, want = {}, np.zeros(mask.shape, int)
-    for y, x in np.argwhere(mask):  # flood by hand
-        if want[y, x]:
-            continue
-        k, stack = len(seen) + 1, [(y, x)]
-        seen[k] = True
-        while stack:
-            a, b = stack.pop()
-            if 0 <= a < 40 and 0 <= b < 50 and mask[a, b] and not want[a, b]:
-                want[a, b] = k
-                stack += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    assert n == len(seen)
-    assert len(set(zip(labels[mask], want[mask], strict=True))) == n
-    values = rng.random((40, 50))
-    kept = images.hysteresis(values, 0.6, 0.95)
-    low = images.labelled(values > 0.6)[0]
-    assert set(np.unique(low[kept])) == set(np.unique(low[values > 0.95]))
-
-
-def test_shapes():
-    ring = np.zeros((30, 30), bool)
-    ring[5:25, 5:25] = True
-    ring[8:22, 8:22] = False
-    assert images.filled(ring).sum() == 400
-    bar = np.zeros((20, 60), bool)
-    bar[8:13, 5:55] = True
-    line = images.skeleton(bar)
-    assert line.sum() <= 50 and (line & ~bar).sum() == 0 and images.labelled(line)[1] == 1
-    dot = np.zeros((21, 21), bool)
-    dot[10, 10] = True
-    wide = images.widened(dot, 5)
-    yy, xx = np.mgrid[:21, :21]
-    assert (wide == ((yy - 10) ** 2 + (xx - 10) ** 2 <= 25)).all()
-    f = images.region_features(bar).iloc[0]
-    assert f["angle"] > 80 and f["box_w_m"] == pytest.approx(0.25)
-    road = np.ones((100, 100), bool)
-    none = np.zeros_like(road)
-    patch = none.copy()
-    patch[:10] = True
-    assert images.damage_area(road, none, none, patch) == (pytest.approx(0.025), pytest.approx(0.25), pytest.approx(10.0))
-    grey = np.full((80, 80), 100.0)
-    grey[40, 10:70] = 20
-    response = images.line_response(grey, np.ones_like(grey, bool))
-    assert response[40, 40] > 5 * response[20, 40]
-    assert images.rectified(grey, np.array([40.0, 39.5]), np.array([40.0, 40.0])).tolist() == [20.0, 60.0]
-
-
 def test_photo_measures(spark):
     dark, sharp = np.full((40, 40, 3), 20, np.uint8), np.zeros((40, 40, 3), np.uint8)
     sharp[::2] = 220
