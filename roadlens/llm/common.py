@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlens.session import saved
+from roadlens.session import discard, saved, ship
 
 #: White space of every contract, and what is a word.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch that holds whole texts.
-TEXT_ROWS = 1000
 
 
 def content(name: str = "text") -> Column:
@@ -22,21 +20,23 @@ def content(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Hand texts to Python in batches of at most TEXT_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+def for_python(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Python workers have this package and get batches bounded in bytes."""
+    ship(df.sparkSession)
     return df
 
 
-def running_totals(rows: DataFrame, group: list[str], spread: str, order: list[str], sums: dict[str, str], bits: int = 8) -> DataFrame:
-    """Sums of the earlier rows of a group, in the order of the 64-bit hash column ``spread``.
+def running_totals(rows: DataFrame, group: list[str], spread: str, order: list[str], sums: dict[str, str], width: int = 64, a_cut: int = 10_000) -> DataFrame:
+    """Sums of the earlier rows of a group, in the order of the hash column ``spread`` of ``width`` bits.
 
-    ``sums`` maps result columns to the summed columns.  A group is cut at the top ``bits`` of the hash,
-    so that a group of any share of the rows is dealt to many tasks: one window adds up the cuts (at most
-    2**bits rows of a group), another runs within each cut.  Group columns must not be null.  ``rows`` is
-    read twice and should be a saved table.
+    ``sums`` maps result columns to the summed columns.  A group is cut by the top bits of the hash, so that a
+    group of any share of the rows is dealt to many tasks: one window adds up the cuts of a group, another
+    runs within each cut.  The number of bits follows the number of rows, for about ``a_cut`` rows a cut of
+    a group that has them all.  Group columns must not be null.  ``rows`` is read three times and should be a
+    saved table.
     """
-    rows = rows.withColumn("_cut", F.shiftright(F.col(spread), 64 - bits))
+    bits = min(width - 1, max(8, (rows.count() // a_cut).bit_length()))
+    rows = rows.withColumn("_cut", F.shiftright(F.col(spread), width - bits))
     keys = [*group, "_cut"]
     cuts = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_cut_{o}") for o, c in sums.items()])
     over_cuts = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,24 +47,37 @@ def running_totals(rows: DataFrame, group: list[str], spread: str, order: list[s
     return out.drop("_cut", *[f"_within_{o}" for o in sums], *[f"_before_{o}" for o in sums])
 
 
+def _smallest(edges: DataFrame, salts: int = 64) -> DataFrame:
+    """The smallest v of each u: (u, m), a saved table.
+
+    Tasks reduce their own rows before the shuffle; what is left of a hub is reduced in two steps.
+    """
+    salted = edges.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(salts)).alias("salt")).agg(F.min("v").alias("m"))
+    return saved(salted.groupBy("u").agg(F.min("m").alias("m")), "least")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), component the smallest node.
 
     Alternating large-star and small-star steps: every node hands its larger neighbours, then its smaller
-    ones, to the smallest node it knows.  Each step is a few shuffles of the edges; hubs are pre-aggregated
-    and their joins can be split.  Ends when the edges form stars.
+    ones, to the smallest node it knows.  Each step is a few shuffles of the edges.  The minima are saved
+    tables, which Spark broadcasts by their known size or joins with a hub split.  Ends when the edges form
+    stars.  The number of steps grows with the logarithm of the longest path; ``rounds`` is far beyond any
+    that 64-bit ids allow, and a caller who sees the error has edges that change between reads.
     """
     now = saved(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _smallest(both)
+        own = F.least("m", "u")
+        large = saved(now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), own.alias("v")).distinct(), "large")
+        discard(now, least)
+        least = _smallest(large)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(large, least)
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
             now.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
         )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlens.llm.common import content, small_batches
+from roadlens.llm.common import content, for_python
 from roadlens.llm.quality import _tallied
 from roadlens.llm.textarrays import Words, as_bytes, slices
 from roadlens.session import saved
@@ -427,7 +427,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     division.  Without any training text all counts are 0.
     """
     spark = docs.sparkSession
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"), (~_training()).alias("held_out"))
+    rows = for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"), (~_training()).alias("held_out"))
     train = rows.where("not held_out")
     counts = saved(train.select("content").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     head = _head(counts)

@@ -139,13 +139,13 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     dealt = sizes.join(stats, "key").withColumn("block", F.pmod("h", "n_blocks"))
     dealt = saved(dealt.withColumn("g", _hash60(F.lit("block"), F.col("key"), F.col("block").cast("string"))), "dealt")
-    placed = running_totals(dealt, ["key"], "g", ["block", "h", "doc_id", "size"], {"before": "size"}, bits=12)
+    placed = running_totals(dealt, ["key"], "g", ["block", "h", "doc_id", "size"], {"before": "size"}, width=60)
     partly = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before"))).cast("long")
     placed = saved(placed.withColumn("partly", partly), "placed")
 
     blocks = placed.groupBy("key", "block", "g", "passes", "n_blocks").agg(F.max(F.when(F.col("partly") > 0, 1).otherwise(0)).cast("long").alias("drawn")).withColumn("one", F.lit(1).cast("long"))
     blocks = saved(blocks, "blocks")
-    ranked = running_totals(blocks, ["key"], "g", ["block"], {"rank": "one", "deck": "drawn"}, bits=12)
+    ranked = running_totals(blocks, ["key"], "g", ["block"], {"rank": "one", "deck": "drawn"}, width=60)
     used = blocks.groupBy("key", "passes").agg(F.sum("one").alias("have"), F.sum("drawn").alias("drawn"))
     quotas = used.select("key", (F.col("passes") * F.col("have") + F.col("drawn")).alias("quota"), "have")
     drawn = split_quotas(quotas.select("key", "quota"), shards)

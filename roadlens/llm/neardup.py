@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import components, content, small_batches
+from roadlens.llm.common import components, content, for_python
 from roadlens.llm.textarrays import Words, as_bytes, mix, slices
-from roadlens.session import discard, release, saved
+from roadlens.session import discard, saved
 
 #: Collections on each side.  A table is a pair of collections, so 144 tables come from 24 collections.  A
 #: collection has as many minhashes as keep the chance that all tables miss a pair at the threshold below
@@ -139,7 +139,7 @@ def _linked_in_blocks(percent: int):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"))
+    return for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"))
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -173,9 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     )
     nodes = saved(node_sets.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n_shingles", "one.owner", "one.left", "one.right"), "nodes")
     members = _members(nodes)
-    release(spark)
     sets = _sets_of(docs, nodes, members, size)
-    release(spark)
     links = _links(members, sets, percent)
     discard(sets)
     comp = components(links)

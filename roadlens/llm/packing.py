@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import content, small_batches
+from roadlens.llm.common import content, for_python
 from roadlens.llm.encoder import encoder
 from roadlens.session import saved
 
@@ -41,7 +41,7 @@ def _cut(path: str, room: int, end_id: int):
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, room: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``room`` ids: only longer documents are cut, and only their first piece may be shorter."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"))
+    rows = for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"))
     return rows.mapInArrow(_cut(tokenizer_path, room, end_id), PIECES)
 
 

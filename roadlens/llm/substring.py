@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import content, small_batches
+from roadlens.llm.common import content, for_python
 from roadlens.llm.textarrays import Words, as_bytes, slices
-from roadlens.session import discard, release, saved
+from roadlens.session import discard, saved
 
 #: Words of an anchor; the smallest anchor hash of a window is the window's route.
 ANCHOR = 5
@@ -210,7 +210,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Documents by an id that is never null, and by the version of their text where ids repeat."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().alias("content"))
+    rows = for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().alias("content"))
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("content").alias("version"), "content")
 
 
@@ -268,18 +268,13 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     """
     spark = docs.sparkSession
     lists = _shared_routes(docs, length)
-    release(spark)
     passages = _cut_passages(docs, lists, length)
     discard(lists)
-    release(spark)
     distinct = _distinct_passages(passages)
-    release(spark)
     firsts = _answers(distinct, length)
     discard(distinct)
-    release(spark)
     removed = _removed(passages, firsts)
     discard(passages, firsts)
-    release(spark)
     rows = _rows(docs).join(removed, ["id", "version"], "left")
     rows = rows.select("doc_id", F.col("content").cast("binary").alias("content"), "removed", F.lit(length).alias("length"))
     return rows.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text binary")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import content, small_batches
+from roadlens.llm.common import content, for_python
 from roadlens.llm.encoder import encoder, tokenizer_version
 from roadlens.session import path_exists, saved
 
@@ -43,7 +43,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     Returns doc_id, n_bytes, n_tokens, over_limit, digest: one row for each input row, repeated rows and null
     doc_ids included.  An empty text has 0 tokens; an empty table gives an empty result.
     """
-    keyed = small_batches(docs).select("doc_id", content().alias("content"))
+    keyed = for_python(docs).select("doc_id", content().alias("content"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
     version = tokenizer_version(tokenizer_path)
     missed = keyed.select("digest", F.col("content").cast("binary").alias("content"))
