@@ -6,20 +6,22 @@ Arrow batches, so that no Python statement runs per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Odd multiplier of the polynomial word hash, its inverse mod 2**64 and the mixing constants.
+#: Odd multiplier of windows of words, and the mixing constants.
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
+#: Key of the word hash; words above LONG_WORD bytes are digested by a cryptographic hash first.
+KEY, LONG_WORD = 0x6A09E667F3BCC909, 256
 #: Texts are taken in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
-
-_powers: dict[int, np.ndarray] = {}
+#: Masks of the lowest 0 to 8 bytes.
+_LOWEST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,16 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_BYTES of text; a longer text has a range of its own."""
     sizes = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -65,7 +57,7 @@ class Words:
     """Words of the rows first..last of a large_binary array.
 
     ``row`` numbers each word's text from 0, ``bounds`` has the first word of each text,
-    ``start`` and ``end`` are byte positions in ``data``.
+    ``start`` and ``end`` are byte positions in ``data``, ``inside`` tells which bytes are in words.
     """
 
     def __init__(self, texts: pa.Array, first: int, last: int, lower: bool = False):
@@ -82,21 +74,29 @@ class Words:
         opens[edges] = inside[edges]
         closes[:-1] &= ~inside[1:]
         closes[edges - 1] = inside[edges - 1]
-        self.data, self.cuts, self.n_rows = data, cuts, last - first
+        self.data, self.cuts, self.inside, self.n_rows = data, cuts, inside, last - first
         self.start = np.flatnonzero(opens)
         self.end = np.flatnonzero(closes) + 1
         self.row = np.searchsorted(cuts, self.start, "right") - 1
         self.bounds = np.searchsorted(self.start, cuts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table(BASE, n), out=total[1:])
-        raw = (total[self.end] - total[self.start]) * _power_table(BASE_INVERSE, n)[self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word: eight bytes at a time go through the mixer, which no polynomial relation passes."""
+        length = self.end - self.start
+        out = mix(length.astype(np.uint64) + np.uint64(KEY))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        for w in np.flatnonzero(length > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.start[w] : self.end[w]], digest_size=8, key=KEY.to_bytes(8, "little")).digest()
+            out[w] = int.from_bytes(digest, "little")
+        at = np.flatnonzero(length <= LONG_WORD) if len(length) and length.max() > LONG_WORD else np.arange(len(length))
+        done = 0
+        while len(at):
+            left = length[at] - done
+            chunk = eights[self.start[at] + done] & _LOWEST[np.minimum(left, 8)]
+            out[at] = mix((out[at] ^ chunk) * np.uint64(BASE))
+            at, done = at[left > 8], done + 8
+        return out
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each window of n words within one text."""

@@ -51,18 +51,107 @@ def test_quality_keeps_rows_whole(awkward, crowd):
         assert not Counter(map(str, rows)) - Counter(map(str, docs.collect()))
 
 
-def test_model_is_a_distribution(spark, crowd):
-    """Chances after a context add up to one, over the vocabulary and the unknown word."""
-    model = quality.fit(crowd)
-    for k in range(0, len(model.contexts), 37):
-        h = np.repeat(model.contexts[k], len(model.symbols))
-        seen = quality._find(model.pairs, model.chances, quality._pair_codes(h, model.symbols), 1.0)
-        lang_shares = 10.0**model.shares
-        rest = 10.0 ** (quality._find(model.contexts, model.weights, h, 0.0)) * lang_shares
-        chance = np.where(seen <= 0, 10.0**seen, rest)
-        # both languages' symbols: shares of each language add up to one, so twice the shared weight at most
-        weight = 10.0 ** model.weights[k]
-        assert chance.sum() == pytest.approx(1 + weight, abs=1e-6) or chance.sum() <= 1 + weight + 1e-6
+def brute_chances(texts):
+    """Interpolated modified Kneser-Ney over byte trigrams, from dictionaries: a function of (a, b, c)."""
+    seen = Counter()
+    for text in texts:
+        stream = b"  " + b"".join(w.encode() + b" " for w in words_of(text))
+        seen.update(stream[i : i + 3] for i in range(len(stream) - 2))
+    pairs, ones = Counter(g[1:] for g in seen), Counter()
+    ones = Counter(g[1:] for g in pairs)
+
+    def discount(counts):
+        n = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        d = [0.5, 0.75, 0.9]
+        if n[0] and n[1]:
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 2 - 3 * y * n[2] / n[1]]
+        d = [min(max(x, quality.LEAST_DISCOUNT), k + 1) for k, x in enumerate(d)]
+        return lambda c: d[min(c, 3) - 1] if c else 0.0
+
+    d3, d2, d1 = discount(seen), discount(pairs), discount(ones)
+    total = sum(ones.values())
+    alone = lambda c: (ones[c] - d1(ones[c])) / total + sum(map(d1, ones.values())) / total / 256
+
+    def level(counts, d, lower):
+        sums, gaps = Counter(), Counter()
+        for g, n in counts.items():
+            sums[g[:-1]] += n
+            gaps[g[:-1]] += d(n)
+
+        def chance(g):
+            h = g[:-1]
+            if h not in sums:
+                return lower(g[1:])
+            return (counts.get(g, 0) - d(counts.get(g, 0))) / sums[h] + gaps[h] / sums[h] * lower(g[1:])
+
+        return chance
+
+    return level(seen, d3, level(pairs, d2, alone))
+
+
+def brute_kept(rows):
+    """Base rules, perplexities and bands, text by text."""
+    models = {lang: brute_chances(r["text"] for r in rows if r["lang"] == lang) for lang in {r["lang"] for r in rows}}
+    measured = []
+    for r in rows:
+        stream = b"  " + b"".join(w.encode() + b" " for w in words_of(r["text"]))
+        logs = [math.log10(models[r["lang"]](stream[i : i + 3])) for i in range(len(stream) - 2)]
+        *_, n, _chars, _marks, _dup, _rep, failed = brute_measures(r)
+        measured.append((r["doc_id"], r["lang"], n, failed, -sum(logs) / len(logs) if logs else None))
+    least = lambda v: sorted(v)[math.ceil(len(v) / 2) - 1]
+    of_bin = lambda n: min(max(math.floor(math.log2(max(n, 1))), quality.FIRST_BIN), quality.LAST_BIN)
+
+    def band(values):
+        middle = least(values)
+        sides = ([middle - v for v in values if v <= middle], [v - middle for v in values if v >= middle])
+        return middle, *(max(1.4826 * least(x), quality.LEAST_DEVIATION) for x in sides)
+
+    out = Counter()
+    for doc, lang, n, failed, x in measured:
+        passing = [m for m in measured if m[1] == lang and not m[3]]
+        own = [m[4] for m in passing if of_bin(m[2]) == of_bin(n)]
+        wider = 1.0 if len(own) >= quality.LEAST_TEXTS else math.sqrt(1 + quality.SHORT / max(n, 1))
+        kept = False
+        if not failed:
+            middle, below, above = band(own if len(own) >= quality.LEAST_TEXTS else [m[4] for m in passing])
+            kept = middle - quality.BAND * below * wider <= x <= middle + quality.BAND * above * wider
+        out[(doc, kept, None if x is None else round(x, 5))] += 1
+    return out
+
+
+@pytest.mark.parametrize("width", [3.5, 0.7])
+@pytest.mark.parametrize("turn_bytes", [192 << 20, 20_000])
+def test_verdicts_against_brute_force(crowd, awkward, monkeypatch, width, turn_bytes):
+    """Also with narrow bands, which cut the crowd, and with one language a turn."""
+    monkeypatch.setattr(quality, "BAND", width)
+    monkeypatch.setattr(quality, "MODEL_BYTES", turn_bytes)
+    for docs in (crowd, awkward):
+        got = quality.quality(docs).collect()
+        want = brute_kept(docs.collect())
+        assert Counter((r["doc_id"], r["kept"], None if r["log_perplexity"] is None else round(r["log_perplexity"], 5)) for r in got) == want
+    assert width > 1 or 10 < sum(n for (_, kept, _), n in brute_kept(crowd.collect()).items() if kept) < 100
+
+
+def test_model_is_a_distribution():
+    """Chances of all bytes add up to one after any context, seen or not."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdeé .,"), 200)) for _ in range(30)]
+    words = quality.Words(quality.as_bytes(lm.pa.array(texts)), 0, len(texts))
+    codes, n = np.unique(quality._trigrams(words)[0], return_counts=True)
+    model = quality.kneser_ney(codes, n)
+    for context in [*model.contexts[::7], np.uint32(0), np.uint32(0xFFFF), np.uint32((200 << 8) | ord("a"))]:
+        chance = 10 ** model.log_chances((np.uint32(context) << np.uint32(8)) + np.arange(256, dtype=np.uint32))
+        assert chance.sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_repeats_survive_polynomial_twins(spark):
+    """The Thue-Morse word and its complement are different words that polynomial hashes modulo 2**64 confuse."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{word} x y {twin} x y", "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert quality.quality(docs).first()["n_repeat_words"] == 0
+    assert Counter((*tuple(r)[:5], round(r["base_score"], 6)) for r in lm.score_documents(docs).collect()) == brute_base(docs.collect())
 
 
 def test_gibberish_is_rejected_and_clean_text_kept(spark):
