@@ -164,24 +164,29 @@ def test_gibberish_is_rejected_and_clean_text_kept(spark):
     assert kept == set(range(150))
 
 
-def test_short_gibberish_is_rejected_in_every_language(spark):
-    """Texts of 64 to 100 words whose share of unique names varies, and texts of nothing but random letters."""
+def test_short_gibberish_and_foreign_texts_are_rejected_in_every_language(spark):
+    """Among the test documents: texts of 64 words of random letters, in capitals, or of another language."""
     rng = np.random.default_rng(3)
-    rows, clean, bad = [], set(), set()
+    real = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect() if len(words_of(r["text"])) >= 64]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in real]
+    bad = {}
     for lang in ("de", "en", "es", "fr"):
-        for _ in range(150):
-            n = int(rng.integers(64, 101))
-            name = rng.random(n) < rng.normal(0.25, 0.06)
-            words = [f"name{rng.integers(1 << 60)}" if x else f"{lang}{rng.integers(60)}" for x in name]
-            clean.add(len(rows))
-            rows.append((len(rows), " ".join(words), lang, "a", 0))
-        for _ in range(3):
-            bad.add(len(rows))
-            rows.append((len(rows), " ".join("".join(rng.choice(list("qxzjk"), 12)) for _ in range(64)), lang, "a", 0))
+        own = [r["text"] for r in real if r["lang"] == lang]
+        other = [w.lower() for r in real if r["lang"] == {"de": "fr", "en": "de", "es": "en", "fr": "en"}[lang] for w in words_of(r["text"])]
+        for k in range(3):
+            letters = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(64))
+            capitals = " ".join(words_of(own[k])[:64]).upper()
+            foreign = " ".join(other[64 * k : 64 * k + 64])
+            for kind, text in (("letters", letters), ("capitals", capitals), ("foreign", foreign)):
+                bad[1_000_000 + len(bad)] = kind, lang
+                rows.append((1_000_000 + len(bad) - 1, text, lang, "a", 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"] for r in quality.quality(docs).where("kept").collect()}
-    assert not kept & bad
-    assert len(kept & clean) >= 0.98 * len(clean)
+    verdicts = quality.quality(docs).where("not base_failed").collect()
+    kept = {r["doc_id"] for r in verdicts if r["kept"]}
+    assert sorted(bad[k] for k in kept & set(bad)) == []
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    good = [r["doc_id"] in kept for r in verdicts if labels.get(r["doc_id"]) == 1]
+    assert sum(good) >= 0.95 * len(good)
 
 
 def brute_base(rows):
