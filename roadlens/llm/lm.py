@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,19 +15,23 @@ from pyspark.sql.window import Window
 from roadlens.llm.common import content, for_python
 from roadlens.llm.quality import _tallied
 from roadlens.llm.textarrays import Words, as_bytes, slices
-from roadlens.session import saved
+from roadlens.session import discard, saved
 
 #: The end token's code.
 END = 0x7E5D_0E5D_0E5D_0E5D
 #: The most frequent tokens that tasks look up themselves; rarer ones meet their counts in a join.
 HEAD = 1 << 20
-#: Classes of words with a trained output, words in a class, and units of the recurrent layer.
-CLASSES, CLASS_WORDS, UNITS = 32, 64, 32
+#: Classes of the most frequent words, whose words have outputs of their own, words in such a class, classes to
+#: which the hash deals all other words (a power of two), and units of the recurrent layer.
+CLASSES, CLASS_WORDS, TAIL, UNITS = 32, 64, 32, 32
 #: Truncated backpropagation: steps of a window (state is carried across the windows of a text), streams that
-#: are trained on side by side, learning rate, and rounds after each of which the tasks' networks are averaged.
+#: are trained on side by side, learning rate, and rounds after each of which the networks are averaged.
 STEPS, BATCH, RATE, ROUNDS = 32, 128, 0.01, 4
-#: Streams that are scored side by side, and tokens that a task gathers for the streams of either kind.
-STREAMS, GATHERED = 256, 3_000_000
+#: Training texts are dealt to buckets of about so many tokens, and to so many buckets a round at most (beyond,
+#: buckets grow).  A bucket trains one network.
+BUCKET_TOKENS, BUCKETS = 1_000_000, 4096
+#: Streams that are scored side by side, and scored texts in a batch.
+STREAMS, SCORED_ROWS = 256, 4096
 SMOOTH = 0.1
 
 
@@ -65,33 +69,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Head:
-    """The frequent tokens, sorted, with their counts and their place in the network's output (-1: the rest)."""
+    """The frequent tokens, sorted, with their counts, and the tail's classes.
+
+    The place of a token is its output among the CLASSES * CLASS_WORDS most frequent ones, or -1 - c for class c
+    of the tail, which is the lowest bits of its code, so that every token of any corpus has a place.
+    """
 
     tokens: np.ndarray
     counts: np.ndarray
     places: np.ndarray
     total: int
     types: int
-    rest_total: int
-    rest_types: int
+    tail_totals: np.ndarray  # of each class of the tail, its training tokens and its distinct ones
+    tail_types: np.ndarray
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + SMOOTH) / (self.total + SMOOTH * (self.types + 1)))
 
-    def in_rest(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + SMOOTH) / (self.rest_total + SMOOTH * (self.rest_types + 1)))
+    def in_tail(self, counts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """log10 chance of tokens within their class of the tail."""
+        c = -1 - places
+        return np.log10((counts + SMOOTH) / (self.tail_totals[c] + SMOOTH * (self.tail_types[c] + 1)))
 
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each token is here, its count and its place."""
+        tail = -1 - (tokens & np.uint64(TAIL - 1)).astype(np.int32)
         if not len(self.tokens):
-            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), np.full(len(tokens), -1, np.int32)
+            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), tail
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
         here = self.tokens[at] == tokens
-        return here, np.where(here, self.counts[at], 0), np.where(here, self.places[at], -1).astype(np.int32)
+        return here, np.where(here, self.counts[at], 0), np.where(here & (self.places[at] >= 0), self.places[at], tail).astype(np.int32)
 
 
 def _head(counts: DataFrame) -> Head:
-    total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    of_class = counts.groupBy(F.col("token").bitwiseAND(TAIL - 1).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
+    totals, types = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
+    for r in of_class:  # TAIL rows at most
+        totals[r["c"]], types[r["c"]] = r["n"], r["types"]
+    total, n_types = int(totals.sum()), int(types.sum())
     by_count = counts.groupBy("n").agg(F.count("*").alias("tokens"))  # as many rows as different counts
     upto = F.sum("tokens").over(Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc()))
     least = by_count.withColumn("upto", upto).where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0]
@@ -102,7 +117,8 @@ def _head(counts: DataFrame) -> Head:
     best = np.lexsort((tokens, -n))[: CLASSES * CLASS_WORDS]
     places = np.full(len(tokens), -1, np.int32)
     places[best] = np.arange(len(best))
-    return Head(tokens, n, places, int(total), int(types), int(total - n[best].sum()), int(types - len(best)))
+    c = (tokens[best] & np.uint64(TAIL - 1)).astype(np.int64)
+    return Head(tokens, n, places, total, n_types, totals - np.bincount(c, n[best], TAIL).astype(np.int64), types - np.bincount(c, minlength=TAIL))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -116,27 +132,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Gated recurrent units; output: a class of words, then a word of the class.  The last class is the rest."""
+    """Gated recurrent units; output: a class of words, then a word of the class.  The last classes are the tail's."""
 
     head_counts: np.ndarray  # of the words by place
-    rest_count: int
+    tail_counts: np.ndarray  # of the classes of the tail
     p: dict[str, np.ndarray] = field(default_factory=dict)
 
-    #: Inputs besides the places: the rest and the begin of a text.
-    REST, BEGIN = CLASSES * CLASS_WORDS, CLASSES * CLASS_WORDS + 1
+    #: Inputs besides the frequent words: the classes of the tail and the begin of a text.
+    WORDS, BEGIN = CLASSES * CLASS_WORDS, CLASSES * CLASS_WORDS + TAIL
+
+    @staticmethod
+    def inputs_of(places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, places, Network.WORDS - 1 - places)
+
+    @staticmethod
+    def classes_of(places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, places // CLASS_WORDS, CLASSES - 1 - places)
 
     def start(self, seed: int = 11) -> Network:
         """Random recurrent weights; outputs that give the tokens' own frequencies."""
         rng = np.random.default_rng(seed)
         n = np.zeros(CLASSES * CLASS_WORDS)
         n[: len(self.head_counts)] = self.head_counts
-        by_class = np.append(n.reshape(CLASSES, CLASS_WORDS).sum(axis=1), self.rest_count) + 0.01
+        by_class = np.append(n.reshape(CLASSES, CLASS_WORDS).sum(axis=1), self.tail_counts) + 0.01
         inside = np.where(n > 0, np.log(np.maximum(n, 1)), -30.0).reshape(CLASSES, CLASS_WORDS)
         normal = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.p = {
             "inputs": normal(self.BEGIN + 1, 3 * UNITS, scale=0.3),
             "state": normal(UNITS, 3 * UNITS, scale=UNITS**-0.5),
-            "class": np.zeros((UNITS, CLASSES + 1), np.float32),
+            "class": np.zeros((UNITS, CLASSES + TAIL), np.float32),
             "class_bias": np.log(by_class / by_class.sum()).astype(np.float32),
             "word": np.zeros((CLASSES, CLASS_WORDS, UNITS), np.float32),
             "word_bias": (inside - inside.max(axis=1, keepdims=True)).astype(np.float32),
@@ -161,11 +185,11 @@ class Network:
         return states, saved_steps, h
 
     def chances(self, states: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each place (-1: of the rest) after each state."""
+        """log10 of the chance of each place (below 0: of a class of the tail) after each state."""
         logits = states @ self.p["class"] + self.p["class_bias"]
         top = logits.max(axis=1)
         norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        cls = np.where(places >= 0, places // CLASS_WORDS, CLASSES)
+        cls = self.classes_of(places)
         out = (logits[np.arange(len(cls)), cls] - norm).astype(np.float64)
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
@@ -186,7 +210,7 @@ class Network:
         states, trace, last = self.forward(inputs, keep, h, True)
         flat, target, weight = states.reshape(-1, UNITS), places.ravel(), mask.ravel().astype(np.float32)
         weight = weight / max(1.0, float(weight.sum()))
-        cls = np.where(target >= 0, target // CLASS_WORDS, CLASSES)
+        cls = self.classes_of(target)
         d = _softmax(flat @ self.p["class"] + self.p["class_bias"])
         d[np.arange(len(cls)), cls] -= 1
         d *= weight[:, None]
@@ -255,114 +279,158 @@ def _network(head: Head) -> Network:
     at = np.flatnonzero(head.places >= 0)
     counts = np.zeros(len(at))
     counts[head.places[at]] = head.counts[at]
-    return Network(counts, head.rest_total)
+    return Network(counts, head.tail_totals)
 
 
-def _windows(places: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows of STEPS steps over every token of whole texts, dealt to BATCH streams: (inputs, places, mask, keep).
+@dataclass
+class Steps:
+    """STEPS steps of the live streams (steps x streams), and the texts that end in it: (stream, steps, key)."""
 
-    Columns are the streams that still have tokens, always the first ones, so that a state can be carried on.
+    inputs: np.ndarray
+    places: np.ndarray
+    mask: np.ndarray
+    keep: np.ndarray  # 0 where a text begins
+    ends: list[tuple[int, int, object]]
+    live: np.ndarray  # rows of the state of the window before that go on
+
+
+def stream_windows(texts: Iterator[tuple[object, np.ndarray]], width: int) -> Iterator[Steps]:
+    """Windows over every token of whole texts, given as (key, places).
+
+    ``width`` streams run side by side; a stream that ends a text goes on with the next one at once, so a long
+    text holds up nothing, and memory holds the texts at hand and one window only.
     """
-    lengths = np.array([len(p) for p in places])
-    streams = sorted(_streams(lengths, BATCH), key=lambda own: -int(lengths[own].sum()))
-    order = [k for own in streams for k in sorted(own)]
-    target = np.concatenate([places[k] for k in order])
-    begins = np.cumsum([0, *lengths[order][:-1]])
-    inputs = np.empty(len(target), np.int32)
-    inputs[1:] = np.where(target[:-1] >= 0, target[:-1], Network.REST)
-    inputs[begins] = Network.BEGIN
-    keep = np.ones(len(target), np.float32)
-    keep[begins] = 0
-    sizes = np.array([lengths[own].sum() for own in streams])
-    first = np.cumsum(sizes) - sizes
-    for t in range(0, int(sizes[0]), STEPS):
-        live = int(np.count_nonzero(sizes > t))
-        step = t + np.arange(min(STEPS, int(sizes[0]) - t))[:, None]
-        mask = step < sizes[:live]
-        at = np.where(mask, first[:live] + step, 0)
-        yield np.where(mask, inputs[at], Network.REST), np.where(mask, target[at], -1), mask, np.where(mask, keep[at], np.float32(1))
+    current: list = [None] * width  # of each stream: [key, places, position]
+    previous = np.full(width, -1, np.int32)
+    live = np.arange(width)
+    more = True
+    while True:
+        n = len(current)
+        target, begins = np.full((n, STEPS), -1, np.int32), np.zeros((n, STEPS), bool)
+        filled, ends = np.zeros(n, np.int64), []
+        for s in range(n):
+            at = 0
+            while at < STEPS:
+                if current[s] is None:
+                    text = next(texts, None) if more else None
+                    if text is None:
+                        more = False
+                        break
+                    current[s] = [text[0], text[1], 0]
+                    begins[s, at] = True
+                key, places, position = current[s]
+                take = min(STEPS - at, len(places) - position)
+                target[s, at : at + take] = places[position : position + take]
+                at += take
+                current[s][2] = position + take
+                if position + take == len(places):
+                    ends.append((s, at, key))
+                    current[s] = None
+            filled[s] = at
+        some = np.flatnonzero(filled)
+        if not len(some):
+            return
+        if len(some) < n:
+            number = np.full(n, -1)
+            number[some] = np.arange(len(some))
+            ends = [(int(number[s]), at, key) for s, at, key in ends]
+            current, live = [current[s] for s in some], live[some]
+            target, begins, filled, previous = target[some], begins[some], filled[some], previous[some]
+        before = np.concatenate([previous[:, None], target[:, :-1]], axis=1)
+        inputs = np.where(begins, Network.BEGIN, Network.inputs_of(before)).astype(np.int32)
+        steps = int(filled.max())
+        mask = np.arange(steps)[None, :] < filled[:, None]
+        previous = target[:, -1].copy()
+        yield Steps(inputs[:, :steps].T, target[:, :steps].T, mask.T, (~begins[:, :steps].T).astype(np.float32), ends, live)
+        live = np.arange(len(current))
+
+
+def train_network(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> int:
+    """Train on every token of the texts; the number of tokens.  Gradients of small windows are gathered first."""
+    adam, seen, gathered, total = Adam(net.p), 0, 0, {}
+    h = np.zeros((BATCH, UNITS), np.float32)
+
+    def step() -> None:
+        nonlocal gathered, total
+        adam.step(net.p, {k: x / np.float32(gathered) for k, x in total.items()}, RATE * gathered / (STEPS * BATCH))  # every token weighs the same
+        gathered, total = 0, {}
+
+    for w in stream_windows(texts, BATCH):
+        g, h = net.gradient(w.inputs, w.places, w.mask, h[w.live], w.keep)
+        n = int(w.mask.sum())
+        seen, gathered = seen + n, gathered + n
+        for k, x in g.items():
+            total[k] = x * np.float32(n) + total[k] if k in total else x * np.float32(n)
+        if 2 * gathered >= STEPS * BATCH:
+            step()
+    if gathered:
+        step()
+    return seen
 
 
-def _train(model, weights):
-    """One task's network, trained from the common start on every token of its texts: (weights, tokens)."""
+def _encode(model):
+    """Texts as places, two bytes each, with the digest that orders them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = model.value
-        net = _network(head).start()
-        if weights.value is not None:
-            net.unflat(np.frombuffer(weights.value, "<f4"))
-        adam, seen, gathered = Adam(net.p), 0, 0
-        waiting: list[np.ndarray] = []
-
-        def learn() -> None:
-            h = np.zeros((BATCH, UNITS), np.float32)
-            for inputs, places, mask, keep in _windows(waiting):
-                g, h = net.gradient(inputs, places, mask, h[: inputs.shape[1]], keep)
-                adam.step(net.p, g, RATE * float(mask.sum()) / (STEPS * BATCH))  # every token weighs the same
-            waiting.clear()
-
         for batch in batches:
             texts = as_bytes(batch.column("content"))
             for first, last in slices(texts):
                 tokens, bounds = _tokens(Words(texts, first, last, lower=True))
-                places = head.look_up(tokens)[2]
-                waiting += [places[bounds[k] : bounds[k + 1]] for k in range(last - first)]
-                seen, gathered = seen + len(tokens), gathered + len(tokens)
-                if gathered >= GATHERED:
-                    learn()
-                    gathered = 0
-        if waiting:
-            learn()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([net.flat().astype("<f4").tobytes()]), pa.array([seen], pa.int64())], ["weights", "n"])
+                places = head.look_up(tokens)[2].astype("<i2")
+                own = [places[bounds[k] : bounds[k + 1]].tobytes() for k in range(last - first)]
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(first, last - first), pa.array(own, pa.binary())], ["h", "places"])
+
+    return run
+
+
+def _started(head: Head, weights: bytes | None) -> Network:
+    net = _network(head).start()
+    return net if weights is None else net.unflat(np.frombuffer(weights, "<f4"))
+
+
+def _train(model, weights):
+    """One network for each bucket, trained from the common start: (bucket, weights, n).  Rows come bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                yield from zip(batch.column("bucket").to_pylist(), (np.frombuffer(p.as_py(), "<i2") for p in batch.column("places")), strict=True)
+
+        for bucket, texts in itertools.groupby(rows(), key=lambda r: r[0]):
+            net = _started(model.value, weights.value)
+            seen = train_network(net, iter(texts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int64()), pa.array([net.flat().astype("<f4").tobytes()]), pa.array([seen], pa.int64())], ["bucket", "weights", "n"]
+            )
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted sum of networks, one at a time."""
-    total, n = None, 0
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted mean of networks, one at a time."""
+    total, n, least = None, 0, None
     for batch in batches:
-        for weights, k in zip(batch.column("weights"), batch.column("n").to_pylist(), strict=True):
+        for bucket, weights, k in zip(batch.column("bucket").to_pylist(), batch.column("weights"), batch.column("n").to_pylist(), strict=True):
             part = np.frombuffer(weights.as_py(), "<f4").astype(np.float64) * k
-            total, n = part if total is None else total + part, n + k
+            total, n, least = part if total is None else total + part, n + k, bucket if least is None else least
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype("<f4").tobytes()]), pa.array([n], pa.int64())], ["weights", "n"])
-
-
-def _streams(lengths: np.ndarray, most: int = STREAMS) -> list[list[int]]:
-    """Texts dealt to streams, the longest first, each to the shortest stream."""
-    heap = [(0, s) for s in range(min(most, len(lengths)))]
-    out: list[list[int]] = [[] for _ in heap]
-    for k in np.argsort(-lengths, kind="stable").tolist():
-        n, s = heapq.heappop(heap)
-        out[s].append(k)
-        heapq.heappush(heap, (n + int(lengths[k]), s))
-    return out
-
-
-def score_texts(net: Network, places: list[np.ndarray]) -> np.ndarray:
-    """log10 chance of whole texts given as places; the state runs through each text, across all windows."""
-    lengths = np.array([len(p) for p in places])
-    streams = _streams(lengths)
-    size = max(int(lengths[s].sum()) for s in streams)
-    inputs, target = np.full((size, len(streams)), Network.REST, np.int32), np.full((size, len(streams)), -1, np.int32)
-    keep, owner = np.ones((size, len(streams)), np.float32), np.full((size, len(streams)), len(places), np.int32)
-    for s, own in enumerate(streams):
-        at = 0
-        for k in own:
-            p, n = places[k], len(places[k])
-            target[at : at + n, s], owner[at : at + n, s] = p, k
-            inputs[at + 1 : at + n, s] = np.where(p[:-1] >= 0, p[:-1], Network.REST)
-            inputs[at, s], keep[at, s] = Network.BEGIN, 0
-            at += n
-    out, h = np.zeros(len(places) + 1), np.zeros((len(streams), UNITS), np.float32)
-    for t in range(0, size, STEPS):
-        states, _, h = net.forward(inputs[t : t + STEPS], keep[t : t + STEPS], h, False)
-        alive = owner[t : t + STEPS].ravel() < len(places)
-        chance = net.chances(states.reshape(-1, UNITS)[alive], target[t : t + STEPS].ravel()[alive])
-        out += np.bincount(owner[t : t + STEPS].ravel()[alive], chance, len(places) + 1)
-    return out[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()]), pa.array([n], pa.int64())], ["bucket", "weights", "n"])
+
+
+def score_texts(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> Iterator[tuple[object, float]]:
+    """(key, log10 chance) of whole texts given as (key, places), as they end; the state runs through each text."""
+    h, sums = np.zeros((STREAMS, UNITS), np.float32), np.zeros(STREAMS)
+    for w in stream_windows(texts, STREAMS):
+        states, _, h = net.forward(w.inputs, w.keep, h[w.live], False)
+        chance = np.zeros(w.mask.shape)
+        chance[w.mask] = net.chances(states[w.mask], w.places[w.mask])
+        upto = np.concatenate([np.zeros((1, chance.shape[1])), np.cumsum(chance, axis=0)])
+        sums, done = sums[w.live], np.zeros(chance.shape[1], np.int64)
+        for s, at, key in w.ends:
+            yield key, float(sums[s] + upto[at, s] - upto[done[s], s])
+            sums[s], done[s] = 0.0, at
+        sums += upto[-1] - upto[done, np.arange(len(done))]
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"
@@ -371,82 +439,90 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double,
 def _score(model, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = model.value
-        net = _network(head).start()
-        if weights.value is not None:
-            net.unflat(np.frombuffer(weights.value, "<f4"))
-        rows: list[tuple] = []
-        places: list[np.ndarray] = []
-        gathered = 0
-
-        def out() -> pa.RecordBatch:
-            chance = score_texts(net, places)
-            whole = [(*r[:5], r[5] + c, r[6]) for r, c in zip(rows, chance.tolist(), strict=True)]
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*whole, strict=True), kinds, strict=True)],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
-            )
 
-        for batch in batches:
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            texts = as_bytes(batch.column("content"))
-            for first, last in slices(texts):
-                tokens, bounds = _tokens(Words(texts, first, last, lower=True))
-                here, counts, place = head.look_up(tokens)
-                base = np.concatenate([[0.0], np.cumsum(np.where(here, head.base(counts), 0.0))])
-                rest = np.concatenate([[0.0], np.cumsum(np.where(here & (place < 0), head.in_rest(counts), 0.0))])
-                known = np.concatenate([[0], np.cumsum(here)])
-                for k in range(last - first):
-                    a, b = int(bounds[k]), int(bounds[k + 1])
-                    tail = tokens[a:b][~here[a:b]].view(np.int64)
-                    rows.append((ids[first + k], held[first + k], b - a, int(known[b] - known[a]), base[b] - base[a], rest[b] - rest[a], tail))
-                    places.append(place[a:b])
-                gathered += len(tokens)
-                if gathered >= GATHERED:
-                    yield out()
-                    rows, places, gathered = [], [], 0
-        if rows:
-            yield out()
+        def texts() -> Iterator[tuple[tuple, np.ndarray]]:
+            for batch in batches:
+                ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+                whole = as_bytes(batch.column("content"))
+                for first, last in slices(whole):
+                    tokens, bounds = _tokens(Words(whole, first, last, lower=True))
+                    here, counts, place = head.look_up(tokens)
+                    within = np.zeros(len(tokens))
+                    rare = here & (place < 0)
+                    within[rare] = head.in_tail(counts[rare], place[rare])
+                    base = np.concatenate([[0.0], np.cumsum(np.where(here, head.base(counts), 0.0))])
+                    within = np.concatenate([[0.0], np.cumsum(within)])
+                    known = np.concatenate([[0], np.cumsum(here)])
+                    for k in range(last - first):
+                        a, b = int(bounds[k]), int(bounds[k + 1])
+                        tail = tokens[a:b][~here[a:b]].view(np.int64)
+                        yield (ids[first + k], held[first + k], b - a, int(known[b] - known[a]), base[b] - base[a], within[b] - within[a], tail), place[a:b]
+
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+        names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"]
+        scored = score_texts(_started(head, weights.value), texts())
+        while rows := [(*r[:5], r[5] + chance, r[6]) for r, chance in itertools.islice(scored, SCORED_ROWS)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Log-likelihood of each whole text under a unigram base and under a recurrent model.
+@dataclass
+class Fitted:
+    """What training leaves: all token counts (a saved table), the frequent ones, and the network's weights."""
 
-    Both learn from the documents with crc32(doc_id) mod 10 other than 0: token counts from every token, by a
-    shuffle; the network from every token too, by truncated backpropagation with the state carried through each
-    text.  The texts are dealt to ROUNDS rounds; in each, every task starts from one common network, and the
-    tasks' networks are averaged by the tokens they saw.  The output layer picks
-    one of CLASSES classes of frequent words and a word of it, or the rest, within which tokens have their
-    smoothed frequencies, so the chances of all tokens and of one unknown token add up to one.  Tasks know the
-    HEAD most frequent tokens; the others meet their counts in a join.
+    counts: DataFrame
+    head: Head
+    weights: bytes | None
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10): one row for each
-    input row.  Null texts are empty: their one token is the end.  A null doc_id counts as empty text in the
-    division.  Without any training text all counts are 0.
+
+def train(docs: DataFrame) -> Fitted:
+    """Learn from the documents with crc32(doc_id) mod 10 other than 0.
+
+    Token counts come from every token, by a shuffle.  The network learns from every token too: texts become
+    sequences of places, which are dealt by hash to buckets of about BUCKET_TOKENS tokens, and the buckets to
+    ROUNDS rounds.  In a round each bucket trains a network from the common start, in hash order of its texts,
+    with truncated backpropagation and the state carried through each text; then the networks are averaged by
+    their tokens.  Nothing depends on how ``docs`` is partitioned.
     """
-    spark = docs.sparkSession
-    rows = for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"), (~_training()).alias("held_out"))
-    train = rows.where("not held_out")
-    counts = saved(train.select("content").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    spark = for_python(docs).sparkSession
+    rows = docs.where(_training()).select(F.xxhash64("doc_id", content(), F.lit(5)).alias("h"), content().cast("binary").alias("content"))
+    counts = saved(rows.select("content").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     head = _head(counts)
     model = spark.sparkContext.broadcast(head)  # at most HEAD tokens
+    a_round = min(BUCKETS, max(1, -(-head.total // (BUCKET_TOKENS * ROUNDS))))
+    buckets = min(a_round * ROUNDS, max(1, head.total // BUCKET_TOKENS))
+    encoded = rows.mapInArrow(_encode(model), "h long, places binary").withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    encoded = saved(encoded, "encoded")
     weights = None
     for k in range(ROUNDS):
-        mine = train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(ROUNDS)) == k).select("content")
-        trained = mine.mapInArrow(_train(model, spark.sparkContext.broadcast(weights)), "weights binary, n long")
-        summed = saved(trained, "networks").repartition(32).mapInArrow(_add_up, "weights binary, n long").collect()  # at most 32 networks
-        if summed:
-            n = sum(r["n"] for r in summed)
-            weights = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["n"] / n) for r in summed).astype("<f4").tobytes()
-    scored = rows.mapInArrow(_score(model, spark.sparkContext.broadcast(weights)), SCORED)
+        mine = encoded.where(F.pmod("bucket", F.lit(ROUNDS)) == k)
+        dealt = mine.repartitionById(a_round, F.floor(F.col("bucket") / ROUNDS).cast("int")).sortWithinPartitions("bucket", "h", "places")
+        networks = saved(dealt.mapInArrow(_train(model, spark.sparkContext.broadcast(weights)), "bucket long, weights binary, n long"), "networks")
+        few = networks.repartition(32, F.pmod(F.col("bucket"), F.lit(32))).sortWithinPartitions("bucket")
+        means = sorted(few.mapInArrow(_mean, "bucket long, weights binary, n long").collect())  # at most 32 networks
+        discard(networks)
+        if means:
+            n = sum(r["n"] for r in means)
+            weights = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["n"] / n) for r in means).astype("<f4").tobytes()
+    discard(encoded)
+    return Fitted(counts, head, weights)
+
+
+def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """Scores of whole texts under a trained model: see score_documents."""
+    spark, head = for_python(docs).sparkSession, fitted.head
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"), (~_training()).alias("held_out"))
+    broadcast = spark.sparkContext.broadcast
+    scored = rows.mapInArrow(_score(broadcast(head), broadcast(fitted.weights)), SCORED)
     scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     least = int(head.counts.min()) if len(head.counts) else 1 << 62
-    tail = scored.select("row", F.explode("tail").alias("token")).join(counts.where(F.col("n") < least), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tail = scored.select("row", F.explode("tail").alias("token")).join(fitted.counts.where(F.col("n") < least), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + SMOOTH) / (head.total + SMOOTH * (head.types + 1)))
-    rest = F.log10((F.col("n") + SMOOTH) / (head.rest_total + SMOOTH * (head.rest_types + 1)))
-    tail = tail.groupBy("row").agg(F.sum(base).alias("more_base"), F.sum(rest).alias("more"), F.count_if(F.col("n") > 0).alias("more_known"))
+    whole = [float(t + SMOOTH * (k + 1)) for t, k in zip(head.tail_totals, head.tail_types, strict=True)]
+    of_class = F.element_at(F.array(*[F.lit(x) for x in whole]), (F.col("token").bitwiseAND(TAIL - 1) + 1).cast("int"))
+    within = F.log10((F.col("n") + SMOOTH) / of_class)
+    tail = tail.groupBy("row").agg(F.sum(base).alias("more_base"), F.sum(within).alias("more"), F.count_if(F.col("n") > 0).alias("more_known"))
     out = scored.drop("tail").join(tail, "row", "left")
     none = F.lit(0.0)
     return out.select(
@@ -454,3 +530,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.lit(head.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
         (F.col("score") + F.coalesce("more", none)).alias("score"),
     )
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """Log-likelihood of each whole text under a unigram base and under a recurrent model, both trained on ``docs``.
+
+    The output layer picks one of CLASSES classes of frequent words and a word of it, or one of TAIL classes to
+    which the hash deals all other words, within which words have their smoothed frequencies; so every word has
+    a class and an input, and the chances of all tokens and of one unknown token a class add up to one.  Tasks
+    know the HEAD most frequent tokens; the others meet their counts in a join.  Texts run through the network
+    in streams, so memory does not grow with the longest text beyond its places.
+
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10): one row for each
+    input row, in whatever number it occurs.  Null texts are empty: their one token is the end.  A null doc_id
+    counts as empty text in the division.  Without any training text all counts are 0; an empty table gives an
+    empty result.  Only doc_id and text are read, other columns may have any names.
+    """
+    return score(docs, train(docs))

@@ -2,7 +2,6 @@ import math
 import re
 import zlib
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -217,16 +216,21 @@ def test_lm_base(awkward, crowd, empty, monkeypatch, head):
 
 def network():
     counts = np.arange(200, 100, -1)
-    return lm.Network(counts, 700).start()
+    return lm.Network(counts, np.full(lm.TAIL, 700 / lm.TAIL)).start()
 
 
-def test_gradient():
-    net = network()
-    rng = np.random.default_rng(1)
+def stirred(net, seed=1):
+    rng = np.random.default_rng(seed)
     for k in net.p:
         net.p[k] = net.p[k] + (rng.standard_normal(net.p[k].shape) * 0.05).astype(np.float32)
-    places = rng.integers(-1, 100, (5, 3))
-    inputs = np.where(places >= 0, places, lm.Network.REST)
+    return net
+
+
+def test_gradient():
+    net = stirred(network())
+    rng = np.random.default_rng(1)
+    places = rng.integers(-5, 100, (5, 3))
+    inputs = net.inputs_of(places)
     mask = rng.random((5, 3)) < 0.8
     h = rng.standard_normal((3, lm.UNITS)).astype(np.float32) * 0.1
 
@@ -236,7 +240,7 @@ def test_gradient():
         return -float((chance * mask.ravel()).sum() / mask.sum())
 
     g, _ = net.gradient(inputs, places, mask, h)
-    for k, at in (("state", (3, 40)), ("inputs", (int(inputs[0, 0]), 5)), ("class", (2, 1)), ("class_bias", (0,)), ("word", (0, 7, 3)), ("word_bias", (0, 7)), ("state", (1, 70))):
+    for k, at in (("state", (3, 40)), ("inputs", (int(inputs[0, 0]), 5)), ("class", (2, 1)), ("class", (2, lm.CLASSES + 3)), ("class_bias", (0,)), ("word", (0, 7, 3)), ("word_bias", (0, 7)), ("state", (1, 70))):
         old = net.p[k][at]
         eps = 3e-3
         net.p[k][at] = old + eps
@@ -247,26 +251,85 @@ def test_gradient():
         assert g[k][at] == pytest.approx((up - down) / (2 * eps), abs=2e-4)
 
 
-def test_training_reads_every_token_once_and_carries_the_state():
+def brute_score(net, places):
+    """One text, token by token, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    u, out, h, before = lm.UNITS, [], np.zeros(lm.UNITS), None
+    log_softmax = lambda x: x - x.max() - math.log(np.exp(x - x.max()).sum())
+    for place in places.tolist():
+        x = p["inputs"][lm.Network.BEGIN if before is None else before if before >= 0 else lm.Network.WORDS - 1 - before]
+        b = h @ p["state"]
+        z, r = (1 / (1 + np.exp(-(x + b)[k * u : (k + 1) * u])) for k in (0, 1))
+        new = np.tanh(x[2 * u :] + r * b[2 * u :])
+        h = (1 - z) * new + z * h
+        c = place // lm.CLASS_WORDS if place >= 0 else lm.CLASSES - 1 - place
+        chance = log_softmax(h @ p["class"] + p["class_bias"])[c]
+        if place >= 0:
+            chance += log_softmax(p["word"][c] @ h + p["word_bias"][c])[place % lm.CLASS_WORDS]
+        out.append(chance / math.log(10))
+        before = place
+    return sum(out)
+
+
+def test_streams_score_as_token_by_token():
+    net, rng = stirred(network()), np.random.default_rng(6)
+    texts = [rng.integers(-lm.TAIL, 100, n).astype(np.int32) for n in (1, 7, 31, 32, 33, 900, 3, 64, *range(1, 400))]
+    got = dict(lm.score_texts(net, iter(enumerate(texts))))
+    assert sorted(got) == list(range(len(texts)))
+    for k in [*range(8), *range(8, len(texts), 17)]:
+        assert got[k] == pytest.approx(brute_score(net, texts[k]), rel=1e-4)
+
+
+def test_scores_of_documents_token_by_token(spark, crowd):
+    """score, from the trained weights and all training counts, without streams, heads or joins."""
+    fitted = lm.train(crowd)
+    net = lm._started(fitted.head, fitted.weights)
+    assert not np.array_equal(net.flat(), lm._network(fitted.head).start().flat())
+    counts = {r["token"]: r["n"] for r in fitted.counts.collect()}
+    place = dict(zip(fitted.head.tokens.view(np.int64).tolist(), fitted.head.places.tolist(), strict=True))
+    got = {r["doc_id"]: r["score"] for r in lm.score(crowd, fitted).collect()}
+    for r in crowd.collect():
+        words = lm.Words(lm.as_bytes(lm.pa.array([r["text"] or ""])), 0, 1, lower=True)
+        tokens = lm._tokens(words)[0].view(np.int64).tolist()
+        places = np.array([p if (p := place.get(t, -1)) >= 0 else -1 - t % lm.TAIL for t in tokens])
+        more = 0.0
+        for t, p in zip(tokens, places.tolist(), strict=True):
+            if p < 0:
+                own = [n for x, n in counts.items() if x % lm.TAIL == -1 - p and place.get(x, -1) < 0]
+                more += math.log10((counts.get(t, 0) + 0.1) / (sum(own) + 0.1 * (len(own) + 1)))
+        assert got[r["doc_id"]] == pytest.approx(brute_score(net, places) + more, rel=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 10_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one, six = ({r["doc_id"]: r["score"] for r in lm.score_documents(docs.repartition(n)).collect()} for n in (1, 6))
+    assert len(one) == docs.count()
+    assert all(one[k] == pytest.approx(six[k], rel=1e-5) for k in one)
+
+
+def test_long_text_takes_little_memory():
+    import tracemalloc
+
+    net = network()
+    texts = [np.zeros(100_000, np.int32), *[np.zeros(5, np.int32)] * 299]
+    tracemalloc.start()
+    assert len(list(lm.score_texts(net, iter(enumerate(texts))))) == 300
+    lm.train_network(net, iter(enumerate(texts[1:])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
+def test_training_reads_every_token_once():
     rng = np.random.default_rng(6)
-    texts = [rng.integers(-1, 100, n) for n in (1, 7, 31, 32, 33, 200, 3, *range(1, 300))]
-    got, net, h = [], network(), np.zeros((lm.BATCH, lm.UNITS), np.float32)
-    chance = 0.0
-    for inputs, places, mask, keep in lm._windows(texts):
-        got.append(places[mask])
-        states, _, h = net.forward(inputs, keep, h[: inputs.shape[1]], False)
-        chance += net.chances(states[mask], places[mask]).sum()
-    assert np.array_equal(np.sort(np.concatenate(got)), np.sort(np.concatenate(texts)))
-    assert chance == pytest.approx(lm.score_texts(net, texts).sum(), rel=1e-4)
-
-
-def test_network_trains_on_every_short_text():
-    rows = [f"word{k % 7} word{k % 11} other{k}" for k in range(500)]
-    words = lm.Words(lm.as_bytes(lm.pa.array(rows)), 0, len(rows), lower=True)
-    tokens, n = np.unique(lm._tokens(words)[0], return_counts=True)
-    head = lm.Head(tokens, n, np.arange(len(tokens), dtype=np.int32), int(n.sum()), len(tokens), 0, 0)
-    out = list(lm._train(SimpleNamespace(value=head), SimpleNamespace(value=None))(iter([lm.pa.RecordBatch.from_arrays([lm.pa.array(rows)], ["content"])])))
-    assert out[0].column("n").to_pylist() == [4 * len(rows)]
+    texts = [rng.integers(-lm.TAIL, 100, n) for n in (1, 7, 31, 32, 33, 200, 3, *range(1, 300))]
+    got = np.concatenate([w.places[w.mask] for w in lm.stream_windows(iter(enumerate(texts)), lm.BATCH)])
+    assert np.array_equal(np.sort(got), np.sort(np.concatenate(texts)))
+    net = network()
+    before = sum(x for _, x in lm.score_texts(net, iter(enumerate(texts))))
+    assert lm.train_network(net, iter(enumerate(texts * 20))) == 20 * sum(map(len, texts))
+    assert sum(x for _, x in lm.score_texts(net, iter(enumerate(texts)))) > before
 
 
 def test_gradient_stops_at_the_begin_of_a_text():
@@ -283,16 +346,11 @@ def test_gradient_stops_at_the_begin_of_a_text():
         assert both[k] == pytest.approx((first[k] + second[k]) / 2, abs=1e-6)
 
 
-def test_output_is_a_distribution_and_state_is_carried():
-    net = network()
+def test_output_is_a_distribution():
+    net = stirred(network())
     states = np.random.default_rng(4).standard_normal((1, lm.UNITS)).astype(np.float32)
-    places = np.append(np.arange(100), -1)
-    assert (10 ** net.chances(np.repeat(states, 101, axis=0), places)).sum() == pytest.approx(1, abs=1e-3)
-    rng = np.random.default_rng(5)
-    texts = [rng.integers(-1, 100, n) for n in (1, 7, 31, 32, 33, 200, 3)]
-    together = lm.score_texts(net, texts)
-    for text, got in zip(texts, together, strict=True):
-        assert lm.score_texts(net, [text])[0] == pytest.approx(got, rel=1e-4)
+    places = np.append(np.arange(lm.CLASSES * lm.CLASS_WORDS), -1 - np.arange(lm.TAIL))
+    assert (10 ** net.chances(np.repeat(states, len(places), axis=0), places)).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_held_out_likelihood_beats_the_base(spark):
