@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,19 +59,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
-
-    Spark deletes the shuffle files of the write once the table stands, since nothing else reads them.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """For writes: Spark deletes a query's shuffle files once its table stands, since nothing else reads them."""
     before = spark.conf.get(_CLEAN_UP_OPTION)
     spark.conf.set(_CLEAN_UP_OPTION, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEAN_UP_OPTION, before)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with cleaned_up(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_at = path
     return table
