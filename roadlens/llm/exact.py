@@ -2,91 +2,149 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadlens.llm.common import content
-from roadlens.session import discard, fresh_path, saved
+from roadlens.session import cleaned_up, discard, fresh_path, saved
 
 #: Characters that normalising deletes: fixed values of the contract.
-NO_ID = (1 << 63) - 1
 DELETED = " \t\n\x0b\x0c\r"
+#: Memtables that are flushed as runs of level 0, and runs that a compaction merges into one of the next level.
+FLUSHES, FAN_OUT = 4, 2
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, DELETED, "")
 
 
-def flush(rows: DataFrame, path: str) -> None:
-    """Memtables: each task gathers its rows by digest and flushes them as one sorted run with filters.
+class Level:
+    """Runs of one level: a table in the shared folder, bucketed by digest.
 
-    A run is a Parquet file sorted by digest, with the row groups' ranges and a Bloom filter of its digests.
+    A run is one file a bucket, sorted by digest, with the ranges and a Bloom filter of its digests.
     """
-    runs = rows.sortWithinPartitions("digest")
-    runs.write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.runs = spark, 0
+        self.name, self.path = f"digests_{uuid.uuid4().hex}", fresh_path(spark, "level")
+
+    def flush(self, rows: DataFrame) -> None:
+        """Add a run: rows (digest, best, n) become an entry a digest, which keeps the best row and adds up the counts."""
+        run = rows.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        # As many buckets as shuffle partitions, so that each bucket comes from one task as one sorted file.
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = run.write.mode("append").format("parquet").option("path", self.path).bucketBy(buckets, "digest").sortBy("digest")
+        with cleaned_up(self.spark):
+            writer.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").saveAsTable(self.name)
+        self.runs += 1
+
+    def entries(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-def compact(runs: DataFrame, path: str) -> DataFrame:
-    """Merge all runs into one level: an entry a digest, which keeps the best row and adds up the counts."""
-    merged = runs.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    flush(merged, path)
-    return runs.sparkSession.read.schema(merged.schema).parquet(path)
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def build_index(rows: DataFrame, flushes: int = FLUSHES, fan_out: int = FAN_OUT) -> Level:
+    """The index over rows (digest, best, n), dealt to memtables by their ``best`` row: one run of the last level.
+
+    A level with ``fan_out`` runs is compacted: its buckets are merged by digest where they are, without a
+    shuffle, into a run of the next level.
+    """
+    spark, levels = rows.sparkSession, [Level(rows.sparkSession)]
+
+    def compact(k: int) -> None:
+        if k + 1 == len(levels):
+            levels.append(Level(spark))
+        levels[k + 1].flush(levels[k].entries())
+        levels[k].drop()
+        levels[k] = Level(spark)
+
+    for k in range(flushes):
+        levels[0].flush(rows.where(F.pmod(F.xxhash64("best"), F.lit(flushes)) == k))
+        for at in range(len(levels)):
+            if levels[at].runs == fan_out:
+                compact(at)
+    for at, level in enumerate(levels):
+        if level.runs and (level.runs > 1 or any(x.runs for x in levels[at + 1 :])):
+            compact(at)
+    return levels[-1]
 
 
 def exact_classes(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
     """Class of each document under equality of its text without white space.
 
     The index maps a 64-bit digest of the normalised text to the row that stays (most code points in the
-    original, then smallest doc_id) and the number of rows.  Rows of one digest are hits; each hit whose entry
-    has several rows is compared, byte for byte, with the text of the row that stays.  Rows that differ (a
-    clash of digests) are grouped again by their normalised bytes, so results are exact for any digest.
+    original, then smallest doc_id) and the number of rows.  Digests of several rows are hits; only their texts
+    are read again and compared, byte for byte, with the text of the row that stays.  Rows that differ (a clash
+    of digests) are grouped again by their normalised bytes, so results are exact for any digest.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, one row for each input row.  Null counts as empty;
-    all empty texts are one group.  A null doc_id orders last.  If rows share the doc_id that stays, each of
-    them has kept true.
+    all empty texts are one group.  A null doc_id orders after all others.  If rows share the doc_id that stays,
+    each of them has kept true.  An empty table gives an empty result.  Only doc_id and text are read, other
+    columns may have any names.
     """
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), content().alias("content"))
-    keyed = keyed.withColumn("norm", normalised(F.col("content")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content().alias("content")).withColumn("norm", normalised(F.col("content")))
     digest = F.xxhash64("norm") if digest_bits == 64 else F.pmod(F.xxhash64("norm"), F.lit(1 << digest_bits))
-    best = F.struct((-F.length("content")).alias("minus_length"), "id")
+    best = F.struct((-F.length("content")).alias("minus_length"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
     keyed = keyed.select("doc_id", "norm", digest.alias("digest"), best.alias("best"))
-    path = fresh_path(spark, "runs")
-    flush(keyed.select("digest", "best", F.lit(1).cast("long").alias("n")), path)
-    runs = spark.read.schema("digest long, best struct<minus_length: int, id: long>, n long").parquet(path)
-    index = compact(runs, fresh_path(spark, "level"))
-    clashes = _clashes(keyed, index)
-
-    sha = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
-    plain = keyed.select("doc_id", "digest", sha).join(index, "digest").select("doc_id", F.col("best.id").alias("keep"), F.col("n").alias("group_size"), "text_sha256", "digest")
+    entries = keyed.select("doc_id", "digest", "best", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
+    entries = saved(entries, "entries")
+    index = build_index(entries.select("digest", "best", F.lit(1).cast("long").alias("n")))
+    hits = saved(index.entries().where("n > 1"), "hits")  # a plain table, whose join can split a hot digest
+    index.drop()
+    clashes = _clashes(keyed, hits)
+
+    sha = F.lower(F.hex("sha")).alias("text_sha256")
+    own = F.coalesce(F.col("hit"), F.struct("best", F.lit(1).cast("long").alias("n")))
+    plain = entries.join(hits.select("digest", F.struct("best", "n").alias("hit")), "digest", "left")
+    plain = plain.select("doc_id", own["best"].alias("stays"), own["n"].alias("group_size"), sha, "digest")
     if not clashes.isEmpty():  # clashing digests: group by the bytes themselves
         whole = keyed.join(clashes, "digest", "left_semi")
-        groups = whole.groupBy("norm").agg(F.min("best").alias("entry"), F.count("*").alias("n"))
-        regrouped = whole.join(groups, "norm").select("doc_id", F.col("entry.id").alias("keep"), F.col("n").alias("group_size"), sha, "digest")
+        groups = saved(whole.groupBy("norm").agg(F.min("best").alias("stays"), F.count("*").alias("group_size")), "groups")
+        regrouped = whole.join(groups, "norm").select("doc_id", "stays", "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "digest")
         plain = plain.join(clashes, "digest", "left_anti").unionByName(regrouped)
-    keep_id = F.nullif("keep", F.lit(NO_ID)).alias("keep_id")
-    return plain.select("doc_id", keep_id, "group_size", F.coalesce("doc_id", F.lit(NO_ID)).eqNullSafe(F.col("keep")).alias("kept"), "text_sha256")
+    keep_id = F.col("stays.doc_id")
+    return plain.select("doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
-def _clashes(keyed: DataFrame, index: DataFrame) -> DataFrame:
+def _clashes(keyed: DataFrame, hits: DataFrame) -> DataFrame:
     """Byte verification: digests with a row whose bytes differ from those of the row that stays.
 
-    The text that stays is found by digest and row, so a hot group brings one row; then all rows of digests
-    with several rows meet it, in a join of plain tables that can split a hot digest.
+    Only rows of hits go on from the scan.  The text that stays is found by digest and row, so a hot group brings
+    one; then all rows of hits meet it, in a join of plain tables that can split a hot digest.
     """
-    spark = keyed.sparkSession
-    several = saved(index.where("n > 1").select("digest", "best"), "several")
-    stays = saved(keyed.join(several, ["digest", "best"]).groupBy("digest").agg(F.min("norm").alias("stays")), "stays")
-    clashes = saved(keyed.join(stays, "digest").where("norm <> stays").select("digest").distinct(), "clashes")
-    discard(several, stays)
+    several = keyed.join(hits.select("digest", F.col("best").alias("stays")), "digest").select("digest", "norm", "best", "stays")
+    several = saved(several, "several")
+    stays = saved(several.where("best = stays").groupBy("digest").agg(F.min("norm").alias("text")), "stays")
+    different = saved(several.join(stays, "digest").where("norm <> text").select("digest"), "different")
+    clashes = saved(different.distinct(), "clashes")
+    discard(several, stays, different)
     return clashes
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group of equal texts, repeated rows once."""
-    staying = exact_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_sha", F.sha2(normalised(content()).cast("binary"), 256))
-    one = Window.partitionBy("_id", "_sha").orderBy(F.length(content()).desc(), F.xxhash64(content()))
-    rows = rows.join(staying, ["_id", "_sha"], "left_semi")
-    return rows.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place", "_id", "_sha")
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts.
+
+    Which one is as in exact_classes; of rows that share its doc_id too, one with the longest text stays, so
+    repeated rows stay once.  Null counts as empty text, a null doc_id orders last, an empty table gives an empty
+    result.  Columns may have any names: rows travel as one struct.
+    """
+    classes = saved(exact_classes(docs), "classes")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_sha256"]
+    same = ["id", "no_id", "text_sha256"]
+    dropped = saved(classes.where("not kept").select(*key).distinct(), "dropped")
+    repeated = saved(classes.where("kept and group_size > 1").select(*key).groupBy(*same).count().where("count > 1").drop("count"), "repeated")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(content()).cast("binary"), 256).alias("text_sha256"), content().alias("content"))
+    rows = rows.select("row", "content", *key)
+    once = rows.join(dropped, same, "left_anti")
+    if not repeated.isEmpty():
+        first = Window.partitionBy(*same).orderBy(F.length("content").desc(), F.xxhash64("content"))
+        again = once.join(repeated, same, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1").select("row")
+        return once.join(repeated, same, "left_anti").select("row.*").unionByName(again.select("row.*"))
+    return once.select("row.*")

@@ -140,3 +140,42 @@ def test_near_awkward(awkward, empty):
     assert neardup.near_duplicates(empty).count() == 0
     kept = neardup.keep_one(awkward)
     assert kept.columns == awkward.columns
+
+
+def test_index_merges_runs_without_a_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select((F.col("id") % 300).alias("digest"), F.struct((-F.col("id")).alias("minus_length"), F.lit(False).alias("no_id"), F.col("id").alias("doc_id")).alias("best"), F.lit(1).cast("long").alias("n"))
+    for flushes in (1, 2, 3, 4, 5):
+        index = exact.build_index(rows, flushes)
+        assert index.runs == 1
+        assert {(r["digest"], r["best"]["doc_id"], r["n"]) for r in index.entries().collect()} == {(d, max(range(d, 2000, 300)), len(range(d, 2000, 300))) for d in range(300)}
+        index.drop()
+    level = exact.Level(spark)
+    level.flush(rows)
+    level.flush(rows.where("digest < 50"))
+    merged = level.entries().groupBy("digest").agg(F.min("best"))
+    assert merged.count() == 300
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+#: Columns with names that steps of the operators use themselves.
+OWN_NAMES = "_id long, _sha string, _place int, _nth int, _size long, row string, stays string, digest long, norm string, hit string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Negative, null and repeated ids beside each other, and columns with the operators' own names."""
+    rows = [(-5, "equal text of a few words here"), (-1, "equal text of a few words here"), (None, "equal text of a few words here"), (None, "a text that occurs once only here"), (3, "third"), (3, "third"), (3, "an other under three")]
+    return spark.createDataFrame([(*r, "en", "a", 0, 1, "s", 2, 3, 4, "r", "t", 5, "n", "h") for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {OWN_NAMES}")
+
+
+def test_keepers_carry_whole_rows(odd):
+    for kept in (exact.keep_first(odd), neardup.keep_one(odd)):
+        assert kept.schema == odd.schema
+        rows = sorted(kept.collect(), key=str)
+        assert sorted(str(r["doc_id"]) for r in rows) == ["-5", "3", "3", "None"]
+        assert sorted(r["text"] for r in rows) == ["a text that occurs once only here", "an other under three", "equal text of a few words here", "third"]
+        assert all(tuple(r)[5:] == (1, "s", 2, 3, 4, "r", "t", 5, "n", "h") for r in rows)
+    for keep in (exact.keep_first, neardup.keep_one):
+        assert keep(odd.limit(0)).count() == 0
