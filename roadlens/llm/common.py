@@ -90,5 +90,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def row_key() -> list[Column]:
+    """doc_id as two columns that joins can compare: ``id``, and ``no_id`` where it is null."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+
+
+def without(rows: DataFrame, same: list[str], dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The structs ``row`` of ``rows`` (row, content, *same) whose key ``same`` is not in ``dropped``.
+
+    Of rows that share a key of ``repeated`` one with the longest content stays.  Both key tables are saved ones:
+    Spark broadcasts them if their known size allows, so that texts are not shuffled then.
+    """
+    left = rows.join(dropped, same, "left_anti")
+    if repeated.isEmpty():
+        return left.select("row.*")
+    first = Window.partitionBy(*same).orderBy(F.length("content").desc(), F.xxhash64("content"))
+    again = left.join(repeated, same, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return left.join(repeated, same, "left_anti").select("row.*").unionByName(again.select("row.*"))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -6,9 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from roadlens.llm.common import content
+from roadlens.llm.common import content, row_key, without
 from roadlens.session import cleaned_up, discard, fresh_path, saved
 
 #: Characters that normalising deletes: fixed values of the contract.
@@ -136,15 +135,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     result.  Columns may have any names: rows travel as one struct.
     """
     classes = saved(exact_classes(docs), "classes")
-    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_sha256"]
     same = ["id", "no_id", "text_sha256"]
-    dropped = saved(classes.where("not kept").select(*key).distinct(), "dropped")
-    repeated = saved(classes.where("kept and group_size > 1").select(*key).groupBy(*same).count().where("count > 1").drop("count"), "repeated")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(content()).cast("binary"), 256).alias("text_sha256"), content().alias("content"))
-    rows = rows.select("row", "content", *key)
-    once = rows.join(dropped, same, "left_anti")
-    if not repeated.isEmpty():
-        first = Window.partitionBy(*same).orderBy(F.length("content").desc(), F.xxhash64("content"))
-        again = once.join(repeated, same, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1").select("row")
-        return once.join(repeated, same, "left_anti").select("row.*").unionByName(again.select("row.*"))
-    return once.select("row.*")
+    keys = classes.select("kept", "group_size", *row_key(), "text_sha256")
+    dropped = saved(keys.where("not kept").select(*same).distinct(), "dropped")
+    repeated = saved(keys.where("kept and group_size > 1").groupBy(*same).count().where("count > 1").drop("count"), "repeated")
+    sha = F.sha2(normalised(content()).cast("binary"), 256).alias("text_sha256")
+    return without(docs.select(F.struct("*").alias("row"), content().alias("content"), *row_key(), sha), same, dropped, repeated)

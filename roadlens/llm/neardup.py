@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadlens.llm.common import components, content, for_python
+from roadlens.llm.common import components, content, for_python, row_key, without
 from roadlens.llm.textarrays import Words, as_bytes, mix, slices
 from roadlens.session import discard, saved
 
@@ -18,8 +18,10 @@ from roadlens.session import discard, saved
 #: collection has as many minhashes as keep the chance that all tables miss a pair at the threshold below
 #: MISS: three from 0.85 on (2.2e-5), two from 0.78 on (0.80: 9.5e-6), else one.
 COLLECTIONS, MISS = 12, 3e-5
-#: Rounds against centres before the rest is compared block by block, and sets in a block.
+#: Rounds against centres before the rest is compared in groups, and sets in a block of a group.
 ROUNDS, BLOCK = 3, 200
+#: Nodes whose table keys one task makes.
+NODES_A_TASK = 20_000
 SEED = 20_240_501
 
 
@@ -58,7 +60,7 @@ def _signatures(size: int, hashes: int):
         odd = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
         plus = rng.integers(0, 1 << 63, n, np.uint64)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), as_bytes(batch.column("content"))
+            ids, versions, texts = batch.column("doc_id"), batch.column("version"), as_bytes(batch.column("content"))
             for first, last in slices(texts):
                 grams, bounds = _shingles(Words(texts, first, last, lower=True), size)
                 counts = np.diff(bounds)
@@ -82,8 +84,8 @@ def _signatures(size: int, hashes: int):
                     pa.ListArray.from_arrays(pa.array(np.arange(0, half + 1, COLLECTIONS), pa.int32()), pa.array(part.ravel().view(np.int64)))
                     for part in (np.ascontiguousarray(sides[:, :COLLECTIONS]), np.ascontiguousarray(sides[:, COLLECTIONS:]))
                 ]
-                arrays = [ids.slice(first, last - first), pa.array(counts.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d1", "d2", "left", "right"])
+                arrays = [ids.slice(first, last - first), versions.slice(first, last - first), pa.array(counts.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "n_shingles", "d1", "d2", "left", "right"])
 
     return run
 
@@ -139,63 +141,76 @@ def _linked_in_blocks(percent: int):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"))
+    """doc_id, the version of its text (rows may share a doc_id), and the text."""
+    return for_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(content()).alias("version"), content().cast("binary").alias("content"))
 
 
 def _members(nodes: DataFrame) -> DataFrame:
     """Table keys that two or more sets share: (key, node)."""
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // NODES_A_TASK)
     tables = F.flatten(F.transform("left", lambda a, i: F.transform("right", lambda b, j: F.xxhash64(a, b, i * COLLECTIONS + j))))
-    keys = nodes.select("node", F.explode(tables).alias("key"))
+    keys = nodes.select("node", "left", "right").repartition(tasks, "node").select("node", F.explode(tables).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key")
     return saved(keys.join(shared, "key"), "members")
 
 
+def _classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """doc_id, version, n_shingles and component (a node, null for empty sets) of each row: a saved table."""
+    signed = _texts(docs).mapInArrow(_signatures(size, hashes_for(percent)), "doc_id long, version long, n_shingles long, d1 long, d2 long, left array<long>, right array<long>")
+    signed = saved(signed, "signatures")
+    owner = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version", "left", "right")
+    node_sets = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(owner).alias("one"))
+    nodes = saved(node_sets.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n_shingles", "one.doc_id", "one.version", "one.left", "one.right"), "nodes")
+    members = _members(nodes)
+    sets = _sets_of(docs, nodes, members, size)
+    links = _links(members, sets, percent)
+    discard(sets, members)
+    comp = saved(components(links), "components")
+    labels = nodes.select("node", "d1", "d2", "n_shingles").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = saved(labels.drop("node"), "labels")  # plain, so that the join can split a set that very many rows have
+    rows = saved(signed.select("doc_id", "version", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left").drop("d1", "d2"), "classes")
+    discard(signed, nodes, links, comp, labels)
+    return rows
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """Components of documents linked by 100 * |A and B| >= percent * |A or B| over their word shingles.
 
     Equal sets are one node.  A node's table keys are all pairs of a left and a right collection of minhashes.
     Nodes that share a key are candidates.  In each of ROUNDS rounds a node is held against one centre of its
     tables (the smallest node by a hash of the round), and confirmed links join components; tables within one
-    component are done.  What is left is joined into clusters of candidates, cut into blocks of BLOCK sets,
-    and every pair of blocks is compared whole, so no pair that shares a key goes unexamined unless its
-    ends are connected already.  Sets are compared in full.
-
-    Returns doc_id, n_shingles, component_id, kept, one row for each input row.  Texts without words are empty
-    sets, linked with nothing.  A null doc_id is larger than any other: it never names a component that has
-    another member.  Rows that share a doc_id are rows of their own with the same component_id if linked.
+    component are done.  What is left is compared in groups: a cluster of at most BLOCK candidates is a group,
+    of a larger one each table is a group; a group is cut into blocks of BLOCK sets and every pair of blocks is
+    compared whole.  So no pair that shares a key goes unexamined unless its ends are connected already, and
+    large clusters cost by the size of their tables.  Sets are compared in full.
+
+    Returns doc_id, n_shingles, component_id, kept, one row for each input row, in whatever number it occurs.
+    Null texts are empty; texts without words are empty sets, linked with nothing.  A null doc_id is larger than
+    any other: it never names a component that has another member.  Rows that share a doc_id are rows of their
+    own with the same component_id if linked.  An empty table gives an empty result.  Only doc_id and text are
+    read, other columns may have any names.
     """
-    spark = docs.sparkSession
-    texts = _texts(docs)
-    signed = texts.mapInArrow(_signatures(size, hashes_for(percent)), "doc_id long, n_shingles long, d1 long, d2 long, left array<long>, right array<long>")
-    signed = saved(signed, "signatures")
-    node_sets = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(
-        F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("owner"), "left", "right")).alias("one")
-    )
-    nodes = saved(node_sets.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n_shingles", "one.owner", "one.left", "one.right"), "nodes")
-    members = _members(nodes)
-    sets = _sets_of(docs, nodes, members, size)
-    links = _links(members, sets, percent)
-    discard(sets)
-    comp = components(links)
-    labels = nodes.select("node", "d1", "d2", "n_shingles").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = signed.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left")
-    least = saved(rows, "labels")
-    names = saved(least.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
-    out = least.join(names, "component", "left")
+    rows = _classes(docs, percent, size)
+    names = saved(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
     component_id = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = rows.join(names, "component", "left").select("doc_id", "n_shingles", component_id.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """The full sets of the candidates, each from a document that has it: (node, grams)."""
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("owner", "node", "d1", "d2")
-    rows = _texts(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("owner"), "content").join(wanted, "owner")
-    made = rows.select("node", "content", "d1", "d2").mapInArrow(_checked_sets(size), "node long, grams binary")
-    return saved(made.groupBy("node").agg(F.min("grams").alias("grams")), "sets")
+    same = ["id", "no_id", "version"]
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "d1", *row_key(), "version")
+    wanted = saved(wanted, "wanted")
+    rows = _texts(docs).select("content", *row_key(), "version").join(wanted, same)
+    made = rows.select("node", "content", "d1").mapInArrow(_checked_sets(size), "node long, grams binary")
+    sets = saved(made.groupBy("node").agg(F.min("grams").alias("grams")), "sets")
+    discard(wanted)
+    return sets
 
 
 def _checked_sets(size: int):
-    """Sets of the texts; where rows share a doc_id, only the text with the node's own set counts."""
+    """Sets of the texts; only a text with the node's own set counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,23 +256,40 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if active.isEmpty():
             return links
         members = active.select("key", "node")
-    centres = active.groupBy("key").agg(F.min("node").alias("b"))
+    found = _in_groups(active, sets, percent)
+    return saved(found if links is None else found.unionByName(links), "links")
+
+
+def _in_groups(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the candidates of each cluster or, where it is large, of each of its tables."""
+    centres = saved(active.groupBy("key").agg(F.min("node").alias("b")), "centres")
     clusters = components(active.join(centres, "key").select(F.col("node").alias("a"), "b").distinct())
-    rows = active.select("node", "component").distinct().join(clusters.select("node", F.col("component").alias("cluster")), "node")
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
+    rows = saved(active.select("node", "component").distinct().join(clusters.select("node", F.col("component").alias("cluster")), "node"), "clusters")
+    sizes = saved(rows.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster"), "large")
+    small = rows.join(sizes, "cluster", "left_anti").select(F.lit(False).alias("by_table"), F.col("cluster").alias("group"), "node", "component")
+    large = active.join(rows.join(sizes, "cluster", "left_semi").select("node"), "node").select(F.lit(True).alias("by_table"), F.col("key").alias("group"), "node", "component")
+    groups = saved(small.unionByName(large), "groups")
+    blocks = saved(groups.groupBy("by_table", "group").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "blocks")
+    groups = groups.join(blocks, ["by_table", "group"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "grams"
+    pairs = groups.withColumn("other", other).select(
+        "by_table", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "grams"
     )
-    found = rows.groupBy("cluster", "i", "j").applyInPandas(_linked_in_blocks(percent), "a long, b long")
-    return saved(found if links is None else found.unionByName(links), "links")
+    return pairs.groupBy("by_table", "group", "i", "j").applyInPandas(_linked_in_blocks(percent), "a long, b long")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the smallest doc_id stays.
+    """The rows of ``docs`` without near duplicates, with all their columns: of each component one row stays.
 
-    Five-word shingles and a similarity of 0.8, unless told otherwise.
+    Five-word shingles and a similarity of 0.8, unless told otherwise.  The row with the smallest doc_id stays (a
+    null one orders last); of rows that share it, one text and one row stay, the same in every run.  Rows without
+    words (null, empty or blank texts) have no duplicates here and all stay.  An empty table gives an empty
+    result.  Columns may have any names: rows travel as one struct.
     """
-    staying = near_duplicates(docs, percent, size).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id")).distinct()
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(staying, "_id", "left_semi").drop("_id")
+    same = ["id", "no_id", "version"]
+    rows = _classes(docs, percent, size).where("component is not null")
+    first = saved(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("stays")), "first")
+    keys = rows.join(first, "component").select(*row_key(), "version", F.col("stays.doc_id").eqNullSafe(F.col("doc_id")).alias("own"), (F.col("stays.version") == F.col("version")).alias("as_is"))
+    dropped = saved(keys.where("not (own and as_is)").select(*same).distinct(), "dropped")
+    repeated = saved(keys.where("own and as_is").groupBy(*same).count().where("count > 1").drop("count"), "repeated")
+    return without(docs.select(F.struct("*").alias("row"), content().alias("content"), *row_key(), F.xxhash64(content()).alias("version")), same, dropped, repeated)

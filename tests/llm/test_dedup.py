@@ -179,3 +179,13 @@ def test_keepers_carry_whole_rows(odd):
         assert all(tuple(r)[5:] == (1, "s", 2, 3, 4, "r", "t", 5, "n", "h") for r in rows)
     for keep in (exact.keep_first, neardup.keep_one):
         assert keep(odd.limit(0)).count() == 0
+
+
+def test_chain_of_candidates_costs_by_its_tables(spark, monkeypatch):
+    """Neighbours share three quarters of their shingles and a key of some table, so all are one cluster."""
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    texts = [" ".join(f"w{k}" for k in range(15 * i, 15 * i + 110)) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[700] + " more"])], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
+    assert all(r["component_id"] == k for k, r in rows.items() if k < 1500) and rows[1500]["component_id"] == 700
