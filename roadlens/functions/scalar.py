@@ -16,6 +16,15 @@ INTENTS = (
     ("decision", ("warum", "entscheid", "weiter")),
     ("cost", ("kost", "preis", "euro", "€")),
 )
+FAILURES = (  # of the output of a run, in this order
+    ("no_lane", ("Kein Foto konnte ausgewertet werden", "Fahrbahn nicht gefunden")),
+    ("no_calibration", ("Kalibrierung nicht möglich",)),
+    ("memory", ("MemoryError",)),
+    ("missing_package", ("ModuleNotFoundError",)),
+)
+KILLED = (-9, 137)
+PROGRESS = r"^\s+· (\S+) … (.*)$"
+PROGRESS_ENDS = ("%", "übersprungen")
 EARTH_RADIUS_M = 6_371_000.0
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
@@ -56,8 +65,17 @@ def padded(n: Column, width: int = 2) -> Column:
 
 
 def short_number(x: Column) -> Column:
-    """Station values as text, without a trailing .0."""
-    return F.regexp_replace(x.cast("double").cast("string"), r"\.0$", "")
+    """Six significant digits without trailing zeros, as %g: 1234.57, 0.3, 1.23457e+07.
+
+    Between 0.0001 and a million the digits come from the exact binary value, ties to even.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    digits = F.lit(5) - F.floor(F.log10(size)).cast("int")
+    plain = F.replace(F.call_function("format_number", x, digits), F.lit(","), F.lit(""))
+    plain = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
+    power = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
+    return F.when(x == 0, "0").when(F.isnan(x), "nan").when((size >= 999_999.5) | (size < 0.000_099_999_95), power).otherwise(plain)
 
 
 def map_link(lat: Column, lon: Column, prefix: str) -> Column:
@@ -123,34 +141,39 @@ def html_escaped(x: Column) -> Column:
     return x
 
 
-def intent(question: Column) -> Column:
-    """The first group of words of which the question has one."""
+def intent(question: Column, has_decision: Column | None = None) -> Column:
+    """The first group of words of which the question has one; decision only where there is one."""
     q, out = F.lower(question), F.lit("summary")
     for name, words in reversed(INTENTS):
         has = F.lit(False)
         for w in words:
             has = has | q.contains(w)
+        if name == "decision" and has_decision is not None:
+            has = has & has_decision
         out = F.when(has, F.lit(name)).otherwise(out)
     return out
 
 
+def _has_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
 def failure_kind(text: Column, code: Column) -> Column:
     """What the output and exit code of a failed run say, the first test that holds."""
-    has = lambda *words: F.lit(False) if not words else text.contains(words[0]) | (has(*words[1:]) if words[1:] else F.lit(False))
-    return (
-        F.when(has("Kein Foto konnte ausgewertet werden", "Fahrbahn nicht gefunden"), "no_lane")
-        .when(has("Kalibrierung nicht möglich"), "no_calibration")
-        .when(has("MemoryError") | code.isin(-9, 137), "memory")
-        .when(has("ModuleNotFoundError"), "missing_package")
-        .otherwise("failed")
-    )
+    out = F.lit("failed")
+    for kind, words in reversed(FAILURES):
+        holds = _has_any(text, words) | code.isin(*KILLED) if kind == "memory" else _has_any(text, words)
+        out = F.when(holds, kind).otherwise(out)
+    return out
 
 
 def progress_of(line: Column) -> Column:
     """Photo and message of a progress line, and whether it ends a photo."""
-    pattern = r"^\s+· (\S+) … (.*)$"
-    photo, message = F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2)
-    return F.struct(photo.alias("photo"), message.alias("message"), ((photo != "") & (message.contains("%") | message.contains("übersprungen"))).alias("done"))
+    photo, message = F.regexp_extract(line, PROGRESS, 1), F.regexp_extract(line, PROGRESS, 2)
+    return F.struct(photo.alias("photo"), message.alias("message"), ((photo != "") & _has_any(message, PROGRESS_ENDS)).alias("done"))
 
 
 def capture_state(distance: Column) -> Column:

@@ -21,6 +21,15 @@ NEXT_STEPS = {
     "sanierung_planen": "Abschnitte in die Sanierungsliste für die nächste Bausaison aufnehmen.",
     "dringend_melden": "Abschnitte vor Ort begutachten und an die Straßenmeisterei melden.",
 }
+NOTES = {
+    "offline": "Offline-Modus: Entscheidung nach Regeln, ohne KI.",
+    "invalid": "KI-Antwort ungültig. Entscheidung nach Regeln.",
+    "error": "KI nicht erreichbar (%s). Entscheidung nach Regeln.",
+    "overruled": "Die KI schlug „%s“ vor. Die Messwerte verlangen mindestens „%s“, daher gilt die strengere Einstufung.",
+}
+ROUTE_TEXT_COLUMNS = "Abschnitte (Nr | Station | Schadanteil | Klasse | Längsrisse m | Querrisse m | Netzrisse m² | Flicken m² | Bildqualität | Foto):"
+REJECTED_HEAD, LIMITS_HEAD = "Fotos, die nicht ausgewertet werden konnten:", "Bekannte Grenzen der Auswertung:"
+CLASSES_LINE = "Klassen nach Projektvorgabe: 1 <10 %, 2 <20 %, 3 <30 %, 4 <40 %, 5 ab 40 % Schadanteil."
 RE_RECORD_SHARE, PLAN_SHARE = 0.3, 20.0
 
 
@@ -67,27 +76,42 @@ def rule_decision(ruled: DataFrame, sections: DataFrame, priority: DataFrame) ->
 
 
 def merge_proposals(decided: DataFrame, proposals: DataFrame, sections: DataFrame) -> DataFrame:
-    """Proposals (route_id, course, text, step, priority) may tighten a rule's course and never relax it.
+    """Proposals (route_id, course, text, step, priority[, error]) may tighten a rule's course and never relax it.
 
     A route that must be recorded again takes no proposal.  Priorities are kept in order where the route has
-    such a section, five at most.
+    such a section, five at most; absent ones are none.  ``note`` says why a proposal did not count: there is
+    none, it failed (``error``), its course is unknown, or the rule is stricter.
     """
+    if "error" not in proposals.columns:
+        proposals = proposals.withColumn("error", F.lit(None).cast("string"))
+    proposals = proposals.withColumn("proposed", F.lit(True))
     numbers = sections.groupBy("route_id").agg(F.collect_set("nr").alias("numbers"))
-    rows = decided.join(proposals.withColumnsRenamed({"text": "p_text", "step": "p_step", "priority": "p_priority"}), "route_id", "left").join(numbers, "route_id", "left")
-    valid = severity(F.col("course")).isNotNull() & (F.col("rule") != "neu_aufnehmen")
+    rows = decided.join(proposals.withColumnsRenamed({"text": "p_text", "step": "p_step", "priority": "p_priority", "error": "p_error"}), "route_id", "left").join(numbers, "route_id", "left")
+    judged = F.col("rule") != "neu_aufnehmen"
+    valid = severity(F.col("course")).isNotNull() & judged & F.col("p_error").isNull()
     redo = F.col("course") == "neu_aufnehmen"
     milder = redo | (severity(F.col("course")) < severity(F.col("rule")))
     overruled = valid & (F.col("course") != F.col("rule")) & milder & ~(redo & (F.col("unusable_share") > 0))
-    named = F.slice(F.filter(F.coalesce("p_priority", F.col("rule_priority")), lambda n: F.array_contains("numbers", n)), 1, 5)
+    named = F.slice(F.filter(F.coalesce("p_priority", F.array().cast(proposals.schema["priority"].dataType)), lambda n: F.array_contains("numbers", n)), 1, 5)
     own = valid & ~overruled
     text = F.when(own, clean_text(F.col("p_text"), 600)).otherwise(F.col("rule_text"))
+    titles = {c[0]: c[2] for c in COURSES}
+    note = (
+        F.when(~judged, "")
+        .when(F.col("proposed").isNull(), NOTES["offline"])
+        .when(F.col("p_error").isNotNull(), F.format_string(NOTES["error"], F.col("p_error")))
+        .when(~valid, NOTES["invalid"])
+        .when(overruled, F.format_string(NOTES["overruled"], _by_course(F.col("course"), titles), _by_course(F.col("rule"), titles)))
+        .otherwise("")
+    )
     return rows.withColumns({
         "decision": F.when(own, F.col("course")).otherwise(F.col("rule")),
         "decided_by": F.when(~F.coalesce(valid, F.lit(False)), "regel").when(overruled, "ki+regel").otherwise("ki"),
         "decision_text": F.when(F.coalesce(text, F.lit("")) == "", F.col("rule_text")).otherwise(text),
         "next_step": F.when(own, clean_text(F.col("p_step"), 300)).otherwise(F.col("rule_step")),
         "priority": F.when(own, named).when(overruled & (F.size("rule_priority") == 0), named).otherwise(F.col("rule_priority")),
-    }).drop("course", "p_text", "p_step", "p_priority", "numbers")
+        "note": note,
+    }).drop("course", "p_text", "p_step", "p_priority", "p_error", "proposed", "numbers")
 
 
 def course_table(spark) -> DataFrame:
@@ -115,6 +139,60 @@ def fingerprint(payload: Column, secret: str) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer)), first), 256)
 
 
+def decision_payload(route: Column) -> Column:
+    """What a decision's fingerprint covers: its six fields and the route, as JSON with sorted keys.
+
+    ``route`` is the route's own JSON text with sorted keys.
+    """
+    quoted = lambda c: F.coalesce(F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)"), F.lit("null"))
+    numbers = F.concat(F.lit("["), F.array_join(F.col("priority").cast("array<string>"), ", "), F.lit("]"))
+    fields = [("begruendung", quoted("decision_text")), ("entscheidung_id", quoted("decision_id")), ("naechster_schritt", quoted("next_step")), ("prioritaet_abschnitte", F.coalesce(numbers, F.lit("null"))), ("quelle", quoted("decided_by")), ("route", quoted("decision"))]
+    parts = [F.concat(F.lit(f'"{name}": '), value) for name, value in fields]
+    return F.concat(F.lit('{"e": {'), F.concat_ws(", ", *parts), F.lit('}, "s": '), route, F.lit("}"))
+
+
+def confirmed(payload: Column, code: Column, secret: str) -> Column:
+    """Whether ``code`` is the payload's fingerprint; an absent one is not."""
+    return F.coalesce(fingerprint(payload, secret) == code, F.lit(False))
+
+
+def route_text(routes: DataFrame, sections: DataFrame, kpis: DataFrame) -> DataFrame:
+    """(route_id, t): a route, its sections in order, rejected photos and limits as one plain text.
+
+    ``routes`` has route_id, name, place, captured, simulated, method, width_m, rejected_photos (photo, reason)
+    and limitations; ``sections`` may have a ``note``.
+    """
+    de = lambda c, n=1: decimal_comma(F.col(c).cast("double"), n)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    station = text(short_number(F.col("station_from_m")), "–", short_number(F.col("station_to_m")), " m")
+    one = F.concat_ws(
+        " | ", padded(F.col("nr")), station, text(de("share_pct"), " %"), F.col("condition").cast("string"), de("longitudinal_m"), de("transverse_m"),
+        de("net_m2", 2), de("patch_m2", 2), "quality", F.coalesce("photo", F.lit("")),
+        *([F.when(F.col("note") != "", text("Hinweis: ", F.col("note")))] if "note" in sections.columns else []),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("station_from_m", "pos", one.alias("t"))))
+    body = sections.groupBy("route_id").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n").alias("body"))
+    own = ["route_id", "name", "place", "captured", "simulated", "method", "width_m", "rejected_photos", "limitations"]
+    rows = kpis.join(routes.select(*own), "route_id").join(body, "route_id")
+    listed = lambda head, items: F.when(F.size(items) > 0, F.concat_ws("\n", F.lit(head), F.array_join(items, "\n")))
+    whole = F.concat_ws(
+        "\n",
+        text("Strecke: ", F.col("name"), " (", F.col("place"), "), Aufnahme ", F.col("captured")),
+        text("Simulierte Daten: ", F.when(F.col("simulated"), "ja").otherwise("nein, echte Messung")),
+        text("Methode: ", F.col("method")),
+        text("Fahrbahnbreite ", de("width_m", 2), " m, ", F.col("sections").cast("string"), " Abschnitte, Länge ", de("length_m"), " m"),
+        text(
+            "Gesamt: Schadanteil ", de("share_pct"), " %, Klasse ", F.col("overall_class").cast("string"), ", Schadfläche ", de("damage_m2", 2), " m², Längsrisse ", de("longitudinal_m"),
+            " m, Querrisse ", de("transverse_m"), " m, Netzrisse ", de("net_m2", 2), " m², Flickstellen ", de("patch_m2", 2), " m²",
+        ),
+        F.lit(ROUTE_TEXT_COLUMNS), "body",
+        listed(REJECTED_HEAD, F.transform("rejected_photos", lambda x: text("- ", x["photo"], ": ", x["reason"]))),
+        listed(LIMITS_HEAD, F.transform("limitations", lambda x: text("- ", x))),
+        F.lit(CLASSES_LINE),
+    )
+    return rows.select("route_id", whole.alias("t"))
+
+
 def detail_text(sections: DataFrame) -> DataFrame:
     """(route_id, detail): every section as "NN: x,y % (Kz)", in station order."""
     one = F.concat(padded(F.col("nr")), F.lit(": "), decimal_comma(F.col("share_pct").cast("double")), F.lit(" % (K"), F.col("condition").cast("string"), F.lit(")"))

@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from roadlens.session import ship
+
 
 def rate_limited(events: DataFrame, keys: list[str], seconds: float, limit: int) -> DataFrame:
     """Events (keys, id, t in seconds) with ``accepted``; only accepted events count against the limit.
 
-    The fold over a key's sorted times holds the last ``limit`` accepted times at most.  Keys with very many
-    events are better served by the stream operator, whose state is as small.
+    Rows are sorted by key and time within partitions and streamed through tasks, which hold the last ``limit``
+    accepted times of one key and nothing else, so the work is linear in a key's events.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("t", "id")))
-
-    def step(acc: Column, e: Column) -> Column:
-        log = F.filter(acc["log"], lambda x: e["t"] - x <= seconds)
-        ok = F.size(log) < limit
-        return F.struct(F.when(ok, F.concat(log, F.array(e["t"]))).otherwise(log).alias("log"), F.concat(acc["out"], F.array(F.struct(e["id"].alias("id"), ok.alias("accepted")))).alias("out"))
-
-    ids = events.schema["id"].dataType.simpleString()
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast(f"array<struct<id: {ids}, accepted: boolean>>").alias("out"))
-    rows = events.groupBy(*keys).agg(ordered.alias("es"))
-    return rows.select(*keys, F.explode(F.aggregate("es", start, step)["out"]).alias("o")).select(*keys, "o.id", "o.accepted")
+    ship(events.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, log = None, deque()
+        for rows in batches:
+            accepted = []
+            for key, t in zip(zip(*[rows[k] for k in keys], strict=True), rows["t"], strict=True):
+                if key != current:
+                    current, log = key, deque()
+                while log and t - log[0] > seconds:
+                    log.popleft()
+                accepted.append(len(log) < limit)
+                if accepted[-1]:
+                    log.append(t)
+            yield rows[[*keys, "id"]].assign(accepted=accepted)
+
+    rows = events.select(*keys, "id", F.col("t").cast("double").alias("t"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "id"]) + ", accepted boolean"
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "t", "id").mapInPandas(run, schema)
 
 
 def first_deliveries(sends: DataFrame) -> DataFrame:
-    """Sends (key, id, t, ok): the first is delivered, later ones are duplicates, until a failed send frees the key."""
+    """Sends (key, id, t, ok): the first is delivered, later ones are duplicates, until a failed send frees the key.
+
+    The table remembers every key: a server's bound on remembered keys is not rebuilt."""
     order = Window.partitionBy("key").orderBy("t", "id")
     failures = F.coalesce(F.sum(F.when(~F.col("ok"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = sends.withColumn("epoch", failures)

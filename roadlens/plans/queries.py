@@ -241,7 +241,7 @@ def v18_file_filter(spark, sf):
 
 
 @query(r"""
-    WITH a AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE turn % 3 <> 1),
+    WITH a AS (SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 1 THEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) END, role) AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
     b AS (SELECT *, regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS clean FROM a WHERE back <= 12),
     whole AS (SELECT conv_id, bool_or(role NOT IN ('user', 'assistant') OR text IS NULL) AS wrong, max(length(text)) FILTER (WHERE back = 1) AS n FROM b GROUP BY 1),
     c AS (SELECT *, substring(clean, 1, CASE WHEN role = 'user' THEN 600 ELSE 2000 END) AS cut, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS new
@@ -254,7 +254,10 @@ def v18_file_filter(spark, sf):
     FROM f JOIN whole USING (conv_id) JOIN g USING (conv_id) WHERE NOT wrong AND last_role = 'user' AND n <= 600
 """)
 def v19_chat_history(spark, sf):
-    return texts.chat_history(table(spark, sf, "conversations").where("turn % 3 <> 1"))[0]
+    """Every third turn takes the role of the turn before, so that neighbours of one role meet."""
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    role = F.coalesce(F.when(F.col("turn") % 3 == 1, before), "role")
+    return texts.chat_history(table(spark, sf, "conversations").withColumn("role", role))[0]
 
 
 @query(S + "SELECT route_id, nr, lower(photo) IN (SELECT 'img_' || p_partkey || '.jpg' FROM part WHERE p_size < 10) AS excluded FROM s")
@@ -498,9 +501,9 @@ def f4_counted(spark, sf):
     return lines(spark, sf).groupBy("l_orderkey").agg(F.count("*").alias("n")).select("l_orderkey", fn.counted(F.col("n"), "Abschnitt", "Abschnitte").alias("t"))
 
 
-@query("SELECT l_orderkey, l_partkey, printf('%02d', l_linenumber) AS nr, regexp_replace((l_quantity / 2)::VARCHAR, '[.]0$', '') AS short FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, printf('%02d', l_linenumber) AS nr, printf('%g', (l_quantity / 2)::DOUBLE) AS short, printf('%g', (l_extendedprice * l_quantity / 7)::DOUBLE) AS wide, printf('%g', (l_discount / 700)::DOUBLE) AS narrow FROM lineitem")
 def f5_formats(spark, sf):
-    return lines(spark, sf).select("l_orderkey", "l_partkey", fn.padded(F.col("l_linenumber")).alias("nr"), fn.short_number(F.col("l_quantity") / 2).alias("short"))
+    return lines(spark, sf).select("l_orderkey", "l_partkey", fn.padded(F.col("l_linenumber")).alias("nr"), fn.short_number(F.col("l_quantity") / 2).alias("short"), fn.short_number(F.col("l_extendedprice") * F.col("l_quantity") / 7).alias("wide"), fn.short_number(F.col("l_discount") / 700).alias("narrow"))
 
 
 @query(S + "SELECT route_id, nr, CASE WHEN lat IS NULL THEN '' ELSE '" + LINK + "' || printf('%.6f', lat) || ',' || printf('%.6f', lon) END AS link FROM s")
@@ -551,7 +554,10 @@ def f12_html_escaped(spark, sf):
     return table(spark, sf, "pages").select("page_id", fn.html_escaped(F.col("html")).alias("t"))
 
 
-@query()
+PAD_SQL = {pad: "from_hex('" + bytes((b"secret".ljust(64, b"\0")[k]) ^ pad for k in range(64)).hex() + "')" for pad in (0x36, 0x5C)}
+
+
+@query(f"SELECT p_partkey, sha256({PAD_SQL[0x5C]} || from_hex(sha256({PAD_SQL[0x36]} || encode(p_name)))) AS code FROM part")
 def f13_fingerprint(spark, sf):
     return table(spark, sf, "part").select("p_partkey", decide.fingerprint(F.col("p_name"), "secret").alias("code"))
 
@@ -564,12 +570,12 @@ def f14_content_id(spark, sf):
 @query("""
     SELECT conv_id, turn, CASE WHEN q LIKE '%schlimm%' OR q LIKE '%schlecht%' OR q LIKE '%wo %' OR q LIKE '%worst%' OR q LIKE '%kaputt%' OR q LIKE '%zuerst%' THEN 'worst'
         WHEN q LIKE '%best%' OR q LIKE '%gut%' OR q LIKE '%am wenigsten%' THEN 'best' WHEN q LIKE '%genau%' OR q LIKE '%sicher%' OR q LIKE '%grenze%' OR q LIKE '%vertrau%' OR q LIKE '%fehler%' THEN 'accuracy'
-        WHEN q LIKE '%warum%' OR q LIKE '%entscheid%' OR q LIKE '%weiter%' THEN 'decision' WHEN q LIKE '%kost%' OR q LIKE '%preis%' OR q LIKE '%euro%' OR q LIKE '%€%' THEN 'cost' ELSE 'summary' END AS intent
+        WHEN (q LIKE '%warum%' OR q LIKE '%entscheid%' OR q LIKE '%weiter%') AND turn % 2 = 0 THEN 'decision' WHEN q LIKE '%kost%' OR q LIKE '%preis%' OR q LIKE '%euro%' OR q LIKE '%€%' THEN 'cost' ELSE 'summary' END AS intent
     FROM (SELECT conv_id, turn, lower(text || CASE WHEN turn % 5 = 0 THEN ' Warum?' WHEN turn % 5 = 1 THEN ' PREIS' ELSE '' END) AS q FROM conversations)
 """)
 def f15_intent(spark, sf):
     q = F.concat("text", F.when(F.col("turn") % 5 == 0, " Warum?").when(F.col("turn") % 5 == 1, " PREIS").otherwise(""))
-    return table(spark, sf, "conversations").select("conv_id", "turn", fn.intent(q).alias("intent"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", fn.intent(q, F.col("turn") % 2 == 0).alias("intent"))
 
 
 @query("""
@@ -647,27 +653,39 @@ def f22_detail_text(spark, sf):
     return decide.detail_text(sections(spark, sf))
 
 
-@query(K + """
-    , l AS (SELECT route_id, string_agg(printf('%02d', nr) || ' | ' || regexp_replace(station_from_m::VARCHAR, '[.]0$', '') || ' | ' || replace(printf('%.1f', s.share_pct), '.', ',') || ' % | ' || condition || ' | ' || quality, chr(10) ORDER BY station_from_m, pos) AS lines FROM s GROUP BY 1)
-    SELECT route_id, 'Gesamt: ' || replace(printf('%.1f', k.share_pct), '.', ',') || ' %, Klasse ' || overall_class || chr(10) || lines AS t FROM k JOIN l USING (route_id)
+def _de(c: str, n: int = 1) -> str:
+    return f"replace(printf('%.{n}f', ({c})::DOUBLE), '.', ',')"
+
+
+@query(K + f"""
+    , l AS (SELECT route_id, string_agg(printf('%02d', nr) || ' | ' || printf('%g', station_from_m) || '–' || printf('%g', station_to_m) || ' m | ' || {_de('share_pct')} || ' % | ' || condition || ' | ' || {_de('longitudinal_m')} || ' | ' || {_de('transverse_m')}
+            || ' | ' || {_de('net_m2', 2)} || ' | ' || {_de('patch_m2', 2)} || ' | ' || quality || ' | ' || photo || CASE WHEN nr % 3 = 0 THEN ' | Hinweis: Nass' ELSE '' END, chr(10) ORDER BY station_from_m, pos) AS body FROM s GROUP BY 1)
+    SELECT route_id, 'Strecke: ' || o_orderpriority || ' (' || o_orderstatus || '), Aufnahme ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'Simulierte Daten: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'ja' ELSE 'nein, echte Messung' END || chr(10) || 'Methode: Foto' || chr(10)
+        || 'Fahrbahnbreite 5,80 m, ' || sections || ' Abschnitte, Länge ' || {_de('length_m')} || ' m' || chr(10) || 'Gesamt: Schadanteil ' || {_de('k.share_pct')} || ' %, Klasse ' || overall_class || ', Schadfläche ' || {_de('damage_m2', 2)} || ' m², Längsrisse ' || {_de('longitudinal_m')}
+        || ' m, Querrisse ' || {_de('transverse_m')} || ' m, Netzrisse ' || {_de('net_m2', 2)} || ' m², Flickstellen ' || {_de('patch_m2', 2)} || ' m²' || chr(10) || '{decide.ROUTE_TEXT_COLUMNS}' || chr(10) || body
+        || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || '{decide.REJECTED_HEAD}' || chr(10) || '- x.jpg: dunkel' || chr(10) || '- y.jpg: unscharf' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '{decide.LIMITS_HEAD}' || chr(10) || '- Schatten' ELSE '' END
+        || chr(10) || '{decide.CLASSES_LINE}' AS t
+    FROM k JOIN l USING (route_id) JOIN orders o ON o.o_orderkey = k.route_id
 """)
 def f23_route_text(spark, sf):
-    rows = sections(spark, sf)
-    one = F.concat_ws(" | ", fn.padded(F.col("nr")), fn.short_number(F.col("station_from_m")), F.concat(fn.decimal_comma(F.col("share_pct")), F.lit(" %")), F.col("condition").cast("string"), "quality")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("station_from_m", "pos", one.alias("t")))), lambda s: s["t"]), "\n")
-    text = rows.groupBy("route_id").agg(body.alias("body"))
-    head = F.concat(F.lit("Gesamt: "), fn.decimal_comma(F.col("share_pct")), F.lit(" %, Klasse "), F.col("overall_class").cast("string"))
-    return kpis.route_kpis(rows).join(text, "route_id").select("route_id", F.concat_ws("\n", head, "body").alias("t"))
+    rows, key = sections(spark, sf), F.col("o_orderkey")
+    photo = lambda name, reason: F.struct(F.lit(name).alias("photo"), F.lit(reason).alias("reason"))
+    routes = table(spark, sf, "orders").select(
+        key.alias("route_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("place"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("captured"), (key % 2 == 0).alias("simulated"), F.lit("Foto").alias("method"),
+        F.lit(5.8).alias("width_m"), F.when(key % 3 == 0, F.array(photo("x.jpg", "dunkel"), photo("y.jpg", "unscharf"))).alias("rejected_photos"), F.when(key % 5 == 0, F.array(F.lit("Schatten"))).alias("limitations"),
+    )
+    return decide.route_text(routes, rows.withColumn("note", F.when(F.col("nr") % 3 == 0, "Nass")), kpis.route_kpis(rows))
 
 
 # --- decisions ----------------------------------------------------------------------------------
 
 
-@query(K + """
-    SELECT route_id, rule, CASE rule WHEN 'neu_aufnehmen' THEN CAST(CAST(printf('%.0f', (unusable_share * 100)::DOUBLE) AS DOUBLE) AS BIGINT) || ' % der Fotos sind nicht auswertbar.'
+REASON_SQL = """CASE rule WHEN 'neu_aufnehmen' THEN CAST(CAST(printf('%.0f', (unusable_share * 100)::DOUBLE) AS DOUBLE) AS BIGINT) || ' % der Fotos sind nicht auswertbar.'
         WHEN 'dringend_melden' THEN (class_4 + class_5) || CASE WHEN class_4 + class_5 = 1 THEN ' Abschnitt liegt' ELSE ' Abschnitte liegen' END || ' in Klasse 4 oder schlechter.'
-        WHEN 'sanierung_planen' THEN class_3 || CASE WHEN class_3 = 1 THEN ' Abschnitt liegt' ELSE ' Abschnitte liegen' END || ' in Klasse 3, keiner schlechter.' ELSE 'Alle Abschnitte in Klasse 1 oder 2.' END AS reason FROM r
-""")
+        WHEN 'sanierung_planen' THEN class_3 || CASE WHEN class_3 = 1 THEN ' Abschnitt liegt' ELSE ' Abschnitte liegen' END || ' in Klasse 3, keiner schlechter.' ELSE 'Alle Abschnitte in Klasse 1 oder 2.' END"""
+
+
+@query(K + f"SELECT route_id, rule, {REASON_SQL} AS reason FROM r")
 def r1_disposition(spark, sf):
     return decide.disposition(kpis.route_kpis(sections(spark, sf))).select("route_id", "rule", "reason")
 
@@ -683,53 +701,76 @@ PRIO_SQL = """
 """
 
 
-@query(K + PRIO_SQL + """
-    SELECT r.route_id, rule, CASE WHEN rule IN ('dringend_melden', 'sanierung_planen') THEN coalesce(priority, '') ELSE '' END AS priority,
-           CASE WHEN rule IN ('dringend_melden', 'sanierung_planen') THEN printf('%02d', w.nr) || ' ' || replace(printf('%.1f', w.share_pct), '.', ',') ELSE '' END AS worst
-    FROM r LEFT JOIN prio USING (route_id) LEFT JOIN s w ON w.route_id = r.route_id AND w.nr = r.worst_nr
-""")
-def r2_rule_decision(spark, sf):
-    rows, _ = decided(spark, sf)
-    worst = F.concat_ws(" ", F.nullif(F.regexp_extract("rule_text", r"Abschnitt (\d+) \(Station", 1), F.lit("")), F.nullif(F.regexp_extract("rule_text", r"m\) mit ([0-9,]+) %", 1), F.lit("")))
-    return rows.select("route_id", "rule", F.array_join(F.col("rule_priority").cast("array<string>"), ",").alias("priority"), worst.alias("worst"))
+RULED_SQL = PRIO_SQL + f"""
+    , ruled AS (
+        SELECT r.*, CASE WHEN rule IN ('dringend_melden', 'sanierung_planen') THEN coalesce(priority, '') ELSE '' END AS rule_priority,
+               {REASON_SQL} || CASE WHEN rule = 'neu_aufnehmen' THEN ' Eine Bewertung wäre unsicher.' ELSE ' Am stärksten betroffen ist Abschnitt ' || printf('%02d', w.nr) || ' (Station ' || printf('%g', w.station_from_m) || '–' || printf('%g', w.station_to_m) || ' m) mit ' || {_de('w.share_pct')} || ' %.' END AS acting,
+               'Der Schadanteil liegt bei ' || {_de('r.share_pct')} || ' %, kein Abschnitt erreicht Klasse 3. Ein Eingriff ist derzeit nicht nötig.' AS calm,
+               CASE rule {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in decide.NEXT_STEPS.items())} END AS rule_step
+        FROM r LEFT JOIN prio USING (route_id) LEFT JOIN s w ON w.route_id = r.route_id AND w.nr = r.worst_nr
+    )
+"""
 
 
-PROPOSALS_SQL = """
-    , prop AS (SELECT o_orderkey AS route_id, CASE o_orderkey % 6 WHEN 0 THEN 'neu_aufnehmen' WHEN 1 THEN 'beobachten' WHEN 2 THEN 'sanierung_planen' WHEN 3 THEN 'dringend_melden' WHEN 4 THEN 'unsinn' END AS course FROM orders),
+@query(K + RULED_SQL + "SELECT route_id, rule, rule_priority AS priority, CASE WHEN rule = 'beobachten' THEN calm ELSE acting END AS text, rule_step AS step FROM ruled")
+def r2_rule_decision(spark, sf):
+    rows, _ = decided(spark, sf)
+    return rows.select("route_id", "rule", F.array_join(F.col("rule_priority").cast("array<string>"), ",").alias("priority"), F.col("rule_text").alias("text"), F.col("rule_step").alias("step"))
+
+
+TITLES_SQL = " ".join(f"WHEN '{c[0]}' THEN '{c[2]}'" for c in decide.COURSES)
+#: Proposals of every kind: each course, an unknown and a null one, a failed call, none at all; priorities that are
+#: absent, empty, foreign and double.
+PROPOSALS_SQL = RULED_SQL + f"""
+    , prop AS (
+        SELECT o_orderkey AS route_id, CASE o_orderkey % 6 WHEN 0 THEN 'neu_aufnehmen' WHEN 1 THEN 'beobachten' WHEN 2 THEN 'sanierung_planen' WHEN 3 THEN 'dringend_melden' WHEN 4 THEN 'unsinn' END AS course,
+               CASE WHEN o_orderkey % 11 = 0 THEN 'Zeit' END AS error, CASE WHEN o_orderkey % 5 <> 0 THEN 'Vorschlag' ELSE '' END AS text, o_orderkey % 4 AS kind
+        FROM orders WHERE o_orderstatus <> 'P'
+    ),
     sev(course, level) AS (VALUES ('neu_aufnehmen', 0), ('beobachten', 1), ('sanierung_planen', 2), ('dringend_melden', 3)),
-    j AS (SELECT r.*, prop.course, a.level AS cl, b.level AS rl FROM r LEFT JOIN prop USING (route_id) LEFT JOIN sev a ON a.course = prop.course JOIN sev b ON b.course = r.rule),
-    j2 AS (SELECT *, cl IS NOT NULL AND rule <> 'neu_aufnehmen' AS valid FROM j),
-    j3 AS (SELECT *, valid AND course <> rule AND (course = 'neu_aufnehmen' OR cl < rl) AND NOT (course = 'neu_aufnehmen' AND unusable_share > 0) AS over FROM j2),
-    d AS (SELECT *, CASE WHEN valid AND NOT over THEN course ELSE rule END AS decision, CASE WHEN NOT valid THEN 'regel' WHEN over THEN 'ki+regel' ELSE 'ki' END AS decided_by FROM j3)
+    j AS (SELECT r.*, prop.route_id IS NOT NULL AS proposed, prop.course, error, text, kind, a.level AS cl, b.level AS rl FROM ruled r LEFT JOIN prop USING (route_id) LEFT JOIN sev a ON a.course = prop.course JOIN sev b ON b.course = r.rule),
+    j2 AS (SELECT *, cl IS NOT NULL AND rule <> 'neu_aufnehmen' AND error IS NULL AS valid FROM j),
+    j3 AS (SELECT *, valid AND course <> rule AND (course = 'neu_aufnehmen' OR cl < rl) AND NOT (course = 'neu_aufnehmen' AND unusable_share > 0) AS over,
+                  CASE kind WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN CASE WHEN sections > 1 THEN '2,1' ELSE '1' END ELSE '1,1' END AS named FROM j2),
+    d AS (
+        SELECT *, CASE WHEN valid AND NOT over THEN course ELSE rule END AS decision, CASE WHEN NOT valid THEN 'regel' WHEN over THEN 'ki+regel' ELSE 'ki' END AS decided_by,
+               CASE WHEN valid AND NOT over AND text <> '' THEN text WHEN rule = 'beobachten' THEN calm ELSE acting END AS decision_text, CASE WHEN valid AND NOT over THEN 'Schritt' ELSE rule_step END AS next_step,
+               CASE WHEN valid AND NOT over THEN named WHEN over AND rule_priority = '' THEN named ELSE rule_priority END AS priority,
+               CASE WHEN rule = 'neu_aufnehmen' THEN '' WHEN NOT proposed THEN '{decide.NOTES["offline"]}' WHEN error IS NOT NULL THEN 'KI nicht erreichbar (' || error || '). Entscheidung nach Regeln.' WHEN NOT valid THEN '{decide.NOTES["invalid"]}'
+                    WHEN over THEN 'Die KI schlug „' || CASE course {TITLES_SQL} END || '“ vor. Die Messwerte verlangen mindestens „' || CASE rule {TITLES_SQL} END || '“, daher gilt die strengere Einstufung.' ELSE '' END AS note
+        FROM j3
+    )
 """
 
 
 def merged(spark, sf) -> tuple[DataFrame, DataFrame]:
     rows, parts = decided(spark, sf)
-    k = F.col("o_orderkey") % 6
-    course = F.when(k == 0, "neu_aufnehmen").when(k == 1, "beobachten").when(k == 2, "sanierung_planen").when(k == 3, "dringend_melden").when(k == 4, "unsinn")
-    numbers = F.array(F.lit(99), F.lit(2), F.lit(1), F.lit(-1))
-    props = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route_id"), course.alias("course"), F.lit(" Vorschlag\x07 ").alias("text"), F.lit("Schritt").alias("step"), numbers.alias("priority"))
+    key = F.col("o_orderkey")
+    course = F.when(key % 6 == 0, "neu_aufnehmen").when(key % 6 == 1, "beobachten").when(key % 6 == 2, "sanierung_planen").when(key % 6 == 3, "dringend_melden").when(key % 6 == 4, "unsinn")
+    list_of = lambda *n: F.array(*[F.lit(x) for x in n]).cast("array<int>")
+    numbers = F.when(key % 4 == 1, list_of()).when(key % 4 == 2, list_of(99, 2, 1, -1)).when(key % 4 == 3, list_of(1, 99, 1))
+    props = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(
+        key.alias("route_id"), course.alias("course"), F.when(key % 5 != 0, " Vorschlag\x07 ").alias("text"), F.lit("Schritt").alias("step"), numbers.alias("priority"), F.when(key % 11 == 0, "Zeit").alias("error")
+    )
     return decide.merge_proposals(rows, props, parts), parts
 
 
-@query(K + PROPOSALS_SQL + "SELECT route_id, decision, decided_by, CASE WHEN decided_by = 'ki' THEN 'Vorschlag' ELSE '' END AS own_text FROM d")
+@query(K + PROPOSALS_SQL + "SELECT route_id, decision, decided_by, decision_text, next_step, note FROM d")
 def r3_merge_proposals(spark, sf):
-    rows, _ = merged(spark, sf)
-    own = F.when(F.col("decided_by") == "ki", F.col("decision_text")).otherwise("")
-    return rows.select("route_id", "decision", "decided_by", own.alias("own_text"))
+    return merged(spark, sf)[0].select("route_id", "decision", "decided_by", "decision_text", "next_step", "note")
 
 
-@query(K + PROPOSALS_SQL + "SELECT route_id, CASE WHEN sections > 1 THEN '2,1' ELSE '1' END AS priority FROM d WHERE decided_by = 'ki'")
+@query(K + PROPOSALS_SQL + "SELECT route_id, priority FROM d")
 def r4_named_priorities(spark, sf):
-    rows, _ = merged(spark, sf)
-    return rows.where("decided_by = 'ki'").select("route_id", F.array_join(F.col("priority").cast("array<string>"), ",").alias("priority"))
+    return merged(spark, sf)[0].select("route_id", F.array_join(F.col("priority").cast("array<string>"), ",").alias("priority"))
 
 
-@query(K + PROPOSALS_SQL + "SELECT route_id, decision, CASE decision WHEN 'neu_aufnehmen' THEN 'Bitte neu aufnehmen' WHEN 'beobachten' THEN 'Kein Handlungsbedarf' WHEN 'sanierung_planen' THEN 'Sanierung einplanen' ELSE 'Zeitnah handeln' END AS title, 12 AS id_length FROM d")
+@query(K + PROPOSALS_SQL + f"""
+    SELECT route_id, decision, CASE decision {TITLES_SQL} END AS title,
+           substring(sha256(route_id || '|' || decision || '|' || decided_by || '|' || decision_text || '|' || next_step || '|[' || priority || ']'), 1, 12) AS decision_id FROM d
+""")
 def r5_enriched(spark, sf):
-    rows, _ = merged(spark, sf)
-    return decide.enriched(rows).select("route_id", "decision", "title", F.length("decision_id").alias("id_length"))
+    return decide.enriched(merged(spark, sf)[0]).select("route_id", "decision", "title", "decision_id")
 
 
 @query(K + PROPOSALS_SQL + """
@@ -902,11 +943,11 @@ def j3_positional_join(spark, sf):
 
 @query(S + """
     , g AS (SELECT route_id, 'own' AS origin, count(*) AS n FROM s WHERE condition >= 4 GROUP BY 1)
-    SELECT * FROM g UNION ALL SELECT o_orderkey, 'example', 0 FROM orders WHERE o_orderkey % 10 = 0
+    SELECT * FROM g UNION ALL SELECT o_orderkey, 'example', 0 FROM orders WHERE o_orderpriority = '1-URGENT'
 """)
 def j5_union_lists(spark, sf):
     own = sections(spark, sf).where("condition >= 4").groupBy("route_id").agg(F.count("*").alias("n")).withColumn("origin", F.lit("own"))
-    example = table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("route_id"), F.lit(0).cast("long").alias("n"), F.lit("example").alias("origin"))
+    example = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("route_id"), F.lit(0).cast("long").alias("n"), F.lit("example").alias("origin"))
     return own.unionByName(example)
 
 
@@ -917,13 +958,19 @@ def j6_group_stat_join_back(spark, sf):
     return rows.join(middle, "route_id").select("route_id", "nr", (F.col("area_m2") / F.col("middle")).alias("ratio"))
 
 
-@query(S + """
-    SELECT route_id, nr, printf('%02d', nr) || ';' || translate(format('{:,.1f}', station_from_m), ',.', '.,') || ';' || photo || ';' || coalesce(translate(format('{:,.6f}', lat), ',.', '.,'), '') || ';' || condition AS line FROM s
-""")
+def _grouped(c: str, n: int = 1) -> str:
+    return f"coalesce(translate(format('{{{{:,.{n}f}}}}', ({c})::DOUBLE), ',.', '.,'), '')"
+
+
+@query(S + f"""
+    SELECT route_id, nr, printf('%02d', nr) || ';' || {_grouped('station_from_m')} || ';' || {_grouped('station_to_m')} || ';' || photo || ';' || strftime(captured, '%Y-%m-%d') || ';' || {_grouped('lat', 6)} || ';' || {_grouped('lon', 6)} || ';5,80;' || {_grouped('area_m2')}
+        || ';' || CASE WHEN nr % 2 = 0 THEN '1,25' ELSE '0,00' END || ';' || {_grouped('longitudinal_m')} || ';' || {_grouped('transverse_m')} || ';' || {_grouped('(longitudinal_m + transverse_m) / 2', 2)} || ';' || {_grouped('transverse_m / 2', 2)} || ';' || {_grouped('net_m2', 2)}
+        || ';' || {_grouped('patch_m2', 2)} || ';' || {_grouped('damage_m2', 2)} || ';' || {_grouped('share_pct')} || ';' || condition || ';' || CASE WHEN lat IS NULL THEN '' ELSE '{LINK}' || printf('%.6f', lat) || ',' || printf('%.6f', lon) END AS line FROM s
+""".replace("{{", "{").replace("}}", "}"))
 def k2_csv_lines(spark, sf):
-    rows = sections(spark, sf)
-    row = [fn.padded(F.col("nr")), fn.decimal_comma_grouped(F.col("station_from_m")), F.col("photo"), fn.decimal_comma_grouped(F.col("lat"), 6), F.col("condition").cast("string")]
-    return rows.select("route_id", "nr", sinks.csv_line(row).alias("line"))
+    rows = sections(spark, sf).withColumn("captured", F.date_format("captured", "yyyy-MM-dd")).withColumn("width_m", F.lit(5.8)).withColumn("shade_m2", F.when(F.col("nr") % 2 == 0, 1.25))
+    rows = rows.withColumn("crack_rule_m2", (F.col("longitudinal_m") + F.col("transverse_m")) / 2).withColumn("crack_m2", F.col("transverse_m") / 2)
+    return sinks.section_csv(rows, LINK)
 
 
 @query()

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from roadlens.session import path_exists
 from pyspark.sql.window import Window
 
 # Suffixes, EXIF tags, and how much of a file is searched for its header.
@@ -29,6 +31,23 @@ def photo_files(spark: SparkSession, root: str, content: bool = False) -> DataFr
     return out
 
 
+def street_folders(spark: SparkSession, root: str, named: str | None = None) -> list[str]:
+    """Folders to scan, one a street: the named one, as a path or below ``root``, else all folders below ``root``."""
+    if named:
+        found = [p for p in (named, f"{root.rstrip('/')}/{named}") if path_exists(spark, p)]
+        if not found:
+            raise FileNotFoundError(f"no folder {named}, neither as a path nor below {root}")
+        return found[:1]
+    if not path_exists(spark, root):
+        raise FileNotFoundError(f"no folder {root}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    entries = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    folders = sorted(e.getPath().toString() for e in entries if e.isDirectory())
+    if not folders:
+        raise FileNotFoundError(f"no folders of streets below {root}")
+    return folders
+
+
 def stale_streets(photos: DataFrame, reports: DataFrame) -> DataFrame:
     """Streets without a report (street, reported), or with a photo newer than it."""
     newest = photos.groupBy("street").agg(F.max("modified").alias("newest"))

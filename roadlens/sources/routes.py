@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadlens.session import path_exists
+
 #: Raw measurements of one street, as a photo evaluation writes them.
 RAW_RESULT = """titel string, ort string, version string,
     abschnitte array<struct<datei: string, zeit: string, lat: double, lon: double, gps_genauigkeit: double, fahrbahnbreite: double, bezugsflaeche: double,
@@ -33,6 +33,6 @@ def raw_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return items, bad.select("route_id", pick(0, "foto").alias("photo"), pick(1, "grund").alias("reason")).where("photo is not null")
 
 
-def existing(paths: list[str]) -> list[str]:
-    """A catalog's files that are there."""
-    return [p for p in paths if os.path.exists(p.removeprefix("file://"))]
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """A catalog's files that are there, in whatever store Spark reads."""
+    return [p for p in paths if path_exists(spark, p)]

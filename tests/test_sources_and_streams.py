@@ -71,6 +71,17 @@ def test_photo_folder(spark, tmp_path):
     assert [r["street"] for r in photos.stale_streets(files, reports).collect()] == ["b"]
 
 
+def test_street_folders(spark, tmp_path):
+    for street in ("a", "b"):
+        (tmp_path / street).mkdir()
+    names = lambda paths: [p.rsplit("/", 1)[1] for p in paths]
+    assert names(photos.street_folders(spark, str(tmp_path))) == ["a", "b"]
+    assert names(photos.street_folders(spark, str(tmp_path), "b")) == ["b"] and names(photos.street_folders(spark, "/nowhere", str(tmp_path / "a"))) == ["a"]
+    for root, named in ((str(tmp_path), "c"), (str(tmp_path / "a"), None), (str(tmp_path / "none"), None)):
+        with pytest.raises(FileNotFoundError):
+            photos.street_folders(spark, root, named)
+
+
 def test_json_sources(spark, tmp_path):
     doc = {"titel": "t", "abschnitte": [{"datei": "p", "nr": 1, "von": 4.0, "bis": 9.0, "schadanteil": 7.5}], "nicht_ausgewertet": [["x.jpg", "dark"], {"foto": "y.jpg", "grund": "blurred"}]}
     (tmp_path / "a.json").write_text(json.dumps(doc))
@@ -78,7 +89,7 @@ def test_json_sources(spark, tmp_path):
     assert items.first()["share"] == 7.5
     assert {(r["photo"], r["reason"]) for r in bad.collect()} == {("x.jpg", "dark"), ("y.jpg", "blurred")}
     assert routes.route_texts(spark, str(tmp_path)).count() == 1
-    assert routes.existing([str(tmp_path / "a.json"), str(tmp_path / "b.json")]) == [str(tmp_path / "a.json")]
+    assert routes.existing(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")]) == [str(tmp_path / "a.json")]
 
 
 def test_photo_measures(spark):
