@@ -47,13 +47,9 @@ def running_totals(rows: DataFrame, group: list[str], spread: str, order: list[s
     return out.drop("_cut", *[f"_within_{o}" for o in sums], *[f"_before_{o}" for o in sums])
 
 
-def _smallest(edges: DataFrame, salts: int = 64) -> DataFrame:
-    """The smallest v of each u: (u, m), a saved table.
-
-    Tasks reduce their own rows before the shuffle; what is left of a hub is reduced in two steps.
-    """
-    salted = edges.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(salts)).alias("salt")).agg(F.min("v").alias("m"))
-    return saved(salted.groupBy("u").agg(F.min("m").alias("m")), "least")
+def _smallest(edges: DataFrame) -> DataFrame:
+    """The smallest v of each u: (u, m), a saved table.  Tasks reduce their own rows of a hub before the shuffle."""
+    return saved(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -72,12 +68,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _smallest(both)
         own = F.least("m", "u")
-        large = saved(now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), own.alias("v")).distinct(), "large")
-        discard(now, least)
-        least = _smallest(large)
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(large, least)
+        large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), own.alias("v")).distinct()
+        lower = _smallest(large)
+        small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = saved(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(now, least, lower)
+        now = after
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
             now.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
         )

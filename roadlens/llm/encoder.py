@@ -19,8 +19,8 @@ import numpy as np
 
 
 def tokenizer_version(path: str) -> str:
-    """Digest of the file and of the library's version: counts under another digest are never reused."""
-    library = "sentencepiece" if path.endswith(".model") else "tokenizers"
+    """Digest of the file and of the version of the library that encodes: counts under another digest are never reused."""
+    library = "sentencepiece" if path.endswith(".model") else "tiktoken" if _plain_ranks(path) else "tokenizers"
     with open(path, "rb") as f:
         return hashlib.sha256(f.read() + f"|{library} {importlib.metadata.version(library)}".encode()).hexdigest()
 

@@ -23,7 +23,7 @@ END = 0x7E5D_0E5D_0E5D_0E5D
 HEAD = 1 << 20
 #: Classes of the most frequent words, whose words have outputs of their own, words in such a class, classes to
 #: which the hash deals all other words (a power of two), and units of the recurrent layer.
-CLASSES, CLASS_WORDS, TAIL, UNITS = 32, 64, 32, 32
+CLASSES, CLASS_WORDS, TAIL, UNITS = 32, 64, 16, 24
 #: Truncated backpropagation: steps of a window (state is carried across the windows of a text), streams that
 #: are trained on side by side, learning rate, and rounds after each of which the networks are averaged.
 STEPS, BATCH, RATE, ROUNDS = 32, 128, 0.01, 4
@@ -121,13 +121,20 @@ def _head(counts: DataFrame) -> Head:
     return Head(tokens, n, places, total, n_types, totals - np.bincount(c, n[best], TAIL).astype(np.int64), types - np.bincount(c, minlength=TAIL))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _log_chances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row of ``x`` at one column; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
 @dataclass
@@ -167,39 +174,46 @@ class Network:
         }
         return self
 
-    def forward(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray, trace: bool) -> tuple[np.ndarray, list, np.ndarray]:
+    def forward(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray, trace: bool) -> tuple[np.ndarray, tuple, np.ndarray]:
         """States after each input of a window (steps x streams); ``keep`` is 0 where a text begins."""
-        states, saved_steps = np.empty((*inputs.shape, UNITS), np.float32), []
         x, u = self.p["inputs"][inputs], self.p["state"]
+        shape = (*inputs.shape, UNITS)
+        states, before, gated, new = (np.empty(shape, np.float32) for _ in range(4))
+        gates = np.empty((*inputs.shape, 2 * UNITS), np.float32)  # update and reset
         for t in range(len(inputs)):
             if keep is not None:
                 h = h * keep[t][:, None]
-            a, b = x[t], h @ u
-            gates = _sigmoid(a[:, : 2 * UNITS] + b[:, : 2 * UNITS])
-            z, r, bn = gates[:, :UNITS], gates[:, UNITS:], b[:, 2 * UNITS :]
-            new = np.tanh(a[:, 2 * UNITS :] + r * bn)
-            if trace:
-                saved_steps.append((h, z, r, bn, new))
-            h = new + z * (h - new)
+            before[t] = h
+            b = h @ u
+            a, zr = x[t], gates[t]
+            np.add(a[:, : 2 * UNITS], b[:, : 2 * UNITS], out=zr)
+            zr *= np.float32(0.5)  # the logistic function
+            np.tanh(zr, out=zr)
+            zr += np.float32(1)
+            zr *= np.float32(0.5)
+            gated[t] = b[:, 2 * UNITS :]
+            np.multiply(zr[:, UNITS:], gated[t], out=new[t])
+            new[t] += a[:, 2 * UNITS :]
+            np.tanh(new[t], out=new[t])
+            h = h - new[t]
+            h *= zr[:, :UNITS]
+            h += new[t]
             states[t] = h
-        return states, saved_steps, h
+        return states, (before, gates[..., :UNITS], gates[..., UNITS:], gated, new) if trace else (), h
 
     def chances(self, states: np.ndarray, places: np.ndarray) -> np.ndarray:
         """log10 of the chance of each place (below 0: of a class of the tail) after each state."""
-        logits = states @ self.p["class"] + self.p["class_bias"]
-        top = logits.max(axis=1)
-        norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
         cls = self.classes_of(places)
-        out = (logits[np.arange(len(cls)), cls] - norm).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # class by class
+        cls, states, places = cls[order], states[order], places[order]
+        sums = _log_chances(states @ self.p["class"] + self.p["class_bias"], cls).astype(np.float64)
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                logits = states[at] @ self.p["word"][c].T + self.p["word_bias"][c]
-                top = logits.max(axis=1)
-                norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-                out[at] += logits[np.arange(len(at)), places[at] % CLASS_WORDS] - norm
+            a, b = cuts[c], cuts[c + 1]
+            if a < b:
+                sums[a:b] += _log_chances(states[a:b] @ self.p["word"][c].T + self.p["word_bias"][c], places[a:b] % CLASS_WORDS)
+        out = np.empty(len(sums))
+        out[order] = sums
         return out / np.log(10.0)
 
     def gradient(
@@ -211,24 +225,28 @@ class Network:
         flat, target, weight = states.reshape(-1, UNITS), places.ravel(), mask.ravel().astype(np.float32)
         weight = weight / max(1.0, float(weight.sum()))
         cls = self.classes_of(target)
-        d = _softmax(flat @ self.p["class"] + self.p["class_bias"])
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # class by class
+        cls, by_class, target, weight = cls[order], flat[order], target[order], weight[order][:, None]
+        d = _softmax(by_class @ self.p["class"] + self.p["class_bias"])
         d[np.arange(len(cls)), cls] -= 1
-        d *= weight[:, None]
-        g = {"class": flat.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
-        back = d @ self.p["class"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        d *= weight
+        g = {"class": by_class.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
+        sorted_back = d @ self.p["class"].T
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(at):
-                d = _softmax(flat[at] @ self.p["word"][c].T + self.p["word_bias"][c])
-                d[np.arange(len(at)), target[at] % CLASS_WORDS] -= 1
-                d *= weight[at][:, None]
-                g["word"][c], g["word_bias"][c] = d.T @ flat[at], d.sum(axis=0)
-                back[at] += d @ self.p["word"][c]
+            a, b = cuts[c], cuts[c + 1]
+            if a < b:
+                own = by_class[a:b]
+                d = _softmax(own @ self.p["word"][c].T + self.p["word_bias"][c])
+                d[np.arange(b - a), target[a:b] % CLASS_WORDS] -= 1
+                d *= weight[a:b]
+                g["word"][c], g["word_bias"][c] = d.T @ own, d.sum(axis=0)
+                sorted_back[a:b] += d @ self.p["word"][c]
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
         back = back.reshape(steps, streams, UNITS)
         u = self.p["state"]
-        h0, z, r, bn, new = (np.stack(x) for x in zip(*trace, strict=True))
+        h0, z, r, bn, new = trace
         to_new, to_z, to_r = (1 - z) * (1 - new * new), (h0 - new) * z * (1 - z), bn * r * (1 - r)
         into, du = np.empty((steps, streams, 3 * UNITS), np.float32), np.empty((steps, streams, 3 * UNITS), np.float32)
         later = np.zeros((streams, UNITS), np.float32)
@@ -241,11 +259,11 @@ class Network:
             if keep is not None:
                 later *= keep[t][:, None]
         g["state"] = h0.reshape(-1, UNITS).T @ du.reshape(-1, 3 * UNITS)
-        flat_inputs = inputs.ravel()
-        order = np.argsort(flat_inputs, kind="stable")
-        rows, first = np.unique(flat_inputs[order], return_index=True)
+        order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+        rows = inputs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         g["inputs"] = np.zeros_like(self.p["inputs"])
-        g["inputs"][rows] = np.add.reduceat(into.reshape(-1, 3 * UNITS)[order], first, axis=0)
+        g["inputs"][rows[first]] = np.add.reduceat(into.reshape(-1, 3 * UNITS)[order], first, axis=0)
         return g, last
 
     def flat(self) -> np.ndarray:
@@ -358,7 +376,11 @@ def train_network(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> i
     for w in stream_windows(texts, BATCH):
         g, h = net.gradient(w.inputs, w.places, w.mask, h[w.live], w.keep)
         n = int(w.mask.sum())
-        seen, gathered = seen + n, gathered + n
+        seen += n
+        if not gathered and 2 * n >= STEPS * BATCH:
+            adam.step(net.p, g, RATE * n / (STEPS * BATCH))
+            continue
+        gathered += n
         for k, x in g.items():
             total[k] = x * np.float32(n) + total[k] if k in total else x * np.float32(n)
         if 2 * gathered >= STEPS * BATCH:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlens.llm.common import WORD, content, running_totals
+from roadlens.llm.common import WORD, content, row_key, running_totals
 from roadlens.session import saved
 
 #: Weights of the sources in order, repeating; the mix's share of all words; passes over a source at most.
@@ -18,6 +18,8 @@ WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
 BLOCK_ROWS, SHARDS, SEED = 256, 16, "mix-1"
 #: Pieces of an output shard that tasks write and shuffle one by one.
 PIECES = 4096
+#: Sources at most: their quotas are one row of the tree.
+MOST_SOURCES = 1 << 20
 #: Width of the draw's support in standard deviations; the mass outside is below 1e-20.
 SPREAD = 10
 
@@ -122,7 +124,9 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     passes over the source while its target allows, then the permuted blocks until the target is met; the
     last document of a source is taken in part, so taken words differ from the target by less than one.  The
     exact number of blocks of each source is then divided among the output shards by the splitting tree, and
-    shards draw disjoint ranges of the permuted blocks.  ``shuffle_key`` orders a shard's documents.
+    shards draw disjoint ranges of the permuted blocks.  ``shuffle_key`` orders a shard's documents.  The tree
+    holds the quotas of all sources of a node in one row, so sources are a list of names, MOST_SOURCES at most;
+    more raise an error.
 
     Returns doc_id, source, size, source_size, target, taken, parts (array of (shard, words), one a pass),
     shuffle_key, version (xxhash64 of the text): one row for each input row.  Null texts and texts without
@@ -132,6 +136,9 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("key"), F.regexp_count(content(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(content()).alias("version"))
     sizes = saved(sizes.withColumn("h", _hash60(F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), "sizes")
     stats = sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
+    stats = saved(stats, "stats")
+    if stats.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: name groups of them")
     stats = saved(_targets(stats), "targets")
     stats = stats.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_rows") / BLOCK_ROWS)).cast("long"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -172,18 +179,29 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The documents of the mix with the columns of ``docs``: one row a pass, dealt to pieces of the output shards
-    (as many as the data need, PIECES a shard at most) and shuffled within them.  A document taken in part keeps its first words, joined by one space."""
+    (as many as the data need, PIECES a shard at most) and shuffled within them.
+
+    A document taken in part keeps its first words, joined by one space, and n_chars follows its text.  Null and
+    empty texts and texts without words are never taken.  Rows that share doc_id and text are numbered among
+    themselves, so each is taken as often as the plan says.  A null doc_id stays null; an empty table gives an
+    empty result.  Columns may have any names: rows travel as one struct.
+    """
     plan = mix(docs, shards)
-    names = docs.columns
-    same = ["_id", "_version", "_nth"]
-    nth = F.row_number().over(Window.partitionBy("_id", "_version").orderBy(F.lit(0)))
-    left = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_version", F.xxhash64(content())).withColumn("_nth", nth)
-    right = plan.where("taken > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("version").alias("_version"), F.col("size").alias("_size"), F.col("shuffle_key").alias("_key"), F.col("parts").alias("_parts"))
-    right = right.withColumn("_nth", nth)
-    rows = left.join(right, same).withColumn("_part", F.explode("_parts"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(content(), F.lit(WORD), F.lit(0)), 1, F.greatest(F.lit(1), F.col("_part.words")).cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("_part.words") < F.col("_size"), cut).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    dealt = rows.repartition("_part.shard", F.pmod("_key", F.lit(PIECES)))
-    return dealt.sortWithinPartitions("_part.shard", "_key").select(*names)
+    same = ["id", "no_id", "version", "nth"]
+    nth = F.row_number().over(Window.partitionBy("id", "no_id", "version").orderBy(F.lit(0)))
+    left = docs.select(F.struct("*").alias("row"), *row_key(), F.xxhash64(content()).alias("version"))
+    right = plan.where("taken > 0").select(*row_key(), "version", "size", "shuffle_key", "parts")
+    repeated = saved(right.groupBy("id", "no_id", "version").count().where("count > 1").drop("count"), "repeated")
+    if repeated.isEmpty():  # then no row needs a number
+        left, right = left.withColumn("nth", F.lit(1)), right.withColumn("nth", F.lit(1))
+    else:
+        left, right = left.withColumn("nth", nth), right.withColumn("nth", nth)
+    rows = left.join(right, same).withColumn("part", F.explode("parts"))
+    text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.greatest(F.lit(1), F.col("part.words")).cast("int")), " ")
+    taken = F.when(F.col("part.words") < F.col("size"), cut).otherwise(F.col("row")["text"])
+    changed = {"text": taken, "n_chars": F.length(taken)}
+    fields = [changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns]
+    rows = rows.select("part.shard", "shuffle_key", F.struct(*fields).alias("row"))
+    dealt = rows.repartition("shard", F.pmod("shuffle_key", F.lit(PIECES)))
+    return dealt.sortWithinPartitions("shard", "shuffle_key").select("row.*")

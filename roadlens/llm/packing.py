@@ -104,7 +104,9 @@ def pack(docs: DataFrame, tokenizer_path: str, room: int = 2048, end_id: int = 0
     few sequences left with a gap above GAP_KEPT are dealt again to tasks of about SECOND_ROUND pieces.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Every row of ``docs`` is packed:
-    an empty or null text is its end id alone, repeated rows are packed as often as they occur.
+    an empty or null text is its end id alone, repeated rows are packed as often as they occur, a null doc_id
+    stays null, an empty table gives an empty result.  Only doc_id and text are read, other columns may have any
+    names.
     """
     pieces = saved(pieces_of(docs, tokenizer_path, room, end_id), "pieces")
     full = pieces.where(F.col("length") == room).withColumn("sequence_id", F.bitwise_not(F.monotonically_increasing_id())).withColumn("offset", F.lit(0).cast("long"))

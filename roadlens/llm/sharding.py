@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadlens.llm.common import content, running_totals
-from roadlens.session import saved
+from roadlens.session import discard, saved
 
 #: Bytes that a document takes besides its text; rounds of propagation at most.
 OVERHEAD, ROUNDS = 8, 8
@@ -33,25 +33,33 @@ def _lookup(values: list[float], at: Column) -> Column:
 def _propagate(state: DataFrame, shards: int, share: float, rounds: int) -> DataFrame:
     """Rounds over (g1, g2, size, shard, n): n documents of a group in a shard.
 
-    In a round every group picks, among the shards that hold some of it and have room, the one that holds
-    most (the label of most neighbours), and its documents in shards that hold fewer want to move there.
-    Moves into a shard are admitted in hash order while they fit its room, the last group in part.
+    Documents of a group are neighbours of each other, so n is the number of neighbours that a shard holds.  In
+    a round each group's neighbour counts give the shard that holds most (ties by hash); the documents in shards
+    that hold fewer meet it in a join and want to move there.  Moves into a shard are admitted in hash order
+    while they fit its quota, the last group in part.  In even rounds all shards may be chosen, and a quota is
+    the shard's room and what wants to leave it, so that flows may cross; in odd rounds only shards with room.
     """
-    group = Window.partitionBy("g1", "g2")
-    for _ in range(rounds):
+    idle = 0
+    for k in range(rounds):
         loads = {r["shard"]: r["bytes"] for r in state.groupBy("shard").agg(F.sum(F.col("n") * F.col("size")).alias("bytes")).collect()}
-        room = [max(0.0, share - loads.get(s, 0)) for s in range(shards)]
-        rows = state.withColumn("room", _lookup(room, F.col("shard")))
-        best = F.max(F.when(F.col("room") >= F.col("size"), F.struct("n", (-F.col("shard")).alias("minus")))).over(group)
-        rows = rows.withColumn("best", best).where("best is not null")
-        wants = rows.where("n < best.n or (n = best.n and shard > -best.minus)")
-        wants = wants.select("g1", "g2", "size", "shard", "n", (-F.col("best.minus")).alias("target"), (F.col("n") * F.col("size")).alias("bytes"), F.xxhash64("g1", "g2").alias("h"))
-        wants = running_totals(saved(wants, "wants"), ["target"], "h", ["g1", "g2", "shard"], {"before": "bytes"})
-        fits = F.floor((_lookup(room, F.col("target")) - F.col("before")) / F.col("size"))
-        moves = wants.withColumn("k", F.greatest(F.lit(0), F.least(F.col("n"), fits)).cast("long")).where("k > 0")
+        room = [share - loads.get(s, 0) for s in range(shards)]
+        open_ = F.col("size") <= (F.lit(share) if k % 2 == 0 else _lookup(room, F.col("shard")))
+        best = state.where(open_).groupBy("g1", "g2").agg(F.max(F.struct("n", F.xxhash64("g1", "g2", "shard").alias("tie"), F.col("shard").alias("target"))).alias("best"))
+        wants = state.join(best, ["g1", "g2"]).where("shard <> best.target")
+        wants = wants.select("g1", "g2", "size", "shard", "n", "best.target", (F.col("n") * F.col("size")).alias("bytes"), F.xxhash64("g1", "g2").alias("h"))
+        wants = saved(wants, "wants")
+        leaving = {r["shard"]: r["bytes"] for r in wants.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()} if k % 2 == 0 else {}
+        quota = [max(0.0, room[s] + leaving.get(s, 0)) for s in range(shards)]
+        fits = F.floor((_lookup(quota, F.col("target")) - F.col("before")) / F.col("size"))
+        moves = running_totals(wants, ["target"], "h", ["g1", "g2", "shard"], {"before": "bytes"})
+        moves = moves.withColumn("k", F.greatest(F.lit(0), F.least(F.col("n"), fits)).cast("long")).where("k > 0")
         moves = saved(moves.select("g1", "g2", "size", "shard", "target", "k"), "moves")
-        if moves.isEmpty():
+        discard(wants)
+        idle = idle + 1 if moves.isEmpty() else 0
+        if idle == 2:
             break
+        if idle:
+            continue
         after = state.unionByName(moves.select("g1", "g2", "size", "shard", (-F.col("k")).alias("n"))).unionByName(
             moves.select("g1", "g2", "size", F.col("target").alias("shard"), F.col("k").alias("n"))
         )
@@ -59,6 +67,15 @@ def _propagate(state: DataFrame, shards: int, share: float, rounds: int) -> Data
     return state
 
 
+def cut_edges(rows: DataFrame, shard: str = "shard") -> DataFrame:
+    """Links between documents of equal texts (g1, g2), and how many of them join two shards: one row (links, cut)."""
+    pairs = lambda n: F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0)).cast("long")
+    held = rows.groupBy("g1", "g2", shard).agg(F.count("*").alias("n"))
+    inside = held.agg(pairs(F.col("n")).alias("inside"))
+    links = held.groupBy("g1", "g2").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("links"))
+    return links.join(F.broadcast(inside)).select("links", (F.col("links") - F.col("inside")).alias("cut"))  # one row each
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
     """Shards of near equal bytes that keep equal texts together.
 
@@ -68,8 +85,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) ->
     their hash order at the points that fill every shard to the same level.
 
     Returns doc_id, size (bytes of the text and OVERHEAD), text_crc32, shard, slot (gapless from 0 within a
-    shard), links_kept (rows of the same text in the shard): one row for each input row.  Null texts are
-    empty; rows that repeat are documents of their own.
+    shard), g1 and g2 (digests of the text, by which cut_edges tells links): one row for each input row.  Null
+    texts are empty, and empty texts are equal; rows that repeat are documents of their own; a null doc_id stays
+    null; an empty table gives an empty result.  Only doc_id and text are read, other columns may have any names.
     """
     text = content().cast("binary")
     base = docs.select("doc_id", F.octet_length(content()).cast("long").alias("bytes"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(text, F.lit(1)).alias("g2"))

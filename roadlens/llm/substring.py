@@ -263,8 +263,9 @@ def dedup_substrings(docs: DataFrame, length: int = 13) -> DataFrame:
     are compared as bytes, so clashing hashes cost time and change nothing.
 
     Returns doc_id, n_words, n_removed, kept_text (binary; the kept words joined by one space), one row for
-    each input row.  Null texts have no words.  Rows that share a doc_id don't remove each other's words.  A
-    null doc_id counts as larger than all others.
+    each input row, repeated ones too.  Null texts have no words.  Rows that share a doc_id don't remove each
+    other's words.  A null doc_id counts as larger than all others.  An empty table gives an empty result.  Only
+    doc_id and text are read, other columns may have any names.
     """
     spark = docs.sparkSession
     lists = _shared_routes(docs, length)

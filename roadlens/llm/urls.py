@@ -99,7 +99,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     without any decision is allowed.
 
     Returns page_id, host, path, rule, verdict, by_alias (true if an alias decided): one row for each input
-    row.  A null url and a url without :// have empty host and path and no aliases.
+    row, repeated ones too.  A null url and a url without :// have empty host and path and no aliases; null html
+    has no links; an empty table gives an empty result.  Only page_id, url and html are read, other columns may
+    have any names.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("own"), node_of(F.col("url")).alias("node"))

@@ -193,6 +193,87 @@ def test_sharding_splits_a_hot_group_and_keeps_small_ones(spark):
     assert len({r["shard"] for r in got if r["doc_id"] < 1000}) <= 5
 
 
+def test_cut_edges(spark):
+    """Against pairs counted one by one, and far fewer than placement by hash cuts."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text {k // 3} " * 9) for k in range(600)] + [(1000 + k, f"alone {k}") for k in range(200)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).withColumn("by_hash", F.pmod(F.xxhash64("doc_id"), F.lit(8))).cache()
+    got = out.collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["g1"]].append(r)
+    for column in ("shard", "by_hash"):
+        cut = sum(a[column] != b[column] for own in by.values() for i, a in enumerate(own) for b in own[:i])
+        assert tuple(sharding.cut_edges(out, column).first()) == (600, cut)
+    assert sharding.cut_edges(out).first()["cut"] < 0.2 * sharding.cut_edges(out, "by_hash").first()["cut"]
+
+
+def test_mixed_documents_carry_whole_rows(spark):
+    """Columns with the operator's own names, negative, null and repeated ids."""
+    names = "id long, no_id string, version int, nth string, size string, shuffle_key int, parts string, row int, _id long"
+    rows = [(d, f"one two three four {k % 3}", s, 9, *(1, "a", 2, "b", "c", 3, "d", 4, 5)) for k, (d, s) in enumerate([(-1, "x"), (None, "x"), (None, "y"), (4, "y"), (4, "y"), (5, None)] * 3)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, n_chars long, {names}")
+    out = mixing.mixed_documents(docs, 4)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(tuple(r)[4:] == (1, "a", 2, "b", "c", 3, "d", 4, 5) and r["n_chars"] == len(r["text"]) for r in got)
+    taken, want = Counter(), Counter()
+    for r in got:
+        taken[r["doc_id"]] += len(words_of(r["text"]))
+    for r in mixing.mix(docs, 4).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert +taken == +want
+    assert mixing.mixed_documents(docs.limit(0), 4).count() == 0
+
+
+def test_shards_draw_disjoint_blocks_and_fill_their_quotas(spark, crowd, monkeypatch):
+    """Each block of a source goes to one shard a pass, and the shards' blocks are within one of each other."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    whole = defaultdict(set)
+    for r in mixing.mix(crowd, 4).collect():
+        for at, p in enumerate(r["parts"]):
+            whole[(r["source"], r["doc_id"], at)].add(p["shard"])
+    assert all(len(s) == 1 for s in whole.values()) and {s for x in whole.values() for s in x} == {0, 1, 2, 3}
+
+
+def test_aliases_at_scale(spark):
+    """A hundred thousand links: chains, cycles, a hub, and pages alone; against components by hand."""
+    n, pages, links = 20_000, [], []
+
+    def page(k, target):
+        html = "" if target is None else f'<link rel="canonical" href="http://h{target}.org/p">'
+        pages.append((k, f"http://h{k}.org/p", html))
+        if target is not None:
+            links.append((k, target))
+
+    for k in range(n):  # chains of 40
+        page(k, k + 1 if k % 40 != 39 else None)
+    for k in range(n, 2 * n):  # cycles of 10
+        page(k, k + 1 if k % 10 != 9 else k - 9)
+    for k in range(2 * n, 5 * n):  # a hub
+        page(k, 2 * n if k > 2 * n else None)
+    parent = list(range(5 * n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    allowed, blocked = {39 + 40 * k for k in range(0, 400, 2)}, {20 + 40 * k for k in range(400)} | {n + 10 * k for k in range(100)} | {2 * n + 5}
+    rules = tuple(urls.Rule("allow", f"h{k}.org", "/") for k in sorted(allowed)[:40]) + tuple(urls.Rule("block", f"h{k}.org", "/") for k in [*sorted(blocked)[:40], n, n + 50, 2 * n + 5])
+    own = {int(r.host[1:-4]): r.verdict for r in rules}
+    by = defaultdict(set)
+    for k, v in own.items():
+        by[root(k)].add(v)
+    want = {k: own.get(k) or ("allow" if "allow" in by[root(k)] or not by[root(k)] else "block") for k in range(5 * n)}
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(docs, rules).select("page_id", "verdict").collect()}
+    assert got == want and Counter(got.values())["block"] > 3 * n
+
+
 def test_queries(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = queries.op9_sharding(spark, small).collect()
