@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     component are done.  What is left is compared in groups: a cluster of at most BLOCK candidates is a group,
     of a larger one each table is a group; a group is cut into blocks of BLOCK sets and every pair of blocks is
     compared whole.  So no pair that shares a key goes unexamined unless its ends are connected already, and
-    large clusters cost by the size of their tables.  Sets are compared in full.
+    loose clusters cost by the size of their tables.  Sets are compared in full.
 
     Returns doc_id, n_shingles, component_id, kept, one row for each input row, in whatever number it occurs.
     Null texts are empty; texts without words are empty sets, linked with nothing.  A null doc_id is larger than
@@ -261,11 +261,14 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _in_groups(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the candidates of each cluster or, where it is large, of each of its tables."""
+    """Links among the candidates of each cluster or, where that makes fewer pairs of a large one, of each of its tables."""
     centres = saved(active.groupBy("key").agg(F.min("node").alias("b")), "centres")
     clusters = components(active.join(centres, "key").select(F.col("node").alias("a"), "b").distinct())
     rows = saved(active.select("node", "component").distinct().join(clusters.select("node", F.col("component").alias("cluster")), "node"), "clusters")
-    sizes = saved(rows.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster"), "large")
+    tables = active.join(rows.select("node", "cluster"), "node").groupBy("cluster", "key").count()
+    cost = tables.groupBy("cluster").agg(F.sum(F.col("count") * F.col("count")).alias("by_table"))  # pairs, as against those of the cluster
+    sizes = rows.groupBy("cluster").count().where(F.col("count") > BLOCK).join(cost, "cluster")
+    sizes = saved(sizes.where(F.col("by_table") < F.col("count") * F.col("count")).select("cluster"), "large")
     small = rows.join(sizes, "cluster", "left_anti").select(F.lit(False).alias("by_table"), F.col("cluster").alias("group"), "node", "component")
     large = active.join(rows.join(sizes, "cluster", "left_semi").select("node"), "node").select(F.lit(True).alias("by_table"), F.col("key").alias("group"), "node", "component")
     groups = saved(small.unionByName(large), "groups")
