@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.llm import exact, lm, mixing, neardup, packing, quality, sharding, substring, tokens, urls
+from roadlens.llm import exact, infill, lm, mixing, neardup, packing, quality, secretscan, sharding, spelling, substring, tokens, urls
 from roadlens.session import fresh_path, ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", back)
+
+
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = secretscan.of_kinds(spans, *(r.kind for r in secretscan.BASE))
+    counts = [F.size(secretscan.of_kinds(spans, r.kind)).cast("long").alias(f"n_{r.kind}") for r in secretscan.BASE]
+    rows = secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *counts, F.sha2(secretscan.listed(base), 256).alias("base_sha256"), secretscan.listed(spans).alias("spans"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_source_mixing": op2_source_mixing,
@@ -76,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_secret_scans": op12_secret_scans,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -180,4 +201,30 @@ ORACLES: dict[str, str] = {
         SELECT p.page_id, p.host, p.path, own.rule, coalesce(own.verdict, by_alias.verdict, 'allow') AS verdict
         FROM p LEFT JOIN own USING (page_id) LEFT JOIN by_alias ON by_alias.node = regexp_replace(p.url, '(?s)#.*', '')
     """,
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units
+            FROM documents
+        ),
+        s AS (
+            SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                   CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+            FROM d
+        ),
+        c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM s
+        ),
+        p AS (
+            SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix
+            FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p
+    """,
 }
