@@ -2,7 +2,6 @@ import json
 import struct
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,20 +108,6 @@ def run_stream(spark, df, name, mode="append"):
 
 
 def test_streams(spark, tmp_path):
-    path = str(tmp_path / "in")
-    times = [0.0, 1.0, 2.0, 3.0, 60.0, 61.0, 61.5, 62.0]
-    rows = pd.DataFrame({"key": "k", "id": range(8), "t": times})
-    spark.createDataFrame(rows[:4], "key string, id long, t double").coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("key string, id long, t double").option("maxFilesPerTrigger", 1).parquet(path)
-    spark.createDataFrame(rows[4:], "key string, id long, t double").coalesce(1).write.mode("append").parquet(path)
-    got = run_stream(spark, events.rate_limit_stream(stream, 60.0, 3), "limited")
-    assert sorted(r["id"] for r in got.where("accepted").collect()) in ([0, 1, 2, 5, 6], [4, 5, 6])  # by the files' order
-
-    from roadlens.operators.stateful import rate_limited
-
-    batch = rate_limited(spark.createDataFrame(rows, "key string, id long, t double"), ["key"], 60.0, 3)
-    assert sorted(r["id"] for r in batch.where("accepted").collect()) == [0, 1, 2, 5, 6]
-
     path = str(tmp_path / "ts")
     spark.createDataFrame([("a", "2026-01-01 00:00:00", 1), ("a", "2026-01-01 00:00:05", 2), ("b", "2026-01-01 00:00:01", 3)], "key string, s string, v int").select("key", F.to_timestamp("s").alias("ts"), "v").coalesce(1).write.parquet(path)
     stream = lambda: spark.readStream.schema("key string, ts timestamp, v int").parquet(path)
