@@ -56,6 +56,11 @@ def decimal_comma_grouped(x: Column, digits: int = 1) -> Column:
     return F.translate(F.format_number(x, digits), ",.", ".,")
 
 
+def local_number(x: Column, digits: int = 1) -> Column:
+    """As a browser writes it in Austria: decimal comma, no-break space between thousands, halves away from zero."""
+    return F.translate(F.format_number(F.round(x, digits), digits), ",.", "\u00a0,")
+
+
 def counted(n: Column, one: str, many: str) -> Column:
     return F.concat_ws(" ", n.cast("string"), F.when(n == 1, F.lit(one)).otherwise(F.lit(many)))
 

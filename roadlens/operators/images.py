@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,41 @@ def stencil(grey: np.ndarray) -> np.ndarray:
     return 4 * grey[1:-1, 1:-1] - grey[1:-1, :-2] - grey[1:-1, 2:] - grey[:-2, 1:-1] - grey[2:, 1:-1]
 
 
+def upright(raster: np.ndarray, orientation: int | None) -> np.ndarray:
+    """A raster (rows, columns, channels) turned and mirrored as its EXIF orientation says; unknown ones stay."""
+    turned = {
+        2: lambda a: a[:, ::-1], 3: lambda a: a[::-1, ::-1], 4: lambda a: a[::-1], 5: lambda a: a.swapaxes(0, 1),
+        6: lambda a: np.rot90(a, -1), 7: lambda a: a[::-1, ::-1].swapaxes(0, 1), 8: lambda a: np.rot90(a),
+    }
+    return turned.get(orientation, lambda a: a)(raster)
+
+
+def oriented(images: DataFrame, headers: DataFrame) -> DataFrame:
+    """Images of Spark's image source, upright by the orientation of their EXIF headers (path, orientation).
+
+    Paths are matched whether they are written with one slash or three.  An image without a header, or of a size
+    that its bytes don't have, stays as it is.
+    """
+    ship(images.sparkSession)
+    place = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    rows = images.select("image", place(F.col("image.origin")).alias("place"))
+    known = headers.where("orientation between 2 and 8").select(place(F.col("path")).alias("place"), "orientation")
+    rows = rows.join(known, "place", "left").select("image", "orientation")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, out = batch.schema.field("image").type, []
+            for image, orientation in zip(batch.column("image").to_pylist(), batch.column("orientation").to_pylist(), strict=True):
+                h, w, n = image["height"], image["width"], image["nChannels"]
+                if orientation is not None and len(image["data"]) == h * w * n:
+                    raster = upright(np.frombuffer(image["data"], np.uint8).reshape(h, w, n), orientation)
+                    image |= {"height": raster.shape[0], "width": raster.shape[1], "data": raster.tobytes()}
+                out.append(image)
+            yield pa.RecordBatch.from_arrays([pa.array(out, kind)], ["image"])
+
+    return rows.mapInArrow(run, images.select("image").schema)
+
+
 def photo_measures(images: DataFrame, width: int = 320) -> DataFrame:
     """Images of Spark's image source to (path, mean, glare, sharpness, error); a broken one has an error."""
 

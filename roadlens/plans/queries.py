@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from roadlens.functions import scalar as fn
 from roadlens.operators import decide, geo, kpis, signals, sinks, stateful, texts
+from roadlens.plans import survey
 from roadlens.plans.adapters import KPIS_SQL, SECTIONS_SQL, sections, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,9 +526,31 @@ def f8_projection(spark, sf):
     return points(spark, sf).select("route_id", "ord", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
-@query()
+#: Rings of sections as texts: six stations along each, left of the axis, then right of it backwards, closed.
+RINGS_SQL = POINTS_SQL + """
+    , o AS (SELECT DISTINCT route_id, first_value(lat) OVER w AS lat0, first_value(lon) OVER w AS lon0 FROM p WINDOW w AS (PARTITION BY route_id ORDER BY ord)),
+    g AS (SELECT route_id, ord, x AS x0, y AS y0, s AS s0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(s) OVER w AS s1 FROM c WINDOW w AS (PARTITION BY route_id ORDER BY ord)),
+    g1 AS (SELECT *, lag(s0) OVER w IS NULL AS first, lead(s0) OVER w IS NULL AS last FROM g WHERE s1 > s0 WINDOW w AS (PARTITION BY route_id ORDER BY ord)),
+    k AS (SELECT route_id, nr, i, station_from_m + i * ((station_to_m - station_from_m) / 5) AS place FROM (SELECT *, unnest(range(0, 6)) AS i FROM s)),
+    a AS (
+        SELECT k.route_id, nr, i, x0 + (place - s0) / (s1 - s0) * (x1 - x0) AS px, y0 + (place - s0) / (s1 - s0) * (y1 - y0) AS py, (x1 - x0) / (s1 - s0) AS dx, (y1 - y0) / (s1 - s0) AS dy
+        FROM k JOIN g1 ON g1.route_id = k.route_id AND (first OR place > s0) AND (last OR place <= s1)
+    ),
+    b AS (
+        SELECT a.route_id, nr, i, lon0 + (px - dy * 5.8 / 2) / (111320.0::DOUBLE * cos(radians(lat0))) AS llon, lat0 + (py + dx * 5.8 / 2) / 111132.954::DOUBLE AS llat,
+               lon0 + (px + dy * 5.8 / 2) / (111320.0::DOUBLE * cos(radians(lat0))) AS rlon, lat0 + (py - dx * 5.8 / 2) / 111132.954::DOUBLE AS rlat
+        FROM a JOIN o USING (route_id)
+    ),
+    t AS (
+        SELECT route_id, nr, i, '[' || CAST(printf('%.7f', llon) AS DOUBLE) || ',' || CAST(printf('%.7f', llat) AS DOUBLE) || ']' AS l, '[' || CAST(printf('%.7f', rlon) AS DOUBLE) || ',' || CAST(printf('%.7f', rlat) AS DOUBLE) || ']' AS r FROM b
+    ),
+    rings AS (SELECT route_id, nr, '[' || string_agg(l, ',' ORDER BY i) || ',' || string_agg(r, ',' ORDER BY i DESC) || ',' || first(l ORDER BY i) || ']' AS ring FROM t GROUP BY 1, 2)
+"""
+
+
+@query(RINGS_SQL + "SELECT route_id, nr, ring FROM rings")
 def f9_footprints(spark, sf):
-    return _rings(spark, sf)
+    return _rings(spark, sf).withColumn("ring", F.to_json("ring"))
 
 
 def _rings(spark, sf) -> DataFrame:
@@ -773,17 +796,24 @@ def r5_enriched(spark, sf):
     return decide.enriched(merged(spark, sf)[0]).select("route_id", "decision", "title", "decision_id")
 
 
-@query(K + PROPOSALS_SQL + """
-    SELECT d.route_id, o.o_orderpriority AS name, sections, length_m, d.share_pct, d.damage_m2, overall_class, coalesce(printf('%02d', worst_nr), '') AS worst_section, coalesce(worst_class::VARCHAR, '') AS worst_class, decision,
-           CASE decided_by WHEN 'ki' THEN 'KI' WHEN 'regel' THEN 'Regel' ELSE 'KI, durch Regel verschärft' END AS decided_by,
-           CASE WHEN w.lat IS NULL THEN '' ELSE '""" + LINK + """' || printf('%.6f', w.lat) || ',' || printf('%.6f', w.lon) END AS map
-    FROM d JOIN orders o ON o.o_orderkey = d.route_id LEFT JOIN s w ON w.route_id = d.route_id AND w.nr = d.worst_nr
+@query(K + PROPOSALS_SQL + f"""
+    , t1 AS (SELECT route_id, string_agg(printf('%02d', nr) || ': ' || {_de('share_pct')} || ' % (K' || condition || ')', '; ' ORDER BY station_from_m, pos) AS detail FROM s GROUP BY 1)
+    SELECT '2026-01-31T10:00:00' AS sent_at, d.route_id, o.o_orderpriority AS name, o.o_orderstatus AS place, strftime(o.o_orderdate, '%Y-%m-%d') AS captured, CASE WHEN o_orderkey % 2 = 0 THEN 'ja' ELSE 'nein' END AS simulated,
+           sections, length_m, d.share_pct, d.damage_m2, overall_class, coalesce(printf('%02d', worst_nr), '') AS worst_section, coalesce(worst_class::VARCHAR, '') AS worst_class,
+           decision, CASE decision {TITLES_SQL} END AS title,
+           substring(sha256(d.route_id || '|' || decision || '|' || decided_by || '|' || decision_text || '|' || next_step || '|[' || priority || ']'), 1, 12) AS decision_id,
+           CASE decided_by WHEN 'ki' THEN 'KI' WHEN 'regel' THEN 'Regel' ELSE 'KI, durch Regel verschärft' END AS decided_by, decision_text AS reason, next_step,
+           CASE WHEN priority = '' THEN '' ELSE array_to_string(list_transform(string_split(priority, ','), lambda x: printf('%02d', x::INTEGER)), ', ') END AS priority,
+           CASE WHEN w.lat IS NULL THEN '' ELSE '{LINK}' || printf('%.6f', w.lat) || ',' || printf('%.6f', w.lon) END AS map, detail
+    FROM d JOIN orders o ON o.o_orderkey = d.route_id JOIN t1 ON t1.route_id = d.route_id LEFT JOIN s w ON w.route_id = d.route_id AND w.nr = d.worst_nr
 """)
 def r6_export_rows(spark, sf):
     rows, parts = merged(spark, sf)
-    routes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route_id"), F.col("o_orderpriority").alias("name"), F.lit("").alias("place"), F.col("o_orderdate").cast("string").alias("captured"), F.lit(True).alias("simulated"), F.lit("").alias("sent_at"))
-    flat = decide.export_rows(decide.enriched(rows), parts, routes, LINK)
-    return flat.select("route_id", "name", "sections", "length_m", "share_pct", "damage_m2", "overall_class", "worst_section", "worst_class", "decision", "decided_by", "map")
+    key = F.col("o_orderkey")
+    routes = table(spark, sf, "orders").select(
+        key.alias("route_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("place"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("captured"), (key % 2 == 0).alias("simulated"), F.lit("2026-01-31T10:00:00").alias("sent_at")
+    )
+    return decide.export_rows(decide.enriched(rows), parts, routes, LINK)
 
 
 @query(K + PROPOSALS_SQL + "SELECT CASE decided_by WHEN 'ki' THEN 'KI' WHEN 'regel' THEN 'Regel' ELSE 'KI, durch Regel verschärft' END AS decided_by, count(*) AS n FROM d GROUP BY 1")
@@ -999,9 +1029,60 @@ def k2_csv_lines(spark, sf):
     return sinks.section_csv(rows, LINK)
 
 
-@query()
+@query(S + """
+    , w AS (SELECT route_id, count(*) AS sections, CAST(sum(CAST(damage_m2 AS DECIMAL(18,6))) AS DOUBLE) AS damage, CAST(sum(CAST(area_m2 AS DECIMAL(18,6))) AS DOUBLE) AS area,
+            '[' || string_agg('{"nr":' || nr || ',"station_from_m":' || station_from_m || ',"share_pct":' || CAST(printf('%.2f', share_pct) AS DOUBLE) || ',"net_m2":' || CAST(printf('%.2f', net_m2) AS DOUBLE)
+                || ',"photo":"' || photo || '"' || CASE WHEN lat IS NULL THEN '' ELSE ',"lat":' || CAST(printf('%.2f', lat) AS DOUBLE) END || ',"damage_m2":' || CAST(printf('%.2f', damage_m2) AS DOUBLE) || ',"area_m2":' || area_m2 || '}', ',' ORDER BY station_from_m, nr) || ']' AS rows FROM s GROUP BY 1)
+    SELECT route_id, o_orderpriority AS title, o_orderstatus AS place, sections, CAST(printf('%.1f', (damage / area * 100)::DOUBLE) AS DOUBLE) AS share_pct,
+           CASE WHEN damage / area * 100 < 10 THEN 1 WHEN damage / area * 100 < 20 THEN 2 WHEN damage / area * 100 < 30 THEN 3 WHEN damage / area * 100 < 40 THEN 4 ELSE 5 END AS overall_class, rows
+    FROM w JOIN orders ON o_orderkey = route_id
+""")
+def k6_webhook_payload(spark, sf):
+    routes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("place"))
+    return sinks.webhook_payload(sections(spark, sf).select("route_id", "nr", "station_from_m", "share_pct", "net_m2", "photo", "lat", "damage_m2", "area_m2"), routes)
+
+
+def _local(c: str, n: int = 1) -> str:
+    return f"translate(format('{{{{:,.{n}f}}}}', round(CAST({c} AS DECIMAL(18,6)), {n})::DOUBLE), ',.', chr(160) || ',')"
+
+
+@query(K + PROPOSALS_SQL + f"""
+    , c AS (SELECT s.*, coalesce(list_position(string_split(priority, ','), nr::VARCHAR), 0) AS turn, priority <> '' AS named FROM s JOIN d USING (route_id)),
+    l AS (SELECT route_id, string_agg('- Abschnitt ' || printf('%02d', nr) || ', Station ' || {_local('station_from_m', 0)} || '–' || {_local('station_to_m', 0)} || ' m: ' || {_local('share_pct')} || ' % Schadanteil (Klasse ' || condition || '), '
+            || {_local('longitudinal_m')} || ' m Längsrisse, ' || {_local('transverse_m')} || ' m Querrisse' || CASE WHEN lat IS NULL THEN '' ELSE chr(10) || '  Karte: {LINK}' || printf('%.6f', lat) || ',' || printf('%.6f', lon) END,
+            chr(10) ORDER BY CASE WHEN named THEN turn ELSE 0 END, station_from_m, pos) AS lines FROM c WHERE CASE WHEN named THEN turn > 0 ELSE condition >= 4 END GROUP BY 1)
+    SELECT route_id, 'Straßenschaden ' || o_orderpriority || ': Bitte um Begutachtung' AS subject,
+           'Sehr geehrte Damen und Herren,' || chr(10) || chr(10) || 'bei der Zustandsaufnahme der Strecke „' || o_orderpriority || '“' || CASE WHEN o_orderkey % 2 = 0 THEN ' (' || o_orderstatus || ')' ELSE '' END || ' am ' || strftime(o_orderdate, '%d.%m.%Y')
+           || ' wurden folgende Abschnitte als vordringlich eingestuft:' || chr(10) || chr(10) || coalesce(lines, '') || chr(10) || chr(10) || 'Wir bitten um Begutachtung vor Ort und Rückmeldung zu möglichen Maßnahmen.' || chr(10) || chr(10)
+           || 'Hinweis: Automatische Auswertung mit roadlens, Werte etwa ±10 %.' || chr(10) || chr(10) || 'Mit freundlichen Grüßen' AS body
+    FROM d JOIN orders ON o_orderkey = route_id LEFT JOIN l USING (route_id)
+""".replace("{{", "{").replace("}}", "}"))
+def k8_report_mails(spark, sf):
+    rows, parts = merged(spark, sf)
+    routes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route_id"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("place"), F.col("o_orderdate").cast("string").alias("captured"))
+    return survey.report_mails(rows, parts, routes, LINK, "roadlens")
+
+
+def _json_number(c: str, n: int) -> str:
+    return f"CAST(printf('%.{n}f', ({c})::DOUBLE) AS DOUBLE)"
+
+
+@query(RINGS_SQL + f"""
+    , f AS (
+        SELECT route_id, nr, '{{{{"type":"Feature","geometry":{{{{"type":"Polygon","coordinates":[' || ring || ']}}}},"properties":{{{{"kind":"section","section":"' || printf('%02d', nr) || '","station_from_m":' || station_from_m || ',"station_to_m":' || station_to_m
+                   || ',"photo":"' || photo || '","captured":"' || strftime(captured, '%Y-%m-%d') || '","condition":' || condition || ',"share_pct":' || {_json_number('share_pct', 1)} || ',"damage_m2":' || {_json_number('damage_m2', 2)}
+                   || ',"longitudinal_m":' || {_json_number('longitudinal_m', 1)} || ',"transverse_m":' || {_json_number('transverse_m', 1)} || ',"net_m2":' || {_json_number('net_m2', 2)} || ',"patch_m2":' || {_json_number('patch_m2', 2)}
+                   || ',"shade_m2":' || CASE WHEN nr % 2 = 0 THEN '1.25' ELSE '0.0' END || ',"area_m2":' || area_m2 || '}}}}}}}}' AS polygon,
+               CASE WHEN lat IS NOT NULL THEN '{{{{"type":"Feature","geometry":{{{{"type":"Point","coordinates":[' || {_json_number('lon', 7)} || ',' || {_json_number('lat', 7)} || ']}}}},"properties":{{{{"kind":"photo","photo":"' || photo || '"}}}}}}}}' END AS point
+        FROM s JOIN rings USING (route_id, nr)
+    ),
+    h AS (SELECT route_id, string_agg(polygon, ',' ORDER BY nr) || coalesce(',' || string_agg(point, ',' ORDER BY nr), '') AS features FROM f GROUP BY 1)
+    SELECT route_id, '{{{{"type":"FeatureCollection",' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '"name":"' || o_orderpriority || '",' END || '"features":[' || features || ']}}}}' AS geojson FROM h JOIN orders ON o_orderkey = route_id
+""".replace("{{", "{").replace("}}", "}"))
 def k3_geojson(spark, sf):
-    return sinks.geojson(sections(spark, sf), _rings(spark, sf), fn.py_round)
+    rows = sections(spark, sf).withColumn("captured", F.date_format("captured", "yyyy-MM-dd")).withColumn("shade_m2", F.when(F.col("nr") % 2 == 0, 1.25))
+    names = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("title"))
+    return sinks.geojson(rows, _rings(spark, sf), names)
 
 
 @query(S + """

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.session import path_exists
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from roadlens.session import path_exists, ship
+
 # Suffixes, EXIF tags, and how much of a file is searched for its header.
 SUFFIXES = r"(?i)\.(jpg|jpeg|png)\z"
 HEADER_BYTES = 256 * 1024
-TAG_MODEL, TAG_TIME, TAG_EXIF, TAG_GPS, TAG_ORIGINAL, TAG_F35 = 0x0110, 0x0132, 0x8769, 0x8825, 0x9003, 0xA405
+TAG_MODEL, TAG_ORIENTATION, TAG_TIME, TAG_EXIF, TAG_GPS, TAG_ORIGINAL, TAG_F35 = 0x0110, 0x0112, 0x0132, 0x8769, 0x8825, 0x9003, 0xA405
 GPS_LAT_REF, GPS_LAT, GPS_LON_REF, GPS_LON, GPS_ACCURACY = 1, 2, 3, 4, 31
-EXIF_SCHEMA = "path string, time string, model string, f35 int, lat double, lon double, accuracy double"
+EXIF_SCHEMA = "path string, time string, model string, f35 int, lat double, lon double, accuracy double, orientation int"
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def photo_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
@@ -25,10 +28,39 @@ def photo_files(spark: SparkSession, root: str, content: bool = False) -> DataFr
 
     Without ``content`` the column is pruned, so files are listed and not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(SUFFIXES))
+    return _photos(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), content)
+
+
+def _named(rows: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
-    out = files.select("path", F.element_at(parts, -2).alias("street"), F.element_at(parts, -1).alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), *(["content"] if content else []))
-    return out
+    return rows.withColumns({"street": F.element_at(parts, -2), "file": F.element_at(parts, -1)})
+
+
+def _photos(files: DataFrame, content: bool) -> DataFrame:
+    photos = _named(files.where(F.col("path").rlike(SUFFIXES)))
+    return photos.select("path", "street", "file", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), *(["content"] if content else []))
+
+
+def evaluate_new_photos(spark: SparkSession, root: str, measures: str, checkpoint: str, evaluate: Callable[[DataFrame, int], None], measure: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Take in the photos that have come to the folders of streets below ``root`` since the last run, and end.
+
+    The photos of a micro-batch are read and measured once (``measure``: photos with content to rows with path; EXIF headers
+    by default) and appended to the table ``measures``, with street and file.  Then ``evaluate`` gets the
+    measures of all photos, old and new, of the streets that the batch has touched, and no others.  Old photos are
+    not read again.  The checkpoint remembers files by name: a photo that was replaced under its old name is
+    found by stale_streets instead.  A batch that is run again after a crash replaces its own part of ``measures``.
+    """
+    ship(spark)
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True).load(root)
+
+    def batch(rows: DataFrame, n: int) -> None:
+        found = _named((measure or read_exif)(_photos(rows, content=True)))
+        found.write.mode("overwrite").parquet(f"{measures}/batch={n}")
+        touched = spark.read.parquet(f"{measures}/batch={n}").select("street").distinct()
+        if not touched.isEmpty():
+            evaluate(spark.read.parquet(measures).join(touched, "street", "left_semi"), n)
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def street_folders(spark: SparkSession, root: str, named: str | None = None) -> list[str]:
@@ -112,7 +144,7 @@ def exif_of(content: bytes) -> dict:
         main = t.table(t.read("I", 4)[0])
         more = t.table(t.number(main.get(TAG_EXIF)) or 0)
         gps = t.table(t.number(main.get(TAG_GPS)) or 0)
-        out = {"model": t.text(main.get(TAG_MODEL)), "time": t.text(more.get(TAG_ORIGINAL)) or t.text(main.get(TAG_TIME)), "f35": t.number(more.get(TAG_F35))}
+        out = {"model": t.text(main.get(TAG_MODEL)), "time": t.text(more.get(TAG_ORIGINAL)) or t.text(main.get(TAG_TIME)), "f35": t.number(more.get(TAG_F35)), "orientation": t.number(main.get(TAG_ORIENTATION))}
         place = [t.ratios(gps.get(k), 3) for k in (GPS_LAT, GPS_LON)]
         if all(place):
             lat, lon = (d + m / 60 + s / 3600 for d, m, s in place)
@@ -132,7 +164,7 @@ def read_exif(photos: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [{"path": p} | exif_of(bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=names).astype({"f35": "Int32"})
+            yield pd.DataFrame(rows, columns=names).astype({"f35": "Int32", "orientation": "Int32"})
 
     return photos.select("path", F.substring("content", 1, HEADER_BYTES).alias("content")).mapInPandas(run, EXIF_SCHEMA)
 
