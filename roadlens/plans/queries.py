@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadlens.functions import scalar as fn
-from roadlens.operators import decide, geo, kpis, signals, sinks, stateful, texts
+from roadlens.operators import decide, geo, kpis, pose, signals, sinks, stateful, texts
 from roadlens.plans import survey
 from roadlens.plans.adapters import KPIS_SQL, SECTIONS_SQL, sections, table
 
@@ -842,6 +842,92 @@ def i4_line_fit(spark, sf):
     return tiles(spark, sf).groupBy("vec_id").agg(F.round(F.regr_slope("v", "i"), 6).alias("slope"), F.round(F.regr_intercept("v", "i"), 6).alias("intercept"))
 
 
+#: Parts as photos of 4000 by 3000 pixels whose road edges run from a vanishing point (xh, yh) with slopes al and ar, in
+#: a raster of 200 by 150; some point too high or too far aside, show a road too wide or too narrow, or lack an edge.
+EDGES_SQL = """
+    ph AS (
+        SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN -1400 ELSE 200 + p_partkey % 90 * 10 END AS yh, CASE WHEN p_partkey % 19 = 0 THEN 3800 ELSE 2000 + (p_size % 21 - 10) * 30 END AS xh,
+               -(0.3 + p_partkey % 23 * 0.15::DOUBLE) + (p_size % 5 - 2) * 0.05::DOUBLE AS al, 0.3 + p_partkey % 23 * 0.15::DOUBLE AS ar, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 24 END AS f35
+        FROM part
+    ),
+    rw AS (SELECT *, unnest(range(0, 150)) AS y FROM ph),
+    er AS (
+        SELECT p_partkey, f35, y, greatest(least(floor((xh + al * (y * 20 - yh)) / 20) + (p_partkey * 7 + y * 13) % 3 - 1, 199), 0)::BIGINT AS l,
+               CASE WHEN p_partkey % 29 = 0 THEN 199 ELSE greatest(least(floor((xh + ar * (y * 20 - yh)) / 20) + (p_partkey * 5 + y * 11) % 3 - 1, 199), 0) END::BIGINT AS r
+        FROM rw WHERE y * 20 > greatest(yh, 0) + 60 AND (p_partkey % 31 <> 0 OR y > 130)
+    ),
+    fo AS (SELECT p_partkey, coalesce(nullif(f35, 0), 26) / 43.267::DOUBLE * sqrt(4000.0::DOUBLE * 4000 + 3000.0::DOUBLE * 3000) AS f FROM ph)
+"""
+
+
+def edges(spark, sf) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    yh, xh = F.when(key % 17 == 0, -1400).otherwise(200 + key % 90 * 10), F.when(key % 19 == 0, 3800).otherwise(2000 + (size % 21 - 10) * 30)
+    ar = 0.3 + (key % 23) * F.lit(0.15)
+    al = -ar + (size % 5 - 2) * F.lit(0.05)
+    rows = table(spark, sf, "part").select("p_partkey", yh.alias("yh"), xh.alias("xh"), al.alias("al"), ar.alias("ar"), F.when(key % 4 == 1, 0).when(key % 4 > 1, 24).alias("f35"))
+
+    def side(slope: str, a: int, b: int):
+        def at(y):
+            v = F.floor((F.col("xh") + F.col(slope) * (y * 20 - F.col("yh"))) / 20) + (key * a + y * b) % 3 - 1
+            road = (y * 20 > F.greatest("yh", F.lit(0)) + 60) & ((key % 31 != 0) | (y > 130))
+            shown = F.greatest(F.least(v, F.lit(199)), F.lit(0))
+            return F.when(~road, -1).otherwise(F.when(key % 29 == 0, 199).otherwise(shown) if slope == "ar" else shown).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(149)), at)
+
+    return rows.select("p_partkey", side("al", 7, 13).alias("left"), side("ar", 5, 11).alias("right"), F.lit(200).alias("seg_width"), F.lit(4000).alias("image_width"), F.lit(3000).alias("image_height"), "f35")
+
+
+def _round_sql(k: int) -> str:
+    """One refit: lines over the rows of b{k}, the pose, and the rows of the next round or none."""
+    sums = ", ".join(f"count(*) FILTER (WHERE {v} > 2 AND {v} < 197) AS n{v}, sum(y) FILTER (WHERE {v} > 2 AND {v} < 197) AS y{v}, sum({v}) FILTER (WHERE {v} > 2 AND {v} < 197) AS v{v}, sum(y * y) FILTER (WHERE {v} > 2 AND {v} < 197) AS q{v}, sum(y * {v}) FILTER (WHERE {v} > 2 AND {v} < 197) AS p{v}" for v in "lr")
+    line = lambda v: f"(n{v}::DOUBLE * p{v} - y{v}::DOUBLE * v{v}) / nullif(n{v}::DOUBLE * q{v} - y{v}::DOUBLE * y{v}, 0)"
+    row = lambda m: f"(1500 + f * ((1.6 * cos(theta) - {m} * cos(psi) * sin(theta)) / ({m} * cos(psi) * cos(theta) + 1.6 * sin(theta)))) * 0.05"
+    return f"""
+    , s{k} AS (SELECT p_partkey, {sums} FROM er JOIN b{k} USING (p_partkey) WHERE live AND y BETWEEN low AND high GROUP BY 1),
+    l{k} AS (SELECT *, (vl - al * yl) / (nl * 0.05) AS bl, (vr - ar * yr) / (nr * 0.05) AS br FROM (SELECT *, {line('l')} AS al, {line('r')} AS ar FROM s{k})),
+    f{k} AS (SELECT p_partkey, CASE WHEN least(nl, nr) < 10 THEN 'edge_missing' WHEN coalesce(ar - al < 1e-4, true) THEN 'not_converging' END AS error, al, bl, ar, (br - bl) / (al - ar) AS yh, f FROM l{k} JOIN fo USING (p_partkey)),
+    t{k} AS (SELECT *, atan((1500 - yh) / f) AS theta FROM f{k}),
+    p{k} AS (SELECT p_partkey, error, theta, f, -atan((al * yh + bl - 2000) * cos(theta) / f) AS psi, (ar - al) / cos(theta) AS ratio FROM t{k}),
+    g{k} AS (SELECT p_partkey, error, theta, psi, ratio, {row('10.0')} AS low, {row('3.0')} AS high FROM p{k}),
+    b{k + 1} AS (SELECT g{k}.p_partkey, low, high, count(er.y) >= 20 AS live FROM g{k} LEFT JOIN er ON er.p_partkey = g{k}.p_partkey AND er.y BETWEEN low AND high WHERE error IS NULL GROUP BY ALL)"""
+
+
+POSE_SQL = EDGES_SQL + """
+    , b1 AS (SELECT p_partkey, min(y) + 0.3::DOUBLE * (max(y) - min(y)) AS low, 'inf'::DOUBLE AS high, count(*) >= 30 AS live FROM er GROUP BY 1)
+""" + "".join(_round_sql(k) for k in (1, 2, 3)) + """
+    , u AS (
+        SELECT ph.p_partkey, CASE WHEN NOT coalesce(b1.live, false) THEN 'no_lane' ELSE coalesce(g1.error, g2.error, g3.error) END AS error,
+               coalesce(g3.theta, g2.theta, g1.theta) AS theta, coalesce(g3.psi, g2.psi, g1.psi) AS psi, coalesce(g3.ratio, g2.ratio, g1.ratio) AS ratio
+        FROM ph LEFT JOIN b1 USING (p_partkey) LEFT JOIN g1 USING (p_partkey) LEFT JOIN g2 USING (p_partkey) LEFT JOIN g3 USING (p_partkey)
+    ),
+    pose AS (
+        SELECT p_partkey, theta, psi, ratio, CASE WHEN error IS NOT NULL THEN error WHEN NOT (degrees(theta) > -5 AND degrees(theta) < 40) THEN 'pitch' WHEN abs(degrees(psi)) > 25 THEN 'yaw' WHEN NOT (ratio > 1.2 AND ratio < 9) THEN 'ratio' END AS error FROM u
+    )
+"""
+
+
+@query(f"WITH {POSE_SQL} SELECT p_partkey, CASE WHEN error IS NULL THEN round(theta, 6) END AS theta, CASE WHEN error IS NULL THEN round(psi, 6) END AS psi, CASE WHEN error IS NULL THEN round(ratio, 6) END AS ratio, error FROM pose")
+def i4_camera_pose(spark, sf):
+    rows = pose.edge_pose(edges(spark, sf), 4.0, 9.0, 1.6)
+    return rows.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("theta", "psi", "ratio")], "error")
+
+
+@query(f"""
+    WITH {POSE_SQL}
+    , w AS (SELECT p_partkey, theta, psi, f, (1500 + f * ((1.6 * cos(theta) - 9.0 * cos(psi) * sin(theta)) / (9.0 * cos(psi) * cos(theta) + 1.6 * sin(theta)))) * 0.05 AS low,
+                   (1500 + f * ((1.6 * cos(theta) - 4.0 * cos(psi) * sin(theta)) / (4.0 * cos(psi) * cos(theta) + 1.6 * sin(theta)))) * 0.05 AS high FROM pose JOIN fo USING (p_partkey) WHERE error IS NULL),
+    x AS (SELECT p_partkey, theta, psi, l, r, f, 1.6 * (cos(theta) - (y / 0.05 - 1500) / f * sin(theta)) / (sin(theta) + (y / 0.05 - 1500) / f * cos(theta)) AS ahead FROM er JOIN w USING (p_partkey) WHERE y BETWEEN low AND high AND l > 2 AND r < 197),
+    g AS (SELECT p_partkey, (l / 0.05 - 2000) / f * (ahead * cos(theta) + 1.6 * sin(theta)) * cos(psi) + ahead * sin(psi) AS xl, (r / 0.05 - 2000) / f * (ahead * cos(theta) + 1.6 * sin(theta)) * cos(psi) + ahead * sin(psi) AS xr FROM x),
+    m AS (SELECT p_partkey, median(xr - xl) AS width, median((xr + xl) / 2) AS centre FROM g GROUP BY 1 HAVING count(*) >= 5)
+    SELECT pose.p_partkey, round(width, 5) AS road_width, round(centre, 5) + 0.0::DOUBLE AS road_centre FROM pose LEFT JOIN m USING (p_partkey)
+""")
+def i6_road_width(spark, sf):
+    rows = pose.edge_pose(edges(spark, sf), 4.0, 9.0, 1.6).withColumn("height", F.lit(1.6))
+    return pose.road_width(rows, 4.0, 9.0).select("p_partkey", F.round("road_width", 5).alias("road_width"), (F.round("road_centre", 5) + 0.0).alias("road_centre"))
+
+
 @query("""
     WITH g AS (SELECT l_orderkey, l_partkey, l_tax * 10 - 0.4 AS x, 4 + l_quantity / 10 AS d FROM lineitem),
     a AS (SELECT *, x * cos(0.05) - d * sin(0.05) AS xr, x * sin(0.05) + d * cos(0.05) AS yf FROM g)
