@@ -47,39 +47,32 @@ def running_totals(rows: DataFrame, group: list[str], spread: str, order: list[s
     return out.drop("_cut", *[f"_within_{o}" for o in sums], *[f"_before_{o}" for o in sums])
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    """The smallest v of each u: (u, m), a saved table.  Tasks reduce their own rows of a hub before the shuffle."""
-    return saved(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, component), component the smallest node.
 
     Alternating large-star and small-star steps: every node hands its larger neighbours, then its smaller
-    ones, to the smallest node it knows.  Each step is a few shuffles of the edges.  The minima are saved
-    tables, which Spark broadcasts by their known size or joins with a hub split.  Ends when the edges form
-    stars.  The number of steps grows with the logarithm of the longest path; ``rounds`` is far beyond any
-    that 64-bit ids allow, and a caller who sees the error has edges that change between reads.
+    ones, to the smallest node it knows.  Each step is a few shuffles of the edges; tasks reduce their own rows of a
+    hub before the shuffle.  The minima are saved tables, which Spark broadcasts by their known size or joins
+    with a hub split; that of a round's start also tells whether the edges form stars, which ends the rounds.  Their
+    number grows with the logarithm of the longest path; ``rounds`` is far beyond any that 64-bit ids allow, and a
+    caller who sees the error has edges that change between reads.
     """
     now = saved(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
+    back = [F.col("v").alias("u"), F.col("u").alias("v")]
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _smallest(both)
-        own = F.least("m", "u")
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), own.alias("v")).distinct()
-        lower = _smallest(large)
+        both = now.select("u", "v", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(*back, F.lit(0).alias("up"), F.lit(1).alias("down")))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m"), F.sum("up").alias("up"), F.max("down").alias("down")), "least")
+        if least.where("up > 1 or (up > 0 and down > 0)").isEmpty():
+            discard(least)
+            break
+        large = now.select(*back).join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        lower = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = saved(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(now, least, lower)
         now = after
-        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-            now.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-        )
-        ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if ends.where("up > 1 or (up > 0 and down > 0)").isEmpty():
-            break
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
@@ -94,16 +87,36 @@ def row_key() -> list[Column]:
 def without(rows: DataFrame, same: list[str], dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """The structs ``row`` of ``rows`` (row, content, *same) whose key ``same`` is not in ``dropped``.
 
-    Of rows that share a key of ``repeated`` one with the longest content stays.  Both key tables are saved ones:
+    Of rows that share a key of ``repeated`` one with the longest content stays, chosen by an aggregate that tasks
+    begin on their own rows; ties go by hashes of the content, then of the whole row.  Both key tables are saved ones:
     Spark broadcasts them if their known size allows, so that texts are not shuffled then.
     """
     left = rows.join(dropped, same, "left_anti")
     if repeated.isEmpty():
         return left.select("row.*")
-    first = Window.partitionBy(*same).orderBy(F.length("content").desc(), F.xxhash64("content"))
-    again = left.join(repeated, same, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    order = F.struct(F.length("content"), F.xxhash64("content"), whole_row_hash())
+    again = left.join(repeated, same, "left_semi").groupBy(*same).agg(F.max_by("row", order).alias("row"))
     return left.join(repeated, same, "left_anti").select("row.*").unionByName(again.select("row.*"))
 
 
+def whole_row_hash() -> Column:
+    """A hash of the struct ``row``, whatever types it holds: rows that share it are equal."""
+    return F.xxhash64(F.to_json(F.struct("row")))
+
+
+def numbered(rows: DataFrame, same: list[str], order: Column, salts: int = 256) -> DataFrame:
+    """Rows with ``nth``, from 1, among those that share the columns ``same`` (not null).
+
+    A key's rows are dealt by a salt, numbered by ``order`` within it, and salts follow one another, so that no task
+    numbers all rows of a key.  Rows must come from a table, read alike each time.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    counts = saved(dealt.groupBy(*same, "_salt").agg(F.count("*").alias("_n")), "salts")
+    earlier = Window.partitionBy(*same).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*same, "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = dealt.withColumn("_within", F.row_number().over(Window.partitionBy(*same, "_salt").orderBy(order)))
+    return within.join(before, [*same, "_salt"]).withColumn("nth", F.col("_before") + F.col("_within")).drop("_salt", "_before", "_within")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

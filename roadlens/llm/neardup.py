@@ -18,8 +18,10 @@ from roadlens.session import discard, saved
 #: collection has as many minhashes as keep the chance that all tables miss a pair at the threshold below
 #: MISS: three from 0.85 on (2.2e-5), two from 0.78 on (0.80: 9.5e-6), else one.
 COLLECTIONS, MISS = 12, 3e-5
-#: Rounds against centres before the rest is compared in groups, and sets in a block of a group.
-ROUNDS, BLOCK = 3, 200
+#: Centres that a candidate is held against before the rest is compared in groups, and sets in a block of a group.
+CENTRES, BLOCK = 3, 200
+#: Owner of the blocks of a group that hold sets of small components.
+MIXED = -1
 #: Nodes whose table keys one task makes.
 NODES_A_TASK = 20_000
 SEED = 20_240_501
@@ -104,7 +106,7 @@ def _confirmed(percent: int):
 
 
 def _linked_in_blocks(percent: int):
-    """Links of one pair of blocks that connect what isn't connected yet: a spanning forest of them."""
+    """Components that links of one pair of blocks connect: a spanning forest of those not connected yet."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
@@ -129,12 +131,12 @@ def _linked_in_blocks(percent: int):
                 parent[x] = x = parent[parent[x]]
             return x
 
-        out, nodes, comps = [], pdf["node"].tolist(), pdf["component"].tolist()
+        out, comps = [], pdf["component"].tolist()
         for i, j in links.tolist():
             a, b = root(comps[i]), root(comps[j])
             if a != b:
                 parent[a] = b
-                out.append((nodes[i], nodes[j]))
+                out.append((comps[i], comps[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -163,13 +165,10 @@ def _classes(docs: DataFrame, percent: int, size: int) -> DataFrame:
     nodes = saved(node_sets.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n_shingles", "one.doc_id", "one.version", "one.left", "one.right"), "nodes")
     members = _members(nodes)
     sets = _sets_of(docs, nodes, members, size)
-    links = _links(members, sets, percent)
+    labels = _linked(nodes, members, sets, percent)
     discard(sets, members)
-    comp = saved(components(links), "components")
-    labels = nodes.select("node", "d1", "d2", "n_shingles").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labels = saved(labels.drop("node"), "labels")  # plain, so that the join can split a set that very many rows have
     rows = saved(signed.select("doc_id", "version", "n_shingles", "d1", "d2").join(labels, ["d1", "d2", "n_shingles"], "left").drop("d1", "d2"), "classes")
-    discard(signed, nodes, links, comp, labels)
+    discard(signed, nodes, labels)
     return rows
 
 
@@ -177,12 +176,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     """Components of documents linked by 100 * |A and B| >= percent * |A or B| over their word shingles.
 
     Equal sets are one node.  A node's table keys are all pairs of a left and a right collection of minhashes.
-    Nodes that share a key are candidates.  In each of ROUNDS rounds a node is held against one centre of its
-    tables (the smallest node by a hash of the round), and confirmed links join components; tables within one
-    component are done.  What is left is compared in groups: a cluster of at most BLOCK candidates is a group,
-    of a larger one each table is a group; a group is cut into blocks of BLOCK sets and every pair of blocks is
-    compared whole.  So no pair that shares a key goes unexamined unless its ends are connected already, and
-    loose clusters cost by the size of their tables.  Sets are compared in full.
+    Nodes that share a key are candidates.  First a node is held against CENTRES centres of its tables (the
+    smallest nodes by as many hashes), and confirmed links join components; tables within one component are done.
+    The other tables are gathered by the largest component that each holds, the members of a component of more
+    than BLOCK sets in blocks of its own, all others in blocks together, and every pair of blocks is compared whole
+    but those of one component.  So no pair that shares a key goes unexamined unless its ends are connected already,
+    and a dense cluster of n sets of which m are not linked to its largest component costs n times m comparisons.
+    Sets are compared in full.
 
     Returns doc_id, n_shingles, component_id, kept, one row for each input row, in whatever number it occurs.
     Null texts are empty; texts without words are empty sets, linked with nothing.  A null doc_id is larger than
@@ -229,56 +229,57 @@ def _checked_sets(size: int):
     return run
 
 
-def _active(members: DataFrame, links: DataFrame | None, name: str) -> DataFrame:
-    """Members, with their components, of the tables that hold more than one component."""
-    if links is None:
-        return members.withColumn("component", F.col("node"))
-    comp = components(links)
-    rows = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _centre_pairs(members: DataFrame) -> DataFrame:
+    """Each node with centres of its tables: (a, b), at most CENTRES rows a node."""
+    by = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("centre"))).alias(f"c{k}") for k in range(CENTRES)]
+    centres = saved(members.groupBy("key").agg(*by), "centres")  # plain, so that the join can split a table of very many nodes
+    nearest = [F.min(F.when(F.col(f"c{k}.centre") != F.col("node"), F.col(f"c{k}")))["centre"] for k in range(CENTRES)]
+    of_node = members.join(centres, "key").groupBy("node").agg(F.array_distinct(F.array_compact(F.array(*nearest))).alias("others"))
+    return of_node.select(F.col("node").alias("a"), F.explode("others").alias("b"))
+
+
+def _linked(nodes: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The component of every node: (d1, d2, n_shingles, component), a saved table."""
+    pairs = _centre_pairs(members)
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b"
+    )
+    links = saved(full.select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+    comp = saved(components(links), "components")
+    labelled = lambda rows: rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = labelled(members)
     mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-    return saved(rows.join(mixed, "key", "left_semi"), name)
-
-
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    links: DataFrame | None = None
-    active = _active(members, None, "active")
-    for k in range(ROUNDS):
-        place = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("centre"), F.col("component").alias("its"))
-        centres = active.groupBy("key").agg(F.min(place).alias("c"))
-        held = active.join(centres, "key").where("component <> c.its")
-        pairs = held.groupBy("node").agg(F.min("c").alias("c")).select(F.col("node").alias("a"), F.col("c.centre").alias("b"))
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b"
-        )
-        found = full.select("a", "b", "left", "right").mapInArrow(_confirmed(percent), "a long, b long")
-        links = saved(found if links is None else found.unionByName(links), "links")
-        active = _active(members, links, "active")
-        if active.isEmpty():
-            return links
-        members = active.select("key", "node")
-    found = _in_groups(active, sets, percent)
-    return saved(found if links is None else found.unionByName(links), "links")
+    active = saved(rows.join(mixed, "key", "left_semi"), "active")
+    labels = labelled(nodes.select("node", "d1", "d2", "n_shingles"))
+    if not active.isEmpty():
+        found = saved(_in_groups(active, sets, percent), "found")
+        if not found.isEmpty():
+            joined = saved(components(found).select(F.col("node").alias("component"), F.col("component").alias("joined")), "joined")
+            labels = labels.join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component"))
+    labels = saved(labels.select("d1", "d2", "n_shingles", "component"), "labels")  # plain, so that the join can split a set that very many rows have
+    discard(links, comp, active)
+    return labels
 
 
 def _in_groups(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the candidates of each cluster or, where that makes fewer pairs of a large one, of each of its tables."""
-    centres = saved(active.groupBy("key").agg(F.min("node").alias("b")), "centres")
-    clusters = components(active.join(centres, "key").select(F.col("node").alias("a"), "b").distinct())
-    rows = saved(active.select("node", "component").distinct().join(clusters.select("node", F.col("component").alias("cluster")), "node"), "clusters")
-    tables = active.join(rows.select("node", "cluster"), "node").groupBy("cluster", "key").count()
-    cost = tables.groupBy("cluster").agg(F.sum(F.col("count") * F.col("count")).alias("by_table"))  # pairs, as against those of the cluster
-    sizes = rows.groupBy("cluster").count().where(F.col("count") > BLOCK).join(cost, "cluster")
-    sizes = saved(sizes.where(F.col("by_table") < F.col("count") * F.col("count")).select("cluster"), "large")
-    small = rows.join(sizes, "cluster", "left_anti").select(F.lit(False).alias("by_table"), F.col("cluster").alias("group"), "node", "component")
-    large = active.join(rows.join(sizes, "cluster", "left_semi").select("node"), "node").select(F.lit(True).alias("by_table"), F.col("key").alias("group"), "node", "component")
-    groups = saved(small.unionByName(large), "groups")
-    blocks = saved(groups.groupBy("by_table", "group").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "blocks")
-    groups = groups.join(blocks, ["by_table", "group"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pairs = groups.withColumn("other", other).select(
-        "by_table", "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "grams"
+    """Components (a, b) that links connect among the candidates of tables with more than one component."""
+    sizes = saved(active.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    largest = active.join(sizes, "component").groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("home"))
+    groups = saved(active.join(saved(largest, "homes"), "key").select("home", "node", "component").distinct(), "groups")
+    counts = groups.groupBy("home", "component").agg(F.count("*").alias("n"))
+    owned = counts.select("home", F.when(F.col("n") > BLOCK, F.col("component")).otherwise(MIXED).alias("owner"), "n")
+    owned = owned.groupBy("home", "owner").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    layout = saved(owned.groupBy("home").agg(F.collect_list(F.struct("owner", "blocks")).alias("layout")), "layout")
+    rows = groups.join(layout, "home").withColumn("own", F.filter("layout", lambda x: x["owner"] == F.col("component")))
+    rows = rows.withColumn("own", F.coalesce(F.get("own", F.lit(0)), F.get(F.filter("layout", lambda x: x["owner"] == MIXED), F.lit(0))))
+    place = F.array(F.col("own.owner"), F.pmod(F.xxhash64("node"), F.col("own.blocks")))
+    others = F.filter("layout", lambda x: (x["owner"] == MIXED) | (x["owner"] != F.col("component")))
+    each = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["blocks"] - 1), lambda k: F.array(x["owner"], k))))
+    rows = rows.select("home", "node", "component", place.alias("place"), each.alias("others")).join(sets, "node")
+    rows = rows.withColumn("other", F.explode("others")).select(
+        "home", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "node", "component", "grams"
     )
-    return pairs.groupBy("by_table", "group", "i", "j").applyInPandas(_linked_in_blocks(percent), "a long, b long")
+    return rows.groupBy("home", "i", "j").applyInPandas(_linked_in_blocks(percent), "a long, b long")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -125,12 +126,12 @@ def brute_near(rows, percent, size=3):
     return Counter((r["doc_id"], len(sets[i]), least[i], r["doc_id"] == least[i]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("rounds", [3, 0])
+@pytest.mark.parametrize("centres,block", [(3, 20), (1, 2)])
 @pytest.mark.parametrize("percent", [85, 95])
-def test_near(crowd, monkeypatch, rounds, percent):
-    """With no rounds against centres, blocks find all links."""
-    monkeypatch.setattr(neardup, "ROUNDS", rounds)
-    monkeypatch.setattr(neardup, "BLOCK", 20)
+def test_near(crowd, monkeypatch, centres, block, percent):
+    """With one centre and blocks of two, most links are found in blocks, some of which one component owns."""
+    monkeypatch.setattr(neardup, "CENTRES", centres)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     got = Counter(map(tuple, neardup.near_duplicates(crowd, percent).collect()))
     assert got == brute_near(crowd.collect(), percent)
 
@@ -183,9 +184,39 @@ def test_keepers_carry_whole_rows(odd):
 
 def test_chain_of_candidates_costs_by_its_tables(spark, monkeypatch):
     """Neighbours share three quarters of their shingles and a key of some table, so all are one cluster."""
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "CENTRES", 1)
     monkeypatch.setattr(neardup, "BLOCK", 50)
     texts = [" ".join(f"w{k}" for k in range(15 * i, 15 * i + 110)) for i in range(1500)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[700] + " more"])], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in neardup.near_duplicates(docs).collect()}
     assert all(r["component_id"] == k for k, r in rows.items() if k < 1500) and rows[1500]["component_id"] == 700
+
+
+def test_dense_cluster_with_outliers(spark, monkeypatch):
+    """One template: most texts are linked to its centre, some lie below the threshold of it and are linked among themselves or not at all."""
+    monkeypatch.setattr(neardup, "BLOCK", 25)
+    rng = random.Random(8)
+    template = [f"w{k}" for k in range(120)]
+
+    def changed(n):
+        words = list(template)
+        for k in rng.sample(range(120), n):
+            words[k] = f"x{rng.randrange(10_000)}"
+        return words
+
+    texts = [changed(rng.choice([0, 1, 1, 2, 3])) for _ in range(220)] + [changed(rng.choice([5, 6, 8])) for _ in range(60)]
+    texts += [[*rng.choice(texts[220:280]), "more"] for _ in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    got = Counter(map(tuple, neardup.near_duplicates(docs).collect()))
+    want = brute_near(docs.collect(), 85)
+    assert got == want and len({r[2] for r in want}) > 20
+
+
+def test_hot_rows_keep_one_whole_row(spark):
+    """100,000 rows of one id and text, and as many without an id: one row of each stays, the same in every layout."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000, numPartitions=4).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text of words").otherwise("no id has this").alias("text"), F.lit("s").alias("source"), F.col("id").alias("other"))
+    for keep in (exact.keep_first, neardup.keep_one):
+        one, two = (sorted(map(tuple, keep(d).collect()), key=str) for d in (rows, rows.repartition(7)))
+        assert one == two and [r[0] for r in one] == [7, None]

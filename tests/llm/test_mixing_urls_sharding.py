@@ -60,6 +60,48 @@ def test_mixed_documents(awkward, crowd):
         assert +taken == +want
 
 
+def test_mix_of_repeated_and_missing_ids(spark):
+    """Rows that share an id, a size, or all: what is taken doesn't depend on how rows are partitioned."""
+    rows = [(k % 7 or None, f"a{k % 40} b c", "s" if k % 3 else None) for k in range(900)] + [(5, "same text", "t")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, many = (Counter(map(str, mixing.mix(d, 4).drop("parts").collect())) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == many and sum(one.values()) == 1200
+    plan = mixing.mix(docs, 4).collect()
+    check_mix(docs, plan)
+    taken = Counter()
+    for r in mixing.mixed_documents(docs, 4).collect():
+        taken[r["doc_id"]] += len(words_of(r["text"]))
+    assert taken == +sum((Counter({r["doc_id"]: r["taken"]}) for r in plan), Counter())
+
+
+def test_a_hot_row_is_split(spark):
+    """100,000 equal rows and as many without an id: whole results, other columns kept, no task with most of them."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000, numPartitions=4).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text").otherwise("no id").alias("text"), F.lit("s").alias("source"), F.col("id").alias("other"))
+    plan = mixing.mix(rows, 4)
+    assert plan.count() == 200_000
+    assert plan.agg(F.sum("taken")).first()[0] == 600_000  # a source alone gives one and a half times its words
+    blocks = common.numbered(rows.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(0)).alias("k")), ["k"], common.whole_row_hash())
+    assert {(r["k"], r["n"], r["top"], r["d"]) for r in blocks.groupBy("k").agg(F.count("*").alias("n"), F.max("nth").alias("top"), F.count_distinct("nth").alias("d")).collect()} == {(0, 100_000, 100_000, 100_000), (7, 100_000, 100_000, 100_000)}
+    mixed = mixing.mixed_documents(rows, 4)
+    assert mixed.count() == 300_000 and mixed.select("other").distinct().count() == 200_000
+
+
+def test_splitting_tree_of_many_sources(spark):
+    """Quotas of 3,000 sources: chunks add up, shards are even, and a source's draws have the mean and the spread of the law."""
+    quotas = {f"s{k:04d}": 40 + k % 7 for k in range(3000)}
+    rows = split_quotas(spark.createDataFrame(list(quotas.items()), "key string, quota long"), 4).collect()
+    by_key, by_shard = Counter(), Counter()
+    for r in rows:
+        by_key[r["key"]] += r["blocks"]
+        by_shard[r["shard"]] += r["blocks"]
+    assert by_key == quotas and max(by_shard.values()) - min(by_shard.values()) <= 3
+    first = [r["blocks"] - quotas[r["key"]] / 4 for r in rows if r["shard"] == 0]
+    variance = sum(x * x for x in first) / len(first)
+    assert abs(sum(first)) <= 3 and variance == pytest.approx(43 * 0.25 * 0.75, rel=0.1)
+
+
 def test_mix_runs_no_python(crowd):
     plan = mixing.mix(crowd, 4)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -280,4 +322,4 @@ def test_queries(spark, small):
     check_shards(docs, rows, 24, max(r["size"] for r in rows))
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
     assert queries.op2_source_mixing(spark, small).count() == docs.count()
-    assert neardup.ROUNDS == 3
+    assert neardup.CENTRES == 3
