@@ -16,25 +16,26 @@ from roadlens.llm.common import content, for_python
 from roadlens.llm.encoder import encoder
 from roadlens.session import saved
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: ``nth`` numbers a task's pieces: it deals pieces that share all else to different tasks.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 #: Pieces that one task packs in the first and in the second round; bins with a larger gap are packed again.
 FIRST_ROUND, SECOND_ROUND, GAP_KEPT = 20_000, 100_000, 8
 
 
 def _cut(path: str, room: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(path)
+        ids, made = encoder(path), 0
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 whole = np.append(ids(text.decode("utf-8", "replace")), end_id).astype("<u4")
                 at, first = 0, len(whole) % room or room
                 for piece, stop in enumerate(range(first, len(whole) + 1, room)):
-                    out.append((doc, piece, at, stop - at, zlib.crc32(whole[at:stop].tobytes())))
-                    at = stop
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    out.append((doc, piece, at, stop - at, zlib.crc32(whole[at:stop].tobytes()), made))
+                    at, made = stop, made + 1
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
     return run
 
@@ -90,17 +91,17 @@ def _pack(room: int):
 
 def _packed(pieces: DataFrame, n: int, a_task: int, room: int, number: int) -> DataFrame:
     buckets = max(1, math.ceil(n / a_task))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth", F.lit(number)), F.lit(buckets)))
     out = dealt.groupBy("bucket").applyInPandas(_pack(room), f"{PIECES}, bucket long, bin long, offset long, gap long")
     named = (F.lit(number << 60).cast("long") + F.shiftleft(F.col("bucket"), 30) + F.col("bin")).alias("sequence_id")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", named, "offset", "gap")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "nth", named, "offset", "gap")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, room: int = 2048, end_id: int = 0) -> DataFrame:
     """Pack whole documents into sequences of at most ``room`` ids.
 
     Texts are encoded once into a small table of pieces.  Pieces that fill a sequence are done; the others
-    are dealt by hash to tasks of about FIRST_ROUND pieces, each of which runs the sum-of-squares rule; the
+    are dealt by hash (of rows that are alike, too) to tasks of about FIRST_ROUND pieces, each of which runs the sum-of-squares rule; the
     few sequences left with a gap above GAP_KEPT are dealt again to tasks of about SECOND_ROUND pieces.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Every row of ``docs`` is packed:
@@ -114,4 +115,4 @@ def pack(docs: DataFrame, tokenizer_path: str, room: int = 2048, end_id: int = 0
     first = saved(_packed(rest, rest.count(), FIRST_ROUND, room, 1), "packed")
     kept, again = first.where(F.col("gap") <= GAP_KEPT), first.where(F.col("gap") > GAP_KEPT)
     second = _packed(again.select(*pieces.columns), again.count(), SECOND_ROUND, room, 2)
-    return full.unionByName(kept.drop("gap")).unionByName(second.drop("gap"))
+    return full.unionByName(kept.drop("gap")).unionByName(second.drop("gap")).drop("nth")

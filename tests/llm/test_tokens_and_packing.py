@@ -98,6 +98,16 @@ def test_packing_in_many_tasks(crowd, library, monkeypatch):
     assert n <= 1.15 * sum(r["length"] for r in rows) / 256 + 1
 
 
+def test_equal_rows_are_dealt_to_many_tasks(spark, library, monkeypatch):
+    """Rows that share id and text, with and without an id, don't meet in one bucket."""
+    monkeypatch.setattr(packing, "FIRST_ROUND", 100)
+    docs = spark.createDataFrame([(None, "a few words")] * 1500 + [(4, "a few more words")] * 1500, "doc_id long, text string").repartition(4)
+    rows = packing.pack(docs, PATH, 64).collect()
+    packed_whole(docs, rows, library, 64)
+    buckets = Counter((r["sequence_id"] >> 30) & ((1 << 20) - 1) for r in rows)
+    assert len(buckets) > 1 and max(buckets.values()) < 1500
+
+
 def test_sum_of_squares_wastes_little():
     """Few copies of many lengths are the rule's worst case; texts' lengths pack within a part in a thousand."""
     rng = np.random.default_rng(3)
