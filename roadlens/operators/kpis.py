@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadlens.functions.scalar import condition_class, py_round
+from roadlens.functions.scalar import condition_class, decimal_comma_grouped, py_round
 
 UNUSABLE = "unbrauchbar"
+# Texts of a report's head.
+CAPTURED, CLOCK, NORTH, EAST, NO_POSITION = "Aufnahme ", " Uhr", "° N · ", "° O", "ohne GPS"
 
 
 def usable() -> Column:
@@ -96,3 +98,33 @@ def class_lengths(sections: DataFrame, step_m: float) -> DataFrame:
     counts = sections.groupBy("route_id").agg(*[F.count_if(F.col("condition") == k).alias(f"c{k}") for k in range(1, 6)])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("condition"), F.col(f"c{k}").alias("n")) for k in range(1, 6)]))
     return counts.select("route_id", rows.alias("r")).select("route_id", "r.condition", "r.n", (F.col("r.n") * step_m).alias("length_m"))
+
+
+def worst_and_best(sections: DataFrame) -> DataFrame:
+    """(route_id, worst, best): numbers of the usable sections with the largest and the smallest share, the first by
+    station on ties."""
+    first = lambda o: F.min(F.struct(o.alias("o"), "station_from_m", "pos", "nr"))["nr"]
+    return sections.where(usable()).groupBy("route_id").agg(first(-F.col("share_pct")).alias("worst"), first(F.col("share_pct")).alias("best"))
+
+
+def report_summary(sections: DataFrame, *keys: str) -> DataFrame:
+    """The head of a report, one row for each value of ``keys`` (none: one row): all sections count, usable or not.
+
+    Sums of areas and lengths; ``share_raw`` and ``class_raw`` from them, unrounded; first and last ``time`` (texts
+    yyyy:MM:dd HH:mm:ss, empty ones passed over) and ``captured_text``, which shows the first as it is if one of both is
+    no time, and is empty without times; mean position and ``position_text``; sections without position; sections
+    of each class.
+    """
+    time = F.nullif(F.col("time"), F.lit(""))
+    mean = lambda c: F.try_divide(F.sum(F.col(c).cast("decimal(18,6)")).cast("double"), F.count(c)).alias(f"mean_{c}")
+    sums = ("area_m2", "damage_m2", "net_m2", "patch_m2", "longitudinal_m", "transverse_m")
+    rows = sections.groupBy(*keys).agg(
+        F.count("*").alias("sections"), *[exact_sum(F.col(c)).alias(c) for c in sums], F.min(time).alias("first_time"), F.max(time).alias("last_time"), mean("lat"), mean("lon"),
+        F.count_if(F.col("lat").isNull()).alias("without_gps"), *[F.count_if(F.col("condition") == k).alias(f"class_{k}") for k in range(1, 6)],
+    )
+    raw = share_of(F.col("damage_m2"), F.col("area_m2"))
+    begin, end = (F.try_to_timestamp(c, F.lit("yyyy:MM:dd HH:mm:ss")) for c in ("first_time", "last_time"))
+    clock = F.concat(F.lit(CAPTURED), F.date_format(begin, "dd.MM.yyyy, HH:mm"), F.lit("–"), F.date_format(end, "HH:mm"), F.lit(CLOCK))
+    captured = F.coalesce(clock, F.concat(F.lit(CAPTURED), "first_time"), F.lit(""))
+    place = F.concat(decimal_comma_grouped(F.col("mean_lat"), 4), F.lit(NORTH), decimal_comma_grouped(F.col("mean_lon"), 4), F.lit(EAST))
+    return rows.withColumns({"share_raw": raw, "class_raw": condition_class(raw), "captured_text": captured, "position_text": F.coalesce(place, F.lit(NO_POSITION))})

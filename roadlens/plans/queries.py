@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadlens.functions import scalar as fn
-from roadlens.operators import decide, geo, kpis, pose, signals, sinks, stateful, texts
+from roadlens.operators import decide, geo, intake, kpis, pose, signals, sinks, stateful, texts
 from roadlens.plans import survey
 from roadlens.plans.adapters import KPIS_SQL, SECTIONS_SQL, sections, table
+from roadlens.sources import photos
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,8 +101,7 @@ def v4_validate_routes(spark, sf):
 
 @query("SELECT DISTINCT l_orderkey AS route_id FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def v5_unique_numbers(spark, sf):
-    twice = lines(spark, sf).groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
-    return twice.select(F.col("l_orderkey").alias("route_id")).distinct()
+    return intake.repeated_numbers(lines(spark, sf).select(F.col("l_orderkey").alias("route_id"), F.col("l_linenumber").alias("nr")))
 
 
 @query(S + """
@@ -236,9 +236,8 @@ def v17_path_allow_list(spark, sf):
 """)
 def v18_file_filter(spark, sf):
     name = F.concat(F.lit("x"), F.when(F.col("l_returnflag") == "A", ".JPG").when(F.col("l_returnflag") == "N", ".heic").otherwise(".txt"))
-    kept = lines(spark, sf).where(F.lower(name).rlike(r"\.(jpg|jpeg|png|heic|heif)\z"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
-    return kept.select("l_orderkey", "l_partkey", place.alias("place")).where("place <= 3")
+    files = lines(spark, sf).withColumn("name", name).withColumn("type", F.lit(None).cast("string"))
+    return intake.accepted_files(files, "l_orderkey", ["l_partkey", "l_suppkey", "l_extendedprice"], 3).select("l_orderkey", "l_partkey", "place")
 
 
 @query(r"""
@@ -264,9 +263,8 @@ def v19_chat_history(spark, sf):
 @query(S + "SELECT route_id, nr, lower(photo) IN (SELECT 'img_' || p_partkey || '.jpg' FROM part WHERE p_size < 10) AS excluded FROM s")
 def v20_exclusion(spark, sf):
     """Both outputs of a split by a list of names, as one flag; a left join, so the list may be of any size."""
-    names = table(spark, sf, "part").where("p_size < 10").select(F.lower(F.concat(F.lit("IMG_"), F.col("p_partkey").cast("string"), F.lit(".JPG"))).alias("name")).distinct()
-    rows = sections(spark, sf).withColumn("name", F.lower("photo"))
-    return rows.join(names.withColumn("hit", F.lit(True)), "name", "left").select("route_id", "nr", F.coalesce("hit", F.lit(False)).alias("excluded"))
+    names = table(spark, sf, "part").where("p_size < 10").select(F.concat(F.lit("IMG_"), F.col("p_partkey").cast("string"), F.lit(".JPG")).alias("name"))
+    return intake.set_apart(sections(spark, sf).withColumn("name", F.col("photo")), names).select("route_id", "nr", "excluded")
 
 
 # --- aggregation --------------------------------------------------------------------------------
@@ -333,9 +331,26 @@ def g14_class_lengths(spark, sf):
            CAST(sum(CAST(lat AS DECIMAL(18,6))) AS DOUBLE) / count(lat) AS lat, CAST(sum(CAST(lon AS DECIMAL(18,6))) AS DOUBLE) / count(lon) AS lon FROM s GROUP BY 1
 """)
 def g15_times_and_place(spark, sf):
-    rows = sections(spark, sf).withColumn("t", F.date_format("captured", "yyyy:MM:dd HH:mm:ss"))
-    mean = lambda c: F.try_divide(F.sum(F.col(c).cast("decimal(18,6)")).cast("double"), F.count(c)).alias(c)
-    return rows.groupBy("route_id").agg(F.min("t").alias("first_time"), F.max("t").alias("last_time"), mean("lat"), mean("lon"))
+    return _summary(spark, sf).select("route_id", "first_time", "last_time", F.col("mean_lat").alias("lat"), F.col("mean_lon").alias("lon"))
+
+
+def _summary(spark, sf) -> DataFrame:
+    return kpis.report_summary(sections(spark, sf).withColumn("time", F.date_format("captured", "yyyy:MM:dd HH:mm:ss")), "route_id")
+
+
+@query(S + f"""
+    , t AS (SELECT route_id, count(*) AS sections, {', '.join(f"CAST(sum(CAST({c} AS DECIMAL(18,6))) AS DOUBLE) AS {c}" for c in ("area_m2", "damage_m2", "net_m2", "patch_m2", "longitudinal_m", "transverse_m"))},
+                   min(captured) AS a, max(captured) AS b, sum(CAST(lat AS DECIMAL(18,6)))::DOUBLE / nullif(count(lat), 0) AS mean_lat, sum(CAST(lon AS DECIMAL(18,6)))::DOUBLE / nullif(count(lon), 0) AS mean_lon,
+                   count(*) FILTER (WHERE lat IS NULL) AS without_gps, {', '.join(f"count(*) FILTER (WHERE condition = {k}) AS class_{k}" for k in range(1, 6))} FROM s GROUP BY 1),
+    u AS (SELECT *, CASE WHEN area_m2 > 0 THEN damage_m2 / area_m2 * 100 ELSE 0 END AS share_raw FROM t)
+    SELECT route_id, sections, area_m2, damage_m2, net_m2, patch_m2, longitudinal_m, transverse_m, share_raw, CASE WHEN share_raw < 10 THEN 1 WHEN share_raw < 20 THEN 2 WHEN share_raw < 30 THEN 3 WHEN share_raw < 40 THEN 4 ELSE 5 END AS class_raw,
+           strftime(a, '%Y:%m:%d %H:%M:%S') AS first_time, strftime(b, '%Y:%m:%d %H:%M:%S') AS last_time, mean_lat, mean_lon, without_gps, class_1, class_2, class_3, class_4, class_5,
+           '{kpis.CAPTURED}' || strftime(a, '%d.%m.%Y, %H:%M') || '–' || strftime(b, '%H:%M') || '{kpis.CLOCK}' AS captured_text,
+           CASE WHEN mean_lat IS NULL THEN '{kpis.NO_POSITION}' ELSE replace(printf('%.4f', mean_lat), '.', ',') || '{kpis.NORTH}' || replace(printf('%.4f', mean_lon), '.', ',') || '{kpis.EAST}' END AS position_text
+    FROM u
+""")
+def g13_report_summary(spark, sf):
+    return _summary(spark, sf)
 
 
 @query(S + """
@@ -373,7 +388,7 @@ def g18_laplacian_variance(spark, sf):
 
 @query(S + "SELECT route_id, count(*) FILTER (WHERE lat IS NULL) AS without_gps FROM s GROUP BY 1")
 def g19_without_gps(spark, sf):
-    return sections(spark, sf).groupBy("route_id").agg(F.count_if(F.col("lat").isNull()).alias("without_gps"))
+    return _summary(spark, sf).select("route_id", "without_gps")
 
 
 # --- order, top-k, windows ----------------------------------------------------------------------
@@ -394,8 +409,9 @@ def w2_priority_top5(spark, sf):
 
 @query(S + "SELECT route_id, nr, row_number() OVER (PARTITION BY route_id ORDER BY coalesce(t, ''), photo, nr) AS place FROM (SELECT *, CASE WHEN lat IS NOT NULL THEN strftime(captured, '%Y:%m:%d') END AS t FROM s)")
 def w3_photo_order(spark, sf):
-    t = F.coalesce(F.when(F.col("lat").isNotNull(), F.date_format("captured", "yyyy:MM:dd")), F.lit(""))
-    return sections(spark, sf).withColumn("t", t).select("route_id", "nr", F.row_number().over(Window.partitionBy("route_id").orderBy("t", "photo", "nr")).alias("place"))
+    t = F.when(F.col("lat").isNotNull(), F.date_format("captured", "yyyy:MM:dd"))
+    rows = sections(spark, sf).select(F.col("route_id").alias("street"), "nr", t.alias("time"), F.concat("photo", F.format_string("%09d", "nr")).alias("file"))
+    return photos.in_order(rows).select(F.col("street").alias("route_id"), "nr", "place")
 
 
 @query(S + """
@@ -403,10 +419,7 @@ def w3_photo_order(spark, sf):
     SELECT route_id, nr, k + 1 AS number, CAST(printf('%.2f', (5.25::DOUBLE * k + 4)::DOUBLE) AS DOUBLE) AS from_m, CAST(printf('%.2f', (CAST(printf('%.2f', (5.25::DOUBLE * k + 4)::DOUBLE) AS DOUBLE) + 5)::DOUBLE) AS DOUBLE) AS to_m FROM n
 """)
 def w4_numbering(spark, sf):
-    k = F.row_number().over(Window.partitionBy("route_id").orderBy("pos")) - 1
-    rows = sections(spark, sf).where(kpis.usable()).withColumn("k", k)
-    first = fn.py_round(F.lit(5.25) * F.col("k") + 4, 2)
-    return rows.select("route_id", "nr", (F.col("k") + 1).alias("number"), first.alias("from_m"), fn.py_round(first + 5, 2).alias("to_m"))
+    return intake.numbered_sections(sections(spark, sf).where(kpis.usable()), 5.25, 4.0, 5.0).select("route_id", "nr", "number", "from_m", "to_m")
 
 
 POINTS_SQL = S + """
@@ -443,8 +456,7 @@ def w7_haversine_length(spark, sf):
 
 @query(S + "SELECT route_id, nr, last_value(lat IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS lat FROM s")
 def w8_last_position(spark, sf):
-    w = Window.partitionBy("route_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return sections(spark, sf).select("route_id", "nr", F.last("lat", ignorenulls=True).over(w).alias("lat"))
+    return intake.last_known(sections(spark, sf), "route_id", "pos", "lat").select("route_id", "nr", F.col("last_lat").alias("lat"))
 
 
 @query(POINTS_SQL + """
@@ -467,20 +479,17 @@ def w10_latest_upserts(spark, sf):
 
 @query(S + "SELECT route_id, first(nr ORDER BY share_pct DESC, station_from_m, pos) AS worst, first(nr ORDER BY share_pct, station_from_m, pos) AS best FROM s WHERE quality <> 'unbrauchbar' GROUP BY 1")
 def w11_best_and_worst(spark, sf):
-    first = lambda o: F.min(F.struct(o.alias("o"), "station_from_m", "pos", "nr"))["nr"]
-    rows = sections(spark, sf).where(kpis.usable())
-    return rows.groupBy("route_id").agg(first(-F.col("share_pct")).alias("worst"), first(F.col("share_pct")).alias("best"))
+    return kpis.worst_and_best(sections(spark, sf))
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O'")
 def w12_queue_position(spark, sf):
-    return table(spark, sf, "orders").where("o_orderstatus = 'O'").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("place"))
+    return intake.queue_positions(table(spark, sf, "orders").where("o_orderstatus = 'O'"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "place")
 
 
 @query(S + "SELECT route_id, nr FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY pos DESC) AS back FROM s) WHERE back <= 8 AND pos % 2 = 0")
 def w13_last_and_alternate(spark, sf):
-    back = F.row_number().over(Window.partitionBy("route_id").orderBy(F.col("pos").desc()))
-    return sections(spark, sf).withColumn("back", back).where("back <= 8 and pos % 2 = 0").select("route_id", "nr")
+    return intake.last_rows(sections(spark, sf), "route_id", "pos", 8).where("pos % 2 = 0").select("route_id", "nr")
 
 
 # --- scalar functions ---------------------------------------------------------------------------
@@ -1078,9 +1087,8 @@ def j2_semi_and_anti(spark, sf):
 """)
 def j3_positional_join(spark, sf):
     rows = sections(spark, sf)
-    k = F.row_number().over(Window.partitionBy("route_id").orderBy("pos")) - 1
-    other = rows.where("quality = 'gut'").select("route_id", k.alias("pos"), F.col("photo").alias("other"))
-    return rows.select("route_id", "pos", "photo").join(other, ["route_id", "pos"], "left")
+    other = rows.where("quality = 'gut'").select("route_id", "pos", F.col("photo").alias("other"))
+    return intake.zipped(rows.select("route_id", "pos", "photo"), other, "route_id", "pos")
 
 
 @query(S + """
