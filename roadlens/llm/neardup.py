@@ -202,7 +202,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -
     same = ["id", "no_id", "version"]
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "d1", *row_key(), "version")
     wanted = saved(wanted, "wanted")
-    rows = _texts(docs).select("content", *row_key(), "version").join(wanted, same)
+    # Merged at every size: a broadcast of small tables would only hide what large ones shuffle.
+    rows = _texts(docs).select("content", *row_key(), "version").join(wanted.hint("merge"), same)
     made = rows.select("node", "content", "d1").mapInArrow(_checked_sets(size), "node long, grams binary")
     sets = saved(made.groupBy("node").agg(F.min("grams").alias("grams")), "sets")
     discard(wanted)
