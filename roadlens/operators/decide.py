@@ -21,6 +21,18 @@ NEXT_STEPS = {
     "sanierung_planen": "Abschnitte in die Sanierungsliste für die nächste Bausaison aufnehmen.",
     "dringend_melden": "Abschnitte vor Ort begutachten und an die Straßenmeisterei melden.",
 }
+REASONS = {
+    "neu_aufnehmen": "%s %% der Fotos sind nicht auswertbar.",
+    "dringend_melden": "%s in Klasse 4 oder schlechter.",
+    "sanierung_planen": "%s in Klasse 3, keiner schlechter.",
+    "beobachten": "Alle Abschnitte in Klasse 1 oder 2.",
+}
+LIES = ("Abschnitt liegt", "Abschnitte liegen")
+RULE_TEXTS = {
+    "unsure": "%s Eine Bewertung wäre unsicher.",
+    "acting": "%s Am stärksten betroffen ist Abschnitt %s (Station %s–%s m) mit %s %%.",
+    "calm": "Der Schadanteil liegt bei %s %%, kein Abschnitt erreicht Klasse 3. Ein Eingriff ist derzeit nicht nötig.",
+}
 NOTES = {
     "offline": "Offline-Modus: Entscheidung nach Regeln, ohne KI.",
     "invalid": "KI-Antwort ungültig. Entscheidung nach Regeln.",
@@ -46,15 +58,14 @@ def disposition(kpis: DataFrame) -> DataFrame:
     redo = (F.col("usable") == 0) | (F.col("unusable_share") >= RE_RECORD_SHARE)
     plan = (F.col("worst_class") == 3) | (F.col("share_pct") >= PLAN_SHARE)
     rule = F.when(redo, "neu_aufnehmen").when(F.col("worst_class") >= 4, "dringend_melden").when(plan, "sanierung_planen").otherwise("beobachten")
-    percent = F.concat(F.bround(F.col("unusable_share") * 100).cast("long").cast("string"), F.lit(" % der Fotos sind nicht auswertbar."))
-    bad = counted(F.col("class_4") + F.col("class_5"), "Abschnitt liegt", "Abschnitte liegen")
-    fair = counted(F.col("class_3"), "Abschnitt liegt", "Abschnitte liegen")
-    reason = (
-        F.when(F.col("rule") == "neu_aufnehmen", percent)
-        .when(F.col("rule") == "dringend_melden", F.concat(bad, F.lit(" in Klasse 4 oder schlechter.")))
-        .when(F.col("rule") == "sanierung_planen", F.concat(fair, F.lit(" in Klasse 3, keiner schlechter.")))
-        .otherwise(F.lit("Alle Abschnitte in Klasse 1 oder 2."))
-    )
+    about = {
+        "neu_aufnehmen": F.bround(F.col("unusable_share") * 100).cast("long").cast("string"),
+        "dringend_melden": counted(F.col("class_4") + F.col("class_5"), *LIES),
+        "sanierung_planen": counted(F.col("class_3"), *LIES),
+    }
+    reason = F.lit(REASONS["beobachten"])
+    for course, value in about.items():
+        reason = F.when(F.col("rule") == course, F.format_string(REASONS[course], value)).otherwise(reason)
     return kpis.withColumn("rule", rule).withColumn("reason", reason)
 
 
@@ -63,12 +74,9 @@ def rule_decision(ruled: DataFrame, sections: DataFrame, priority: DataFrame) ->
     worst = sections.select("route_id", F.col("nr").alias("worst_nr"), F.col("station_from_m").alias("w_from"), F.col("station_to_m").alias("w_to"), F.col("share_pct").alias("w_share"))
     rows = ruled.join(worst, ["route_id", "worst_nr"], "left").join(priority, "route_id", "left")
     acts = F.col("rule").isin("dringend_melden", "sanierung_planen")
-    place = F.concat(
-        F.col("reason"), F.lit(" Am stärksten betroffen ist Abschnitt "), padded(F.col("worst_nr")), F.lit(" (Station "), short_number(F.col("w_from")),
-        F.lit("–"), short_number(F.col("w_to")), F.lit(" m) mit "), decimal_comma(F.col("w_share").cast("double")), F.lit(" %."),
-    )
-    calm = F.concat(F.lit("Der Schadanteil liegt bei "), decimal_comma(F.col("share_pct")), F.lit(" %, kein Abschnitt erreicht Klasse 3. Ein Eingriff ist derzeit nicht nötig."))
-    text = F.when(F.col("rule") == "neu_aufnehmen", F.concat("reason", F.lit(" Eine Bewertung wäre unsicher."))).when(acts, place).otherwise(calm)
+    acting = F.format_string(RULE_TEXTS["acting"], F.col("reason"), padded(F.col("worst_nr")), short_number(F.col("w_from")), short_number(F.col("w_to")), decimal_comma(F.col("w_share").cast("double")))
+    calm = F.format_string(RULE_TEXTS["calm"], decimal_comma(F.col("share_pct")))
+    text = F.when(F.col("rule") == "neu_aufnehmen", F.format_string(RULE_TEXTS["unsure"], F.col("reason"))).when(acts, acting).otherwise(calm)
     none = F.array().cast(priority.schema["priority"].dataType)
     return rows.withColumn("rule_text", text).withColumn("rule_step", _by_course(F.col("rule"), NEXT_STEPS)).withColumn(
         "rule_priority", F.when(acts, F.coalesce("priority", none)).otherwise(none)

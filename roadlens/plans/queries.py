@@ -712,9 +712,19 @@ def f23_route_text(spark, sf):
 # --- decisions ----------------------------------------------------------------------------------
 
 
-REASON_SQL = """CASE rule WHEN 'neu_aufnehmen' THEN CAST(CAST(printf('%.0f', (unusable_share * 100)::DOUBLE) AS DOUBLE) AS BIGINT) || ' % der Fotos sind nicht auswertbar.'
-        WHEN 'dringend_melden' THEN (class_4 + class_5) || CASE WHEN class_4 + class_5 = 1 THEN ' Abschnitt liegt' ELSE ' Abschnitte liegen' END || ' in Klasse 4 oder schlechter.'
-        WHEN 'sanierung_planen' THEN class_3 || CASE WHEN class_3 = 1 THEN ' Abschnitt liegt' ELSE ' Abschnitte liegen' END || ' in Klasse 3, keiner schlechter.' ELSE 'Alle Abschnitte in Klasse 1 oder 2.' END"""
+def _said(template: str, *values: str) -> str:
+    """A text of the decisions in SQL, with its places filled by expressions."""
+    first, *rest = [f"'{part.replace('%%', '%')}'" for part in template.split("%s")]
+    return " || ".join([first, *[f"{v} || {part}" for v, part in zip(values, rest, strict=True)]])
+
+
+def _lie(n: str) -> str:
+    return f"(({n}) || CASE WHEN {n} = 1 THEN ' {decide.LIES[0]}' ELSE ' {decide.LIES[1]}' END)"
+
+
+REASON_SQL = f"""CASE rule WHEN 'neu_aufnehmen' THEN {_said(decide.REASONS['neu_aufnehmen'], "CAST(CAST(printf('%.0f', (unusable_share * 100)::DOUBLE) AS DOUBLE) AS BIGINT)")}
+        WHEN 'dringend_melden' THEN {_said(decide.REASONS['dringend_melden'], _lie('class_4 + class_5'))}
+        WHEN 'sanierung_planen' THEN {_said(decide.REASONS['sanierung_planen'], _lie('class_3'))} ELSE {_said(decide.REASONS['beobachten'])} END"""
 
 
 @query(K + f"SELECT route_id, rule, {REASON_SQL} AS reason FROM r")
@@ -736,8 +746,9 @@ PRIO_SQL = """
 RULED_SQL = PRIO_SQL + f"""
     , ruled AS (
         SELECT r.*, CASE WHEN rule IN ('dringend_melden', 'sanierung_planen') THEN coalesce(priority, '') ELSE '' END AS rule_priority,
-               {REASON_SQL} || CASE WHEN rule = 'neu_aufnehmen' THEN ' Eine Bewertung wäre unsicher.' ELSE ' Am stärksten betroffen ist Abschnitt ' || printf('%02d', w.nr) || ' (Station ' || printf('%g', w.station_from_m) || '–' || printf('%g', w.station_to_m) || ' m) mit ' || {_de('w.share_pct')} || ' %.' END AS acting,
-               'Der Schadanteil liegt bei ' || {_de('r.share_pct')} || ' %, kein Abschnitt erreicht Klasse 3. Ein Eingriff ist derzeit nicht nötig.' AS calm,
+               CASE WHEN rule = 'neu_aufnehmen' THEN {_said(decide.RULE_TEXTS['unsure'], REASON_SQL)}
+                    ELSE {_said(decide.RULE_TEXTS['acting'], REASON_SQL, "printf('%02d', w.nr)", "printf('%g', w.station_from_m)", "printf('%g', w.station_to_m)", _de('w.share_pct'))} END AS acting,
+               {_said(decide.RULE_TEXTS['calm'], _de('r.share_pct'))} AS calm,
                CASE rule {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in decide.NEXT_STEPS.items())} END AS rule_step
         FROM r LEFT JOIN prio USING (route_id) LEFT JOIN s w ON w.route_id = r.route_id AND w.nr = r.worst_nr
     )
@@ -768,8 +779,8 @@ PROPOSALS_SQL = RULED_SQL + f"""
         SELECT *, CASE WHEN valid AND NOT over THEN course ELSE rule END AS decision, CASE WHEN NOT valid THEN 'regel' WHEN over THEN 'ki+regel' ELSE 'ki' END AS decided_by,
                CASE WHEN valid AND NOT over AND text <> '' THEN text WHEN rule = 'beobachten' THEN calm ELSE acting END AS decision_text, CASE WHEN valid AND NOT over THEN 'Schritt' ELSE rule_step END AS next_step,
                CASE WHEN valid AND NOT over THEN named WHEN over AND rule_priority = '' THEN named ELSE rule_priority END AS priority,
-               CASE WHEN rule = 'neu_aufnehmen' THEN '' WHEN NOT proposed THEN '{decide.NOTES["offline"]}' WHEN error IS NOT NULL THEN 'KI nicht erreichbar (' || error || '). Entscheidung nach Regeln.' WHEN NOT valid THEN '{decide.NOTES["invalid"]}'
-                    WHEN over THEN 'Die KI schlug „' || CASE course {TITLES_SQL} END || '“ vor. Die Messwerte verlangen mindestens „' || CASE rule {TITLES_SQL} END || '“, daher gilt die strengere Einstufung.' ELSE '' END AS note
+               CASE WHEN rule = 'neu_aufnehmen' THEN '' WHEN NOT proposed THEN '{decide.NOTES["offline"]}' WHEN error IS NOT NULL THEN {_said(decide.NOTES["error"], "error")} WHEN NOT valid THEN '{decide.NOTES["invalid"]}'
+                    WHEN over THEN {_said(decide.NOTES["overruled"], f"CASE course {TITLES_SQL} END", f"CASE rule {TITLES_SQL} END")} ELSE '' END AS note
         FROM j3
     )
 """

@@ -61,7 +61,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def cleaned_up(spark: SparkSession) -> Iterator[None]:
-    """For writes: Spark deletes a query's shuffle files once its table stands, since nothing else reads them."""
+    """For writes: Spark deletes a query's shuffle files once its table stands, since nothing else reads them.
+
+    The option is the session's own, so a frame that another thread of the session runs meanwhile is cleaned up
+    likewise, which costs it at most the reuse of its shuffles by a later query.
+    """
     before = spark.conf.get(_CLEAN_UP_OPTION)
     spark.conf.set(_CLEAN_UP_OPTION, "true")
     try:
