@@ -122,19 +122,41 @@ def _head(counts: DataFrame) -> Head:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x -= x.max(axis=1, keepdims=True)
+    """Of each column, in place but for a factor: their sums."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    return x.sum(axis=0)
 
 
 def _log_chances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row of ``x`` at one column; ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), at]
+    """The logarithm of the softmax of each column of ``x`` at one row; ``x`` is overwritten."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x.sum(axis=0))
+
+
+class Space:
+    """Arrays by name that one window after another fills: page faults of fresh ones cost as much as the arithmetic."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+    def side_by_side(self, name: str, x: np.ndarray) -> np.ndarray:
+        """(steps, units, streams) as (units, steps * streams)."""
+        steps, units, streams = x.shape
+        out = self(name, units, steps * streams)
+        out.reshape(units, steps, streams)[:] = x.transpose(1, 0, 2)
+        return out
+
+    def columns(self, name: str, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return x.take(at, axis=1, out=self(name, len(x), len(at)), mode="clip")
 
 
 @dataclass
@@ -144,6 +166,7 @@ class Network:
     head_counts: np.ndarray  # of the words by place
     tail_counts: np.ndarray  # of the classes of the tail
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    space: Space = field(default_factory=Space)
 
     #: Inputs besides the frequent words: the classes of the tail and the begin of a text.
     WORDS, BEGIN = CLASSES * CLASS_WORDS, CLASSES * CLASS_WORDS + TAIL
@@ -174,44 +197,66 @@ class Network:
         }
         return self
 
+    def _run(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """States after each input of a window, and what backpropagation needs, each (steps, units, streams), until the next run.
+
+        Units lie before streams, so that every step works on contiguous rows.  Gates are 1 / (1 + exp(-x)), new
+        states tanh(x) = 2 / (1 + exp(-2 x)) - 1; the factors -1 and -2 are in the inputs and weights already.
+        """
+        scale = np.repeat(np.float32([-1, -1, -2]), UNITS)
+        u = np.ascontiguousarray((self.p["state"] * scale).T)
+        steps, streams = inputs.shape
+        rows = self.p["inputs"].take(inputs, axis=0, out=self.space("rows", steps, streams, 3 * UNITS), mode="clip")
+        x = np.multiply(rows.transpose(0, 2, 1), scale[:, None], out=self.space("x", steps, 3 * UNITS, streams))
+        states, before, off, new = (self.space(k, steps, UNITS, streams) for k in ("states", "before", "off", "new"))
+        gates, b = self.space("gates", steps, 2 * UNITS, streams), self.space("b", steps, 3 * UNITS, streams)
+        with np.errstate(over="ignore"):  # an infinite exponential gives the gates' limits
+            for t in range(steps):
+                h0, zr, n = before[t], gates[t], new[t]
+                if keep is None:
+                    h0[:] = h
+                else:
+                    np.multiply(h, keep[t], out=h0)
+                np.matmul(u, h0, out=b[t])
+                np.add(x[t, : 2 * UNITS], b[t, : 2 * UNITS], out=zr)  # update and reset
+                np.exp(zr, out=zr)
+                zr += np.float32(1)
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[UNITS:], b[t, 2 * UNITS :], out=n)
+                n += x[t, 2 * UNITS :]
+                np.exp(n, out=n)
+                n += np.float32(1)
+                np.divide(np.float32(2), n, out=n)
+                n -= np.float32(1)
+                np.subtract(h0, n, out=off[t])
+                h = np.multiply(zr[:UNITS], off[t], out=states[t])
+                h += n
+        return states, before, gates, b[:, 2 * UNITS :], new, off
+
     def forward(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray, trace: bool) -> tuple[np.ndarray, tuple, np.ndarray]:
-        """States after each input of a window (steps x streams); ``keep`` is 0 where a text begins."""
-        x, u = self.p["inputs"][inputs], self.p["state"]
-        shape = (*inputs.shape, UNITS)
-        states, before, gated, new = (np.empty(shape, np.float32) for _ in range(4))
-        gates = np.empty((*inputs.shape, 2 * UNITS), np.float32)  # update and reset
-        for t in range(len(inputs)):
-            if keep is not None:
-                h = h * keep[t][:, None]
-            before[t] = h
-            b = h @ u
-            a, zr = x[t], gates[t]
-            np.add(a[:, : 2 * UNITS], b[:, : 2 * UNITS], out=zr)
-            zr *= np.float32(0.5)  # the logistic function
-            np.tanh(zr, out=zr)
-            zr += np.float32(1)
-            zr *= np.float32(0.5)
-            gated[t] = b[:, 2 * UNITS :]
-            np.multiply(zr[:, UNITS:], gated[t], out=new[t])
-            new[t] += a[:, 2 * UNITS :]
-            np.tanh(new[t], out=new[t])
-            h = h - new[t]
-            h *= zr[:, :UNITS]
-            h += new[t]
-            states[t] = h
-        return states, (before, gates[..., :UNITS], gates[..., UNITS:], gated, new) if trace else (), h
+        """States (steps, streams, units) after each input of a window (steps x streams); ``keep`` is 0 where a text begins."""
+        states, *rest = self._run(inputs, keep, h.T)
+        return states.transpose(0, 2, 1).copy(), tuple(x.copy() for x in rest) if trace else (), states[-1].T.copy()
 
     def chances(self, states: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each place (below 0: of a class of the tail) after each state."""
+        """log10 of the chance of each place (below 0: of a class of the tail) after each state (a row each)."""
+        return self._chances(states.T, np.arange(len(states)), places)
+
+    def _chances(self, states: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The same for states in columns, of which ``at`` names one for each place."""
         cls = self.classes_of(places)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # class by class
-        cls, states, places = cls[order], states[order], places[order]
-        sums = _log_chances(states @ self.p["class"] + self.p["class_bias"], cls).astype(np.float64)
+        cls, states, places = cls[order], self.space.columns("by_class", states, at[order]), places[order]
+        x = np.matmul(self.p["class"].T, states, out=self.space("d", CLASSES + TAIL, len(cls)))
+        x += self.p["class_bias"][:, None]
+        sums = _log_chances(x, cls).astype(np.float64)
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
-                sums[a:b] += _log_chances(states[a:b] @ self.p["word"][c].T + self.p["word_bias"][c], places[a:b] % CLASS_WORDS)
+                x = np.matmul(self.p["word"][c], states[:, a:b], out=self.space("d", CLASS_WORDS, b - a))
+                x += self.p["word_bias"][c][:, None]
+                sums[a:b] += _log_chances(x, places[a:b] % CLASS_WORDS)
         out = np.empty(len(sums))
         out[order] = sums
         return out / np.log(10.0)
@@ -221,50 +266,72 @@ class Network:
     ) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradient of the mean log loss of one window, by backpropagation to the begin of the window or text only."""
         steps, streams = inputs.shape
-        states, trace, last = self.forward(inputs, keep, h, True)
-        flat, target, weight = states.reshape(-1, UNITS), places.ravel(), mask.ravel().astype(np.float32)
+        states, h0, gates, bn, new, off = self._run(inputs, keep, h.T)
+        target, weight = places.ravel(), mask.ravel().astype(np.float32)
         weight = weight / max(1.0, float(weight.sum()))
         cls = self.classes_of(target)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # class by class
-        cls, by_class, target, weight = cls[order], flat[order], target[order], weight[order][:, None]
-        d = _softmax(by_class @ self.p["class"] + self.p["class_bias"])
-        d[np.arange(len(cls)), cls] -= 1
-        d *= weight
-        g = {"class": by_class.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
-        sorted_back = d @ self.p["class"].T
+        space, column = self.space, np.arange(len(order))
+        cls, by_class, target, weight = cls[order], space.columns("by_class", space.side_by_side("flat", states), order), target[order], weight[order]
+        d = np.matmul(self.p["class"].T, by_class, out=space("d", CLASSES + TAIL, len(order)))
+        d += self.p["class_bias"][:, None]
+        d *= weight / _softmax(d)
+        d[cls, column] -= weight
+        g = {"class": by_class @ d.T, "class_bias": d.sum(axis=1), "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
+        sorted_back = np.matmul(self.p["class"], d, out=space("sorted_back", UNITS, len(order)))
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = cuts[c], cuts[c + 1]
             if a < b:
-                own = by_class[a:b]
-                d = _softmax(own @ self.p["word"][c].T + self.p["word_bias"][c])
-                d[np.arange(b - a), target[a:b] % CLASS_WORDS] -= 1
-                d *= weight[a:b]
-                g["word"][c], g["word_bias"][c] = d.T @ own, d.sum(axis=0)
-                sorted_back[a:b] += d @ self.p["word"][c]
-        back = np.empty_like(sorted_back)
-        back[order] = sorted_back
-        back = back.reshape(steps, streams, UNITS)
-        u = self.p["state"]
-        h0, z, r, bn, new = trace
-        to_new, to_z, to_r = (1 - z) * (1 - new * new), (h0 - new) * z * (1 - z), bn * r * (1 - r)
-        into, du = np.empty((steps, streams, 3 * UNITS), np.float32), np.empty((steps, streams, 3 * UNITS), np.float32)
-        later = np.zeros((streams, UNITS), np.float32)
+                own, word = by_class[:, a:b], self.p["word"][c]
+                d = np.matmul(word, own, out=space("d", CLASS_WORDS, b - a))
+                d += self.p["word_bias"][c][:, None]
+                d *= weight[a:b] / _softmax(d)
+                d[target[a:b] % CLASS_WORDS, column[: b - a]] -= weight[a:b]
+                np.matmul(d, own.T, out=g["word"][c])
+                d.sum(axis=1, out=g["word_bias"][c])
+                sorted_back[:, a:b] += word.T @ d
+        place_of = np.empty_like(order)
+        place_of[order] = column
+        back = space("back", steps, UNITS, streams)
+        back[:] = space.columns("flat", sorted_back, place_of).reshape(UNITS, steps, streams).transpose(1, 0, 2)
+        u, z, r = self.p["state"], gates[:, :UNITS], gates[:, UNITS:]
+        to_new, to_z, to_r, keeps = (space(k, steps, UNITS, streams) for k in ("to_new", "to_z", "to_r", "keeps"))
+        np.subtract(np.float32(1), z, out=keeps)
+        np.multiply(new, new, out=to_new)
+        np.subtract(np.float32(1), to_new, out=to_new)
+        to_new *= keeps
+        np.multiply(off, z, out=to_z)
+        to_z *= keeps
+        np.subtract(r, np.float32(1), out=to_r)
+        to_r *= r
+        to_r *= bn
+        to_r *= np.float32(0.5)  # bn is scaled by -2
+        into, du = (space(k, steps, 3 * UNITS, streams) for k in ("into", "du"))
+        later = np.zeros((UNITS, streams), np.float32)
         for t in range(steps - 1, -1, -1):
-            dh = back[t] + later
-            dn = dh * to_new[t]
-            into[t, :, :UNITS], into[t, :, UNITS : 2 * UNITS], into[t, :, 2 * UNITS :] = dh * to_z[t], dn * to_r[t], dn
-            du[t, :, : 2 * UNITS], du[t, :, 2 * UNITS :] = into[t, :, : 2 * UNITS], dn * r[t]
-            later = dh * z[t] + du[t] @ u.T
+            dh, dn = back[t], into[t, 2 * UNITS :]
+            dh += later
+            np.multiply(dh, to_z[t], out=into[t, :UNITS])
+            np.multiply(dh, to_new[t], out=dn)
+            np.multiply(dn, to_r[t], out=into[t, UNITS : 2 * UNITS])
+            du[t, : 2 * UNITS] = into[t, : 2 * UNITS]
+            np.multiply(dn, r[t], out=du[t, 2 * UNITS :])
+            np.matmul(u, du[t], out=later)
+            dh *= z[t]
+            later += dh
             if keep is not None:
-                later *= keep[t][:, None]
-        g["state"] = h0.reshape(-1, UNITS).T @ du.reshape(-1, 3 * UNITS)
+                later *= keep[t]
+        g["state"] = space.side_by_side("flat", h0) @ space.side_by_side("x", du).T
         order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
         rows = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        flat = space("rows", steps, streams, 3 * UNITS)
+        flat[:] = into.transpose(0, 2, 1)
+        by_input = flat.reshape(-1, 3 * UNITS).take(order, axis=0, out=space("by_input", len(order), 3 * UNITS), mode="clip")
         g["inputs"] = np.zeros_like(self.p["inputs"])
-        g["inputs"][rows[first]] = np.add.reduceat(into.reshape(-1, 3 * UNITS)[order], first, axis=0)
-        return g, last
+        g["inputs"][rows[first]] = np.add.reduceat(by_input, first, axis=0)
+        return g, states[-1].T.copy()
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -279,18 +346,28 @@ class Network:
 
 
 class Adam:
-    """Adaptive moments."""
+    """Adaptive moments, in place."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+        self.m, self.v, self.part = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(3))
+        self.t = 0
 
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        fix = rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        fix = np.float32(rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, x in g.items():
-            self.m[k] += np.float32(0.1) * (x - self.m[k])
-            self.v[k] += np.float32(0.001) * (x * x - self.v[k])
-            p[k] -= np.float32(fix) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+            m, v, part = self.m[k], self.v[k], self.part[k]
+            m *= np.float32(0.9)
+            m += np.multiply(x, np.float32(0.1), out=part)
+            np.multiply(x, x, out=part)
+            part *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += part
+            np.sqrt(v, out=part)
+            part += np.float32(1e-8)
+            np.divide(m, part, out=part)
+            part *= fix
+            p[k] -= part
 
 
 def _network(head: Head) -> Network:
@@ -390,8 +467,11 @@ def train_network(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> i
     return seen
 
 
+ENCODED = "doc_id long, held_out boolean, h long, places binary, known long, base double, within double, tail array<long>"
+
+
 def _encode(model):
-    """Texts as places, two bytes each, with the digest that orders them."""
+    """Texts as places, two bytes each, with what their tokens need besides: sums over the head's, and the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = model.value
@@ -399,9 +479,20 @@ def _encode(model):
             texts = as_bytes(batch.column("content"))
             for first, last in slices(texts):
                 tokens, bounds = _tokens(Words(texts, first, last, lower=True))
-                places = head.look_up(tokens)[2].astype("<i2")
-                own = [places[bounds[k] : bounds[k + 1]].tobytes() for k in range(last - first)]
-                yield pa.RecordBatch.from_arrays([batch.column("h").slice(first, last - first), pa.array(own, pa.binary())], ["h", "places"])
+                here, counts, places = head.look_up(tokens)
+                within = np.zeros(len(tokens))
+                rare = here & (places < 0)
+                within[rare] = head.in_tail(counts[rare], places[rare])
+                rest = np.concatenate([[0], np.cumsum(~here)])[bounds]
+                sums = [np.concatenate([[0], np.cumsum(x)])[bounds] for x in (here, np.where(here, head.base(counts), 0.0), within)]
+                known, base, more = (x[1:] - x[:-1] for x in sums)
+                places = places.astype("<i2")
+                columns = [
+                    *(batch.column(k).slice(first, last - first) for k in ("doc_id", "held_out", "h")),
+                    pa.array([places[bounds[k] : bounds[k + 1]].tobytes() for k in range(last - first)], pa.binary()), pa.array(known), pa.array(base), pa.array(more),
+                    pa.ListArray.from_arrays(pa.array(rest, pa.int32()), pa.array(tokens[~here].view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "h", "places", "known", "base", "within", "tail"])
 
     return run
 
@@ -442,11 +533,11 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score_texts(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> Iterator[tuple[object, float]]:
     """(key, log10 chance) of whole texts given as (key, places), as they end; the state runs through each text."""
-    h, sums = np.zeros((STREAMS, UNITS), np.float32), np.zeros(STREAMS)
+    h, sums = np.zeros((UNITS, STREAMS), np.float32), np.zeros(STREAMS)
     for w in stream_windows(texts, STREAMS):
-        states, _, h = net.forward(w.inputs, w.keep, h[w.live], False)
-        chance = np.zeros(w.mask.shape)
-        chance[w.mask] = net.chances(states[w.mask], w.places[w.mask])
+        states = net._run(w.inputs, w.keep, h[:, w.live])[0]
+        h, chance = states[-1], np.zeros(w.mask.shape)
+        chance[w.mask] = net._chances(net.space.side_by_side("flat", states), np.flatnonzero(w.mask), w.places[w.mask])
         upto = np.concatenate([np.zeros((1, chance.shape[1])), np.cumsum(chance, axis=0)])
         sums, done = sums[w.live], np.zeros(chance.shape[1], np.int64)
         for s, at, key in w.ends:
@@ -455,35 +546,22 @@ def score_texts(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> Ite
         sums += upto[-1] - upto[done, np.arange(len(done))]
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"
+SCORED = "row long, doc_id long, held_out boolean, known long, base double, n_tokens long, score double"
 
 
 def _score(model, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: Head = model.value
-
         def texts() -> Iterator[tuple[tuple, np.ndarray]]:
             for batch in batches:
-                ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-                whole = as_bytes(batch.column("content"))
-                for first, last in slices(whole):
-                    tokens, bounds = _tokens(Words(whole, first, last, lower=True))
-                    here, counts, place = head.look_up(tokens)
-                    within = np.zeros(len(tokens))
-                    rare = here & (place < 0)
-                    within[rare] = head.in_tail(counts[rare], place[rare])
-                    base = np.concatenate([[0.0], np.cumsum(np.where(here, head.base(counts), 0.0))])
-                    within = np.concatenate([[0.0], np.cumsum(within)])
-                    known = np.concatenate([[0], np.cumsum(here)])
-                    for k in range(last - first):
-                        a, b = int(bounds[k]), int(bounds[k + 1])
-                        tail = tokens[a:b][~here[a:b]].view(np.int64)
-                        yield (ids[first + k], held[first + k], b - a, int(known[b] - known[a]), base[b] - base[a], within[b] - within[a], tail), place[a:b]
-
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-        names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"]
-        scored = score_texts(_started(head, weights.value), texts())
-        while rows := [(*r[:5], r[5] + chance, r[6]) for r, chance in itertools.islice(scored, SCORED_ROWS)]:
+                keys = zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "held_out", "known", "base", "within")), strict=True)
+                for key, stored in zip(keys, batch.column("places"), strict=True):
+                    places = np.frombuffer(stored.as_py(), "<i2")
+                    yield (*key, len(places)), places
+
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+        names = ["row", "doc_id", "held_out", "known", "base", "n_tokens", "score"]
+        scored = score_texts(_started(model.value, weights.value), texts())
+        while rows := [(*r[:5], r[6], r[5] + chance) for r, chance in itertools.islice(scored, SCORED_ROWS)]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
@@ -498,27 +576,28 @@ class Fitted:
     weights: bytes | None
 
 
-def train(docs: DataFrame) -> Fitted:
-    """Learn from the documents with crc32(doc_id) mod 10 other than 0.
+def _encoded(docs: DataFrame, head: Head) -> DataFrame:
+    """All texts as places, a saved table with a number for each row."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), (~_training()).alias("held_out"), F.xxhash64("doc_id", content(), F.lit(5)).alias("h")]
+    model = docs.sparkSession.sparkContext.broadcast(head)  # at most HEAD tokens
+    encoded = docs.select(*own, content().cast("binary").alias("content")).mapInArrow(_encode(model), ENCODED)
+    return saved(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
 
-    Token counts come from every token, by a shuffle.  The network learns from every token too: texts become
-    sequences of places, which are dealt by hash to buckets of about BUCKET_TOKENS tokens, and the buckets to
-    ROUNDS rounds.  In a round each bucket trains a network from the common start, in hash order of its texts,
-    with truncated backpropagation and the state carried through each text; then the networks are averaged by
-    their tokens.  Nothing depends on how ``docs`` is partitioned.
-    """
+
+def _fit(docs: DataFrame) -> tuple[Fitted, DataFrame]:
+    """See train; with all texts as places, which scoring reads instead of the texts."""
     spark = for_python(docs).sparkSession
-    rows = docs.where(_training()).select(F.xxhash64("doc_id", content(), F.lit(5)).alias("h"), content().cast("binary").alias("content"))
-    counts = saved(rows.select("content").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    texts = docs.where(_training()).select(content().cast("binary").alias("content"))
+    counts = saved(texts.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     head = _head(counts)
-    model = spark.sparkContext.broadcast(head)  # at most HEAD tokens
+    model = spark.sparkContext.broadcast(head)
     a_round = min(BUCKETS, max(1, -(-head.total // (BUCKET_TOKENS * ROUNDS))))
     buckets = min(a_round * ROUNDS, max(1, head.total // BUCKET_TOKENS))
-    encoded = rows.mapInArrow(_encode(model), "h long, places binary").withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    encoded = saved(encoded, "encoded")
+    encoded = _encoded(docs, head)
+    rows = encoded.where("not held_out").select("h", "places", F.pmod("h", F.lit(buckets)).alias("bucket"))
     weights = None
     for k in range(ROUNDS):
-        mine = encoded.where(F.pmod("bucket", F.lit(ROUNDS)) == k)
+        mine = rows.where(F.pmod("bucket", F.lit(ROUNDS)) == k)
         dealt = mine.repartitionById(a_round, F.floor(F.col("bucket") / ROUNDS).cast("int")).sortWithinPartitions("bucket", "h", "places")
         networks = saved(dealt.mapInArrow(_train(model, spark.sparkContext.broadcast(weights)), "bucket long, weights binary, n long"), "networks")
         few = networks.repartition(32, F.pmod(F.col("bucket"), F.lit(32))).sortWithinPartitions("bucket")
@@ -527,25 +606,39 @@ def train(docs: DataFrame) -> Fitted:
         if means:
             n = sum(r["n"] for r in means)
             weights = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["n"] / n) for r in means).astype("<f4").tobytes()
+    return Fitted(counts, head, weights), encoded
+
+
+def train(docs: DataFrame) -> Fitted:
+    """Learn from the documents with crc32(doc_id) mod 10 other than 0.
+
+    Token counts come from every token, by a shuffle.  The network learns from every token too: texts become
+    sequences of places, which are dealt by hash to buckets of about BUCKET_TOKENS tokens, and the buckets to
+    ROUNDS rounds.  In a round each bucket trains a network from the common start, in hash order of its texts,
+    with truncated backpropagation and the state carried through each text; then the networks are averaged by
+    their tokens.  Nothing depends on how ``docs`` is partitioned.
+    """
+    fitted, encoded = _fit(docs)
     discard(encoded)
-    return Fitted(counts, head, weights)
+    return fitted
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     """Scores of whole texts under a trained model: see score_documents."""
-    spark, head = for_python(docs).sparkSession, fitted.head
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content().cast("binary").alias("content"), (~_training()).alias("held_out"))
-    broadcast = spark.sparkContext.broadcast
-    scored = rows.mapInArrow(_score(broadcast(head), broadcast(fitted.weights)), SCORED)
-    scored = saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    return _scored(_encoded(for_python(docs), fitted.head), fitted)
+
+
+def _scored(encoded: DataFrame, fitted: Fitted) -> DataFrame:
+    broadcast, head = encoded.sparkSession.sparkContext.broadcast, fitted.head
+    scored = saved(encoded.drop("h", "tail").mapInArrow(_score(broadcast(head), broadcast(fitted.weights)), SCORED), "scored")
     least = int(head.counts.min()) if len(head.counts) else 1 << 62
-    tail = scored.select("row", F.explode("tail").alias("token")).join(fitted.counts.where(F.col("n") < least), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tail = encoded.select("row", F.explode("tail").alias("token")).join(fitted.counts.where(F.col("n") < least), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + SMOOTH) / (head.total + SMOOTH * (head.types + 1)))
     whole = [float(t + SMOOTH * (k + 1)) for t, k in zip(head.tail_totals, head.tail_types, strict=True)]
     of_class = F.element_at(F.array(*[F.lit(x) for x in whole]), (F.col("token").bitwiseAND(TAIL - 1) + 1).cast("int"))
     within = F.log10((F.col("n") + SMOOTH) / of_class)
     tail = tail.groupBy("row").agg(F.sum(base).alias("more_base"), F.sum(within).alias("more"), F.count_if(F.col("n") > 0).alias("more_known"))
-    out = scored.drop("tail").join(tail, "row", "left")
+    out = scored.join(tail, "row", "left")
     none = F.lit(0.0)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
@@ -560,12 +653,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     The output layer picks one of CLASSES classes of frequent words and a word of it, or one of TAIL classes to
     which the hash deals all other words, within which words have their smoothed frequencies; so every word has
     a class and an input, and the chances of all tokens and of one unknown token a class add up to one.  Tasks
-    know the HEAD most frequent tokens; the others meet their counts in a join.  Texts run through the network
-    in streams, so memory does not grow with the longest text beyond its places.
+    know the HEAD most frequent tokens; the others meet their counts in a join.  Texts are encoded once, for training
+    and scoring, and run through the network in streams, so memory does not grow with the longest text beyond
+    its places.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10): one row for each
     input row, in whatever number it occurs.  Null texts are empty: their one token is the end.  A null doc_id
     counts as empty text in the division.  Without any training text all counts are 0; an empty table gives an
     empty result.  Only doc_id and text are read, other columns may have any names.
     """
-    return score(docs, train(docs))
+    fitted, encoded = _fit(docs)
+    return _scored(encoded, fitted)
