@@ -132,6 +132,119 @@ def test_verdicts_against_brute_force(crowd, awkward, monkeypatch, width, turn_b
     assert width > 1 or 10 < sum(n for (_, kept, _), n in brute_kept(crowd.collect()).items() if kept) < 100
 
 
+def brute_word_chances(rows, halves, class_of):
+    """Mean negative log10 chance of a word, from dictionaries: word trigrams, pairs by continuation, bytes by brute_chances."""
+
+    def model(grams):
+        tables = []
+        for order in (3, 2):
+            seen = Counter(grams) if order == 3 else Counter((k, b, c) for k, _, b, c in tables[0][0])
+            sums, gaps, kinds = Counter(), Counter(), list(seen.values())
+            n = [kinds.count(k) for k in (1, 2, 3, 4)]
+            three = [0.5, 0.75, 0.9]
+            if n[0] and n[1]:
+                y = n[0] / (n[0] + 2 * n[1])
+                three = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 2 - 3 * y * n[2] / n[1]]
+            three = [min(max(x, quality.LEAST_DISCOUNT), k + 1) for k, x in enumerate(three)]
+            for g, m in seen.items():
+                sums[g[:-1]] += m
+                gaps[g[:-1]] += three[min(m, 3) - 1]
+            tables.append((seen, three, sums, gaps))
+
+        def chance(g, spelt):
+            for key, (seen, three, sums, gaps) in ((g[:1] + g[2:], tables[1]), (g, tables[0])):
+                if key[:-1] in sums:
+                    n = seen.get(key, 0)
+                    spelt = (n - three[min(n, 3) - 1] * (n > 0) + gaps[key[:-1]] * spelt) / sums[key[:-1]]
+            return spelt
+
+        return chance
+
+    out = Counter()
+    for lang in {r["lang"] for r in rows}:
+        own = [(r, words_of(r["text"]), halves[r["text"]]) for r in rows if r["lang"] == lang]
+        byte = brute_chances(r["text"] for r, _, _ in own)
+        grams = {k: [] for k in range(len(own))}
+        for k, (_, words, _) in enumerate(own):
+            for a, b, c in zip([None, None, *words], [None, *words], words):
+                grams[k].append((*class_of(lang, a, b), c))
+        models = {}
+        for half in (0, 1):
+            by_class = {}
+            for k, (_, _, h) in enumerate(own):
+                if h == half:
+                    for cls, share, a, b, c in grams[k]:
+                        by_class.setdefault(cls, []).append((0, a, (share, b), c))
+            models[half] = {cls: model(g) for cls, g in by_class.items()}
+        for k, (r, words, h) in enumerate(own):
+            logs = []
+            for (cls, share, a, b, c), before in zip(grams[k], [None, *words]):
+                stream = (before.encode()[-1:] if before else b" ") + b" " + c.encode() + b" "
+                spelt = sum(math.log10(byte(stream[i : i + 3])) for i in range(len(stream) - 2))
+                spelt = 10 ** (round(spelt * 256) / 256)
+                of = models[1 - h].get(cls)
+                logs.append(math.log10(of((0, a, (share, b), c), spelt) if of else spelt))
+            out[(r["doc_id"], r["text"])] = -sum(logs) / len(logs) if logs else None
+    return out
+
+
+@pytest.mark.parametrize("class_words", [1_000_000, 400])
+def test_word_perplexity_against_brute_force(crowd, awkward, monkeypatch, class_words):
+    """In one class, and in many, with the first words of texts and frequent words dealt on."""
+    monkeypatch.setattr(quality, "CLASS_WORDS", class_words)
+    for docs in (crowd, awkward):
+        rows = docs.collect()
+        halves = {r["text"]: r["half"] for r in docs.selectExpr("text", "pmod(xxhash64(cast(coalesce(text, '') as binary)), 2) as half").collect()}
+        classes = max(1, -(-sum(len(words_of(r["text"])) for r in rows) // class_words))
+        assert (classes > 1) == (class_words == 400)
+        most, middles, ids = class_words // 4, Counter(), {}
+        for r in rows:
+            middles.update((r["lang"], b) for b in [None, *words_of(r["text"])][:-1])
+
+        def identity(lang, word):
+            if word is None:
+                return np.array([quality.PAD], np.uint64)
+            if (lang, word) not in ids:
+                ids[lang, word] = quality._word_ids(quality.Words(quality.as_bytes(lm.pa.array([word])), 0, 1), salt(lang))
+            return ids[lang, word]
+
+        def salt(lang):
+            return int.from_bytes(quality.hashlib.blake2b(("none" if lang is None else "=" + lang).encode(), digest_size=8).digest(), "little")
+
+        def class_of(lang, a, b):
+            middle, share = identity(lang, b), 0
+            if classes > 1 and middles[lang, b] > most:
+                share = 1 + quality.mix(identity(lang, a)) % np.uint64(-(-middles[lang, b] // most))
+                middle = quality.mix(middle + np.uint64(quality.BASE) * share) >> np.uint64(16)
+                share = int(share[0])
+            return int((quality.mix(middle + np.uint64(salt(lang))) % np.uint64(classes))[0]), share, a, b
+
+        want = brute_word_chances(rows, halves, class_of)
+        models = quality.fit(docs)
+        sums = quality.word_perplexity(docs, models, sum(len(words_of(r["text"])) for r in rows))
+        got = docs.select("doc_id", "text", *quality._keys()).join(sums, ["key", "key2"], "left").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            n = len(words_of(r["text"]))
+            if n:
+                assert -r["log_chance"] / n == pytest.approx(want[r["doc_id"], r["text"]], abs=2e-3)
+            else:
+                assert not r["log_chance"]
+
+
+def test_shuffled_words_are_rejected(spark):
+    """Sentences of fixed phrases are kept, the same words in random order are not: their spelling is the same."""
+    rng = np.random.default_rng(5)
+    phrases = [[f"p{k}w{i}" for i in range(6)] for k in range(150)]
+    text = lambda: [w for k in rng.choice(len(phrases), 20, replace=False) for w in phrases[k]]
+    rows = [(k, " ".join(text()), "en") for k in range(300)]
+    rows += [(1000 + k, " ".join(rng.permutation(text())), "en") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.quality(docs).where("kept").collect()}
+    assert not kept & set(range(1000, 1005))
+    assert len(kept) >= 0.95 * 300
+
+
 def test_model_is_a_distribution():
     """Chances of all bytes add up to one after any context, seen or not."""
     rng = np.random.default_rng(8)
