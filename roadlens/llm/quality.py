@@ -47,6 +47,8 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Distinct trigrams that a task holds before it hands them on.
 HELD_CODES = 2_000_000
+#: A language of at most so many possible trigrams of its own bytes is looked up in a table of them (8 bytes each).
+TABLE_CHANCES = 1 << 22
 
 
 def _tallied(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +121,40 @@ class Model:
     pair_chances: np.ndarray
     after_one: np.ndarray  # of each byte, the weight of what is unseen behind it
     alone: np.ndarray  # of each byte, its own continuation chance
+    table: tuple | None = None  # see _table; each worker's own
 
     def log_chances(self, code: np.ndarray) -> np.ndarray:
         """log10 chance of the last byte of each trigram after the two before it."""
+        symbol, table = self._table()
+        if table is None:
+            return self._searched(code)
+        a, b, c = symbol[code >> np.uint32(16)], symbol[(code >> np.uint32(8)) & np.uint32(0xFF)], symbol[code & np.uint32(0xFF)]
+        size = np.int32(len(table))
+        out = table.ravel().take((a * size + b) * size + c, mode="clip")
+        new = np.flatnonzero((a | b | c) < 0)
+        if len(new):
+            out[new] = self._searched(code[new])
+        return out
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray | None]:
+        """Numbers of the bytes that occur (-1: none), and the chances of all their trigrams, if these are few enough."""
+        if self.table is None:
+            used = np.unique(np.concatenate([self.trigrams >> np.uint32(16), (self.trigrams >> np.uint32(8)) & np.uint32(0xFF), self.trigrams & np.uint32(0xFF)]))
+            symbol, size = np.full(256, -1, np.int32), len(used)
+            symbol[used] = np.arange(size)
+            if size**3 > TABLE_CHANCES:
+                self.table = symbol, None
+                return self.table
+            pair = (self.after_one[used][:, None] + self.alone[used]).astype(np.float64)
+            pair[symbol[self.pairs >> np.uint32(8)], symbol[self.pairs & np.uint32(0xFF)]] = self.pair_chances
+            weight = np.zeros((size, size))
+            weight[symbol[self.contexts >> np.uint32(8)], symbol[self.contexts & np.uint32(0xFF)]] = self.weights
+            table = weight[:, :, None] + pair
+            table[symbol[self.trigrams >> np.uint32(16)], symbol[(self.trigrams >> np.uint32(8)) & np.uint32(0xFF)], symbol[self.trigrams & np.uint32(0xFF)]] = self.chances
+            self.table = symbol, table
+        return self.table
+
+    def _searched(self, code: np.ndarray) -> np.ndarray:
         out, seen = _find(self.trigrams, self.chances, code)
         new = code[~seen]
         if len(new):

@@ -257,6 +257,20 @@ def test_model_is_a_distribution():
         assert chance.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_chances_from_the_table_are_those_searched(monkeypatch):
+    """Of all kinds of contexts, with bytes that never occur; and with too many trigrams for a table."""
+    rng = np.random.default_rng(9)
+    words = quality.Words(quality.as_bytes(lm.pa.array(["".join(rng.choice(list("abcdefé .,"), 500)) for _ in range(20)])), 0, 20)
+    codes, n = np.unique(quality._trigrams(words)[0], return_counts=True)
+    some = rng.choice(np.frombuffer("abcdefé .,x".encode(), np.uint8), (5000, 3)).astype(np.uint32)
+    some = some[:, 0] << 16 | some[:, 1] << 8 | some[:, 2]
+    for most in (quality.TABLE_CHANCES, 10):
+        monkeypatch.setattr(quality, "TABLE_CHANCES", most)
+        model = quality.kneser_ney(codes, n)
+        assert (model._table()[1] is None) == (most == 10)
+        assert np.array_equal(model.log_chances(some), model._searched(some))
+
+
 def test_repeats_survive_polynomial_twins(spark):
     """The Thue-Morse word and its complement are different words that polynomial hashes modulo 2**64 confuse."""
     word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
