@@ -82,6 +82,7 @@ class Head:
     types: int
     tail_totals: np.ndarray  # of each class of the tail, its training tokens and its distinct ones
     tail_types: np.ndarray
+    first: np.ndarray | None = None  # see _at; each worker's own
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + SMOOTH) / (self.total + SMOOTH * (self.types + 1)))
@@ -91,12 +92,29 @@ class Head:
         c = -1 - places
         return np.log10((counts + SMOOTH) / (self.tail_totals[c] + SMOOTH * (self.tail_types[c] + 1)))
 
+    def _at(self, tokens: np.ndarray) -> np.ndarray:
+        """For each token the first place whose token is not below it, at most the last place.
+
+        Codes are hashes, so their top bits lead to it within a few steps, where a binary search takes twenty.
+        """
+        shift = np.uint64(64 - len(self.tokens).bit_length())
+        if self.first is None:
+            of_bits = np.bincount((self.tokens >> shift).astype(np.int64), minlength=1 << len(self.tokens).bit_length())
+            self.first = np.concatenate([[0], np.cumsum(of_bits)[:-1]]).astype(np.int32)
+        last = len(self.tokens) - 1
+        at = np.minimum(self.first[(tokens >> shift).astype(np.int64)], last)
+        below = np.flatnonzero(self.tokens[at] < tokens)
+        while len(below := below[at[below] < last]):
+            at[below] += 1
+            below = below[self.tokens[at[below]] < tokens[below]]
+        return at
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each token is here, its count and its place."""
         tail = -1 - (tokens & np.uint64(TAIL - 1)).astype(np.int32)
         if not len(self.tokens):
             return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), tail
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        at = self._at(tokens)
         here = self.tokens[at] == tokens
         return here, np.where(here, self.counts[at], 0), np.where(here & (self.places[at] >= 0), self.places[at], tail).astype(np.int32)
 
@@ -121,19 +139,35 @@ def _head(counts: DataFrame) -> Head:
     return Head(tokens, n, places, total, n_types, totals - np.bincount(c, n[best], TAIL).astype(np.int64), types - np.bincount(c, minlength=TAIL))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Of each column, in place but for a factor: their sums."""
-    x -= x.max(axis=0)
+def _exponentials(x: np.ndarray, at: np.ndarray, bias: np.ndarray, bias_at: np.ndarray, of: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of rows of logits, in place: of ``x`` and of the row ``of`` of ``bias``, whose exponentials are left out and returned.
+
+    They are factors of columns, so products with ``x`` take them in without a pass over it.  Each row's maximum
+    is subtracted only where floats would not hold the exponentials or their quotients; the factors are 1 then.
+    ``at`` and ``bias_at`` are the flat places of each row's own logit, which comes first.
+    """
+    low = bias - bias.max(axis=1, keepdims=True)
+    if max(float(x.max(initial=0)), -float(x.min(initial=0))) - float(low.min()) < 80:
+        own = x.ravel()[at] + low.ravel()[bias_at]
+        np.exp(x, out=x)
+        return own, np.exp(low)
+    x += low[of]
+    x -= x.max(axis=1, keepdims=True)
+    own = x.ravel()[at]
     np.exp(x, out=x)
-    return x.sum(axis=0)
+    return own, np.ones_like(low)
 
 
-def _log_chances(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each column of ``x`` at one row; ``x`` is overwritten."""
-    x -= x.max(axis=0)
-    own = x[at, np.arange(x.shape[1])]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(axis=0))
+def _placed(nth: int, shape: tuple[int, ...]) -> np.ndarray:
+    """Zeros that begin with a cache line, and in another line of their page than those of other small ``nth``.
+
+    Where numpy puts large arrays, every vector lies across two lines, and all arrays begin at one place of a page,
+    so that writing one delays reading another.
+    """
+    size = int(np.prod(shape))
+    held = np.zeros(size + 2048, np.float32)
+    first = -held.ctypes.data % 4096 // 4 + nth * 13 % 64 * 16
+    return held[first : first + size].reshape(shape)
 
 
 class Space:
@@ -145,18 +179,20 @@ class Space:
     def __call__(self, name: str, *shape: int) -> np.ndarray:
         size = int(np.prod(shape))
         if name not in self.held or self.held[name].size < size:
-            self.held[name] = np.empty(size, np.float32)
+            self.held[name] = _placed(len(self.held), (size,))
         return self.held[name][:size].reshape(shape)
 
-    def side_by_side(self, name: str, x: np.ndarray) -> np.ndarray:
-        """(steps, units, streams) as (units, steps * streams)."""
-        steps, units, streams = x.shape
-        out = self(name, units, steps * streams)
-        out.reshape(units, steps, streams)[:] = x.transpose(1, 0, 2)
-        return out
+    def rows(self, name: str, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return x.take(at, axis=0, out=self(name, len(at), x.shape[1]), mode="clip")
+
+
+def _blocks(n: int, size: int = 2048) -> list[slice]:
+    """Rows whose logits fit the cache."""
+    return [slice(a, min(a + size, n)) for a in range(0, n, size)]
+
 
-    def columns(self, name: str, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return x.take(at, axis=1, out=self(name, len(x), len(at)), mode="clip")
+#: Classes by place; those of the tail, whose places are negative, from the end.
+_CLASS = np.append(np.repeat(np.arange(CLASSES), CLASS_WORDS), np.arange(CLASSES + TAIL - 1, CLASSES - 1, -1))
 
 
 @dataclass
@@ -177,7 +213,7 @@ class Network:
 
     @staticmethod
     def classes_of(places: np.ndarray) -> np.ndarray:
-        return np.where(places >= 0, places // CLASS_WORDS, CLASSES - 1 - places)
+        return _CLASS[places]
 
     def start(self, seed: int = 11) -> Network:
         """Random recurrent weights; outputs that give the tokens' own frequencies."""
@@ -197,141 +233,180 @@ class Network:
         }
         return self
 
-    def _run(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """States after each input of a window, and what backpropagation needs, each (steps, units, streams), until the next run.
+    def _planes(self) -> np.ndarray:
+        """The recurrent weights of update, reset and new state, (3, units, units)."""
+        return np.ascontiguousarray(self.p["state"].reshape(UNITS, 3, UNITS).transpose(1, 0, 2))
 
-        Units lie before streams, so that every step works on contiguous rows.  Gates are 1 / (1 + exp(-x)), new
-        states tanh(x) = 2 / (1 + exp(-2 x)) - 1; the factors -1 and -2 are in the inputs and weights already.
+    @staticmethod
+    def _begins(keep: np.ndarray | None, steps: int) -> list[np.ndarray]:
+        """The streams in which a text begins, of each step."""
+        if keep is None:
+            return [np.zeros(0, np.int64)] * steps
+        t, stream = np.nonzero(keep == 0)
+        cuts = np.searchsorted(t, np.arange(steps + 1)).tolist()
+        return [stream[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _run(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray, trace: bool = False) -> tuple[np.ndarray, ...]:
+        """States after each input of a window (steps, streams, units), valid until the next run; with ``trace``, what
+        backpropagation needs besides: the states before, the gates, and the factors that lead back to update, reset and new state.
+
+        The three parts of inputs and weights lie apart, so that every step works on contiguous rows, which stay in
+        the cache, and a window's states are a matrix with a row for each token.  Gates are 1 / (1 + exp(-x)).
         """
-        scale = np.repeat(np.float32([-1, -1, -2]), UNITS)
-        u = np.ascontiguousarray((self.p["state"] * scale).T)
+        u, one = self._planes(), np.float32(1)
+        u[:2] *= np.float32(-1)
         steps, streams = inputs.shape
-        rows = self.p["inputs"].take(inputs, axis=0, out=self.space("rows", steps, streams, 3 * UNITS), mode="clip")
-        x = np.multiply(rows.transpose(0, 2, 1), scale[:, None], out=self.space("x", steps, 3 * UNITS, streams))
-        states, before, off, new = (self.space(k, steps, UNITS, streams) for k in ("states", "before", "off", "new"))
-        gates, b = self.space("gates", steps, 2 * UNITS, streams), self.space("b", steps, 3 * UNITS, streams)
+        parts, table = 3 * inputs[:, None] + np.arange(3)[:, None], self.p["inputs"].reshape(-1, UNITS)
+        begins, kept, space, before = self._begins(keep, steps), steps if trace else 1, self.space, []
+        states, gates, factors = space("states", steps, streams, UNITS), space("gates", kept, 2, streams, UNITS), space("factors", kept, 3, streams, UNITS)
+        x, b, rest, n = (space(f"{k} of a step", *m, streams, UNITS) for k, m in (("x", (3,)), ("b", (3,)), ("rest", (2,)), ("n", ())))
         with np.errstate(over="ignore"):  # an infinite exponential gives the gates' limits
             for t in range(steps):
-                h0, zr, n = before[t], gates[t], new[t]
-                if keep is None:
-                    h0[:] = h
-                else:
-                    np.multiply(h, keep[t], out=h0)
-                np.matmul(u, h0, out=b[t])
-                np.add(x[t, : 2 * UNITS], b[t, : 2 * UNITS], out=zr)  # update and reset
+                zr = gates[t % kept]
+                if len(begins[t]):
+                    h = h.copy()
+                    h[begins[t]] = 0
+                before.append(h)
+                table.take(parts[t], axis=0, out=x, mode="clip")
+                np.matmul(h, u, out=b)
+                np.subtract(b[:2], x[:2], out=zr)  # update and reset
                 np.exp(zr, out=zr)
-                zr += np.float32(1)
+                zr += one
                 np.reciprocal(zr, out=zr)
-                np.multiply(zr[UNITS:], b[t, 2 * UNITS :], out=n)
-                n += x[t, 2 * UNITS :]
-                np.exp(n, out=n)
-                n += np.float32(1)
-                np.divide(np.float32(2), n, out=n)
-                n -= np.float32(1)
-                np.subtract(h0, n, out=off[t])
-                h = np.multiply(zr[:UNITS], off[t], out=states[t])
+                np.multiply(zr[1], b[2], out=n)
+                n += x[2]
+                np.tanh(n, out=n)
+                off = np.subtract(h, n, out=b[1])
+                h = np.multiply(zr[0], off, out=states[t])
                 h += n
-        return states, before, gates, b[:, 2 * UNITS :], new, off
+                if trace:
+                    back = factors[t]
+                    np.subtract(one, zr, out=rest)
+                    np.multiply(n, n, out=n)
+                    np.subtract(one, n, out=n)
+                    np.multiply(n, rest[0], out=back[2])
+                    np.multiply(b[1:], zr, out=back[:2])
+                    back[:2] *= rest
+                    back[1] *= back[2]
+        return states, before, gates, factors
 
     def forward(self, inputs: np.ndarray, keep: np.ndarray | None, h: np.ndarray, trace: bool) -> tuple[np.ndarray, tuple, np.ndarray]:
         """States (steps, streams, units) after each input of a window (steps x streams); ``keep`` is 0 where a text begins."""
-        states, *rest = self._run(inputs, keep, h.T)
-        return states.transpose(0, 2, 1).copy(), tuple(x.copy() for x in rest) if trace else (), states[-1].T.copy()
+        states, *rest = self._run(inputs, keep, h, trace)
+        return states.copy(), tuple(np.array(x) for x in rest) if trace else (), states[-1].copy()
+
+    def _classes(self, states: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each state its class's logit, the classes' exponentials without factors, the factors, and the sums."""
+        w = self.p["class"]
+        x = np.matmul(states, w, out=self.space("classes", len(states), CLASSES + TAIL))
+        own, factors = _exponentials(x, np.arange(len(cls)) * (CLASSES + TAIL) + cls, self.p["class_bias"][None], cls, 0)
+        return own, x, factors[0], x @ factors[0]
+
+    def _words(self, states: np.ndarray, places: np.ndarray, cls: np.ndarray, cuts: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+        """The same for the words of each state's class; states come class by class."""
+        w = self.p["word"]
+        x, sums = self.space("words", len(states), CLASS_WORDS), np.empty(len(states), np.float32)
+        for c, a, b in cuts:
+            np.matmul(states[a:b], w[c].T, out=x[a:b])
+        own, factors = _exponentials(x, np.arange(len(cls)) * CLASS_WORDS + places % CLASS_WORDS, self.p["word_bias"], places, cls)
+        for c, a, b in cuts:
+            np.matmul(x[a:b], factors[c], out=sums[a:b])
+        return own, x, factors, sums
+
+    @staticmethod
+    def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The frequent words, class by class, and the (class, first, end) that occur."""
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        return order[: cuts[-1]], [(c, a, b) for c, (a, b) in enumerate(itertools.pairwise(cuts)) if a < b]
 
     def chances(self, states: np.ndarray, places: np.ndarray) -> np.ndarray:
         """log10 of the chance of each place (below 0: of a class of the tail) after each state (a row each)."""
-        return self._chances(states.T, np.arange(len(states)), places)
-
-    def _chances(self, states: np.ndarray, at: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The same for states in columns, of which ``at`` names one for each place."""
-        cls = self.classes_of(places)
-        order = np.argsort(cls.astype(np.int16), kind="stable")  # class by class
-        cls, states, places = cls[order], self.space.columns("by_class", states, at[order]), places[order]
-        x = np.matmul(self.p["class"].T, states, out=self.space("d", CLASSES + TAIL, len(cls)))
-        x += self.p["class_bias"][:, None]
-        sums = _log_chances(x, cls).astype(np.float64)
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            a, b = cuts[c], cuts[c + 1]
-            if a < b:
-                x = np.matmul(self.p["word"][c], states[:, a:b], out=self.space("d", CLASS_WORDS, b - a))
-                x += self.p["word_bias"][c][:, None]
-                sums[a:b] += _log_chances(x, places[a:b] % CLASS_WORDS)
-        out = np.empty(len(sums))
-        out[order] = sums
+        cls, out = self.classes_of(places), np.empty(len(places))
+        for rows in _blocks(len(places)):
+            own, _, _, sums = self._classes(states[rows], cls[rows])
+            out[rows] = own - np.log(sums)
+        order, cuts = self._by_class(cls)
+        if len(order):
+            own, _, _, sums = self._words(self.space.rows("by_class", states, order), places[order], cls[order], cuts)
+            out[order] += own - np.log(sums)
         return out / np.log(10.0)
 
     def gradient(
-        self, inputs: np.ndarray, places: np.ndarray, mask: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None
+        self, inputs: np.ndarray, places: np.ndarray, mask: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None, out: dict[str, np.ndarray] | None = None
     ) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradient of the mean log loss of one window, by backpropagation to the begin of the window or text only."""
+        """Gradient of the mean log loss of one window, by backpropagation to the begin of the window or text only.
+
+        With ``out`` it is added there, as the sum over the tokens, not their mean.
+        """
         steps, streams = inputs.shape
-        states, h0, gates, bn, new, off = self._run(inputs, keep, h.T)
-        target, weight = places.ravel(), mask.ravel().astype(np.float32)
-        weight = weight / max(1.0, float(weight.sum()))
-        cls = self.classes_of(target)
-        order = np.argsort(cls.astype(np.int16), kind="stable")  # class by class
-        space, column = self.space, np.arange(len(order))
-        cls, by_class, target, weight = cls[order], space.columns("by_class", space.side_by_side("flat", states), order), target[order], weight[order]
-        d = np.matmul(self.p["class"].T, by_class, out=space("d", CLASSES + TAIL, len(order)))
-        d += self.p["class_bias"][:, None]
-        d *= weight / _softmax(d)
-        d[cls, column] -= weight
-        g = {"class": by_class @ d.T, "class_bias": d.sum(axis=1), "word": np.zeros_like(self.p["word"]), "word_bias": np.zeros_like(self.p["word_bias"])}
-        sorted_back = np.matmul(self.p["class"], d, out=space("sorted_back", UNITS, len(order)))
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            a, b = cuts[c], cuts[c + 1]
-            if a < b:
-                own, word = by_class[:, a:b], self.p["word"][c]
-                d = np.matmul(word, own, out=space("d", CLASS_WORDS, b - a))
-                d += self.p["word_bias"][c][:, None]
-                d *= weight[a:b] / _softmax(d)
-                d[target[a:b] % CLASS_WORDS, column[: b - a]] -= weight[a:b]
-                np.matmul(d, own.T, out=g["word"][c])
-                d.sum(axis=1, out=g["word_bias"][c])
-                sorted_back[:, a:b] += word.T @ d
-        place_of = np.empty_like(order)
-        place_of[order] = column
-        back = space("back", steps, UNITS, streams)
-        back[:] = space.columns("flat", sorted_back, place_of).reshape(UNITS, steps, streams).transpose(1, 0, 2)
-        u, z, r = self.p["state"], gates[:, :UNITS], gates[:, UNITS:]
-        to_new, to_z, to_r, keeps = (space(k, steps, UNITS, streams) for k in ("to_new", "to_z", "to_r", "keeps"))
-        np.subtract(np.float32(1), z, out=keeps)
-        np.multiply(new, new, out=to_new)
-        np.subtract(np.float32(1), to_new, out=to_new)
-        to_new *= keeps
-        np.multiply(off, z, out=to_z)
-        to_z *= keeps
-        np.subtract(r, np.float32(1), out=to_r)
-        to_r *= r
-        to_r *= bn
-        to_r *= np.float32(0.5)  # bn is scaled by -2
-        into, du = (space(k, steps, 3 * UNITS, streams) for k in ("into", "du"))
-        later = np.zeros((UNITS, streams), np.float32)
+        states, before, gates, factors = self._run(inputs, keep, h, True)
+        space, target, weight = self.space, places.ravel(), mask.ravel().astype(np.float32)
+        if out is None:
+            weight /= np.float32(max(1.0, float(weight.sum())))
+        g = {k: np.zeros_like(x) for k, x in self.p.items()} if out is None else out
+        flat, cls, ones, back = states.reshape(-1, UNITS), self.classes_of(target), np.ones(len(target), np.float32), space("back", len(target), UNITS)
+        for rows in _blocks(len(target)):
+            own, to = flat[rows], cls[rows]
+            _, d, of, sums = self._classes(own, to)
+            d.ravel()[np.arange(len(to)) * (CLASSES + TAIL) + to] -= sums / of[to]
+            d *= (weight[rows] / sums)[:, None]
+            g["class"] += (own.T @ d) * of
+            g["class_bias"] += (ones[rows] @ d) * of
+            np.matmul(d, (self.p["class"] * of).T, out=back[rows])
+        order, cuts = self._by_class(cls)
+        if len(order):
+            cls, target, weight, by_class = cls[order], target[order], weight[order], space.rows("by_class", flat, order)
+            _, d, of, sums = self._words(by_class, target, cls, cuts)
+            d.ravel()[np.arange(len(cls)) * CLASS_WORDS + target % CLASS_WORDS] -= sums / of.ravel()[target]
+            d *= (weight / sums)[:, None]
+            words, sorted_back = self.p["word"] * of[:, :, None], space("sorted_back", len(cls), UNITS)
+            to_words, to_biases = space("to_words", *words.shape), space("to_biases", *of.shape)
+            to_words.fill(0)
+            to_biases.fill(0)
+            for c, a, b in cuts:
+                own = d[a:b]
+                np.matmul(own.T, by_class[a:b], out=to_words[c])
+                np.matmul(ones[a:b], own, out=to_biases[c])
+                np.matmul(own, words[c], out=sorted_back[a:b])
+            to_words *= of[:, :, None]
+            to_biases *= of
+            g["word"] += to_words
+            g["word_bias"] += to_biases
+            back[order] += sorted_back
+        fed, occurs = inputs.ravel(), np.bincount(inputs.ravel(), minlength=self.BEGIN + 1)
+        kind = (occurs > 1).astype(np.int64) + (occurs > 16)  # inputs that occur once, a few times, often
+        order = np.argsort((fed + kind[fed] * (self.BEGIN + 1)).astype(np.int16), kind="stable")
+        u, later = self._planes()[[2, 0, 1]].transpose(0, 2, 1).copy(), np.zeros((streams, UNITS), np.float32)
+        begins, every, parts = self._begins(keep, steps), space("into", steps, 4, streams, UNITS), space("parts", 3, streams, UNITS)
+        own, state = np.empty((3, UNITS, UNITS), np.float32), np.zeros((3, UNITS, UNITS), np.float32)
+        back = back.reshape(steps, streams, UNITS)
         for t in range(steps - 1, -1, -1):
-            dh, dn = back[t], into[t, 2 * UNITS :]
+            dh, (z, r), into = back[t], gates[t], every[t]  # into the new state's recurrent part, update, reset, new state
             dh += later
-            np.multiply(dh, to_z[t], out=into[t, :UNITS])
-            np.multiply(dh, to_new[t], out=dn)
-            np.multiply(dn, to_r[t], out=into[t, UNITS : 2 * UNITS])
-            du[t, : 2 * UNITS] = into[t, : 2 * UNITS]
-            np.multiply(dn, r[t], out=du[t, 2 * UNITS :])
-            np.matmul(u, du[t], out=later)
-            dh *= z[t]
-            later += dh
-            if keep is not None:
-                later *= keep[t]
-        g["state"] = space.side_by_side("flat", h0) @ space.side_by_side("x", du).T
-        order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
-        rows = inputs.ravel()[order]
+            np.multiply(dh, factors[t], out=into[1:])
+            np.multiply(into[3], r, out=into[0])
+            np.matmul(into[:3], u, out=parts)
+            np.matmul(before[t].T, into[:3], out=own)
+            state += own
+            np.multiply(dh, z, out=later)
+            for x in parts:
+                later += x
+            if len(begins[t]):
+                later[begins[t]] = 0
+        g["state"].reshape(UNITS, 3, UNITS)[:] += state[[1, 2, 0]].transpose(1, 0, 2)
+        of_token = (4 * streams * np.arange(steps)[:, None] + np.arange(streams)).ravel()[order, None] + np.arange(1, 4) * streams
+        by_input, rows = space.rows("by_input", every.reshape(-1, UNITS), of_token.ravel()).reshape(-1, 3 * UNITS), fed[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        flat = space("rows", steps, streams, 3 * UNITS)
-        flat[:] = into.transpose(0, 2, 1)
-        by_input = flat.reshape(-1, 3 * UNITS).take(order, axis=0, out=space("by_input", len(order), 3 * UNITS), mode="clip")
-        g["inputs"] = np.zeros_like(self.p["inputs"])
-        g["inputs"][rows[first]] = np.add.reduceat(by_input, first, axis=0)
-        return g, states[-1].T.copy()
+        one, few = int((kind[rows[first]] == 0).sum()), int((kind[rows[first]] < 2).sum())
+        cuts = np.append(first, len(rows)).tolist()
+        g["inputs"][rows[:one]] += by_input[:one]
+        if one < few:  # sums of pairs of floats, as complex numbers, take half the calls
+            pairs = by_input[: cuts[few]].view(np.complex64)
+            g["inputs"].view(np.complex64)[rows[first[one:few]]] += np.add.reduceat(pairs, first[one:few], axis=0)
+        for a, b in itertools.pairwise(cuts[few:]):
+            g["inputs"][rows[a]] += ones[a:b] @ by_input[a:b]
+        return g, states[-1].copy()
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -346,28 +421,37 @@ class Network:
 
 
 class Adam:
-    """Adaptive moments, in place."""
+    """Adaptive moments, in place, a block after another, so that a block's passes stay in the cache.
+
+    Both moments are kept without their constant factors, 0.1 and 0.001.
+    """
+
+    BLOCK = 1 << 15
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.m, self.v, self.part = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(3))
-        self.t = 0
-
-    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
-        self.t += 1
-        fix = np.float32(rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        for k, x in g.items():
-            m, v, part = self.m[k], self.v[k], self.part[k]
-            m *= np.float32(0.9)
-            m += np.multiply(x, np.float32(0.1), out=part)
-            np.multiply(x, x, out=part)
-            part *= np.float32(0.001)
-            v *= np.float32(0.999)
-            v += part
-            np.sqrt(v, out=part)
-            part += np.float32(1e-8)
-            np.divide(m, part, out=part)
-            part *= fix
-            p[k] -= part
+        self.m, self.v = ({k: _placed(nth, (x.size,)) for k, x in p.items()} for nth in (2, 3))
+        self.part, self.t = _placed(4, (self.BLOCK,)), 0
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], n: int) -> None:
+        """One step by the gradient's sum over n tokens, which is cleared; every token weighs the same."""
+        self.t, rate, each = self.t + 1, RATE * n / (STEPS * BATCH), np.float32(1 / n)
+        fix = np.float32(rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) * 0.1 / np.sqrt(0.001))
+        for k in g:
+            values, slopes = p[k].reshape(-1), g[k].reshape(-1)
+            for a in range(0, len(values), self.BLOCK):
+                own, x, m, v = (y[a : a + self.BLOCK] for y in (values, slopes, self.m[k], self.v[k]))
+                part = self.part[: len(x)]
+                x *= each
+                m *= np.float32(0.9)
+                m += x
+                v *= np.float32(0.999)
+                v += np.multiply(x, x, out=part)
+                np.sqrt(v, out=part)
+                part += np.float32(1e-8 / np.sqrt(0.001))
+                np.divide(m, part, out=part)
+                part *= fix
+                own -= part
+                x.fill(0)
 
 
 def _network(head: Head) -> Network:
@@ -404,6 +488,11 @@ def stream_windows(texts: Iterator[tuple[object, np.ndarray]], width: int) -> It
         target, begins = np.full((n, STEPS), -1, np.int32), np.zeros((n, STEPS), bool)
         filled, ends = np.zeros(n, np.int64), []
         for s in range(n):
+            if (text := current[s]) is not None and len(text[1]) - text[2] > STEPS:  # the window lies inside the text
+                target[s] = text[1][text[2] : text[2] + STEPS]
+                text[2] += STEPS
+                filled[s] = STEPS
+                continue
             at = 0
             while at < STEPS:
                 if current[s] is None:
@@ -442,28 +531,20 @@ def stream_windows(texts: Iterator[tuple[object, np.ndarray]], width: int) -> It
 
 def train_network(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> int:
     """Train on every token of the texts; the number of tokens.  Gradients of small windows are gathered first."""
-    adam, seen, gathered, total = Adam(net.p), 0, 0, {}
+    old, (net.p, g) = net.p, ({k: _placed(nth, x.shape) for k, x in net.p.items()} for nth in (0, 1))
+    for k, x in old.items():
+        net.p[k][:] = x
+    adam, seen, gathered = Adam(net.p), 0, 0
     h = np.zeros((BATCH, UNITS), np.float32)
-
-    def step() -> None:
-        nonlocal gathered, total
-        adam.step(net.p, {k: x / np.float32(gathered) for k, x in total.items()}, RATE * gathered / (STEPS * BATCH))  # every token weighs the same
-        gathered, total = 0, {}
-
     for w in stream_windows(texts, BATCH):
-        g, h = net.gradient(w.inputs, w.places, w.mask, h[w.live], w.keep)
+        _, h = net.gradient(w.inputs, w.places, w.mask, h[w.live], w.keep, g)
         n = int(w.mask.sum())
-        seen += n
-        if not gathered and 2 * n >= STEPS * BATCH:
-            adam.step(net.p, g, RATE * n / (STEPS * BATCH))
-            continue
-        gathered += n
-        for k, x in g.items():
-            total[k] = x * np.float32(n) + total[k] if k in total else x * np.float32(n)
+        seen, gathered = seen + n, gathered + n
         if 2 * gathered >= STEPS * BATCH:
-            step()
+            adam.step(net.p, g, gathered)
+            gathered = 0
     if gathered:
-        step()
+        adam.step(net.p, g, gathered)
     return seen
 
 
@@ -533,11 +614,10 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score_texts(net: Network, texts: Iterator[tuple[object, np.ndarray]]) -> Iterator[tuple[object, float]]:
     """(key, log10 chance) of whole texts given as (key, places), as they end; the state runs through each text."""
-    h, sums = np.zeros((UNITS, STREAMS), np.float32), np.zeros(STREAMS)
+    h, sums = np.zeros((STREAMS, UNITS), np.float32), np.zeros(STREAMS)
     for w in stream_windows(texts, STREAMS):
-        states = net._run(w.inputs, w.keep, h[:, w.live])[0]
-        h, chance = states[-1], np.zeros(w.mask.shape)
-        chance[w.mask] = net._chances(net.space.side_by_side("flat", states), np.flatnonzero(w.mask), w.places[w.mask])
+        states = net._run(w.inputs, w.keep, h[w.live])[0]
+        h, chance = states[-1], np.where(w.mask, net.chances(states.reshape(-1, UNITS), w.places.ravel()).reshape(w.mask.shape), 0.0)
         upto = np.concatenate([np.zeros((1, chance.shape[1])), np.cumsum(chance, axis=0)])
         sums, done = sums[w.live], np.zeros(chance.shape[1], np.int64)
         for s, at, key in w.ends:

@@ -378,6 +378,53 @@ def test_gradient():
         assert g[k][at] == pytest.approx((up - down) / (2 * eps), abs=2e-4)
 
 
+def test_gradient_adds_up():
+    """Over parts of the streams, in one sum; inputs occur once, a few times and often, in ever other numbers."""
+    net, rng = stirred(network()), np.random.default_rng(12)
+    places = np.minimum(rng.zipf(1.3, (lm.STEPS, 128)) - 1, 99 + lm.TAIL)
+    places = np.where(places < 100, places, 99 - places)
+    inputs, mask, h = net.inputs_of(np.roll(places, 1, axis=0)), rng.random(places.shape) < 0.9, rng.standard_normal((128, lm.UNITS)).astype(np.float32) * 0.1
+    keep = (rng.random(places.shape) < 0.95).astype(np.float32)
+    mean, _ = net.gradient(inputs, places, mask, h, keep)
+    total = {k: np.zeros_like(x) for k, x in net.p.items()}
+    for a, b in ((0, 1), (1, 20), (20, 128)):
+        net.gradient(inputs[:, a:b], places[:, a:b], mask[:, a:b], h[a:b], np.ascontiguousarray(keep[:, a:b]), total)
+    for k, x in mean.items():
+        assert total[k] / mask.sum() == pytest.approx(x, abs=1e-6)
+
+
+def test_logits_beyond_floats():
+    """Where exponentials would overflow, the maximum of the row is taken off; elsewhere chances are the same without."""
+    net, rng = stirred(network()), np.random.default_rng(13)
+    net.p["class"] = net.p["class"] * 2000
+    net.p["word"] = net.p["word"] * 2000
+    places = rng.integers(-lm.TAIL, 100, 300)
+    h = rng.standard_normal((300, lm.UNITS)).astype(np.float32)
+    with np.errstate(all="raise", under="ignore"):
+        got = net.chances(h, places)
+    log_softmax = lambda x: x - x.max() - math.log(np.exp(x - x.max()).sum())
+    for x, place, chance in zip(h.astype(np.float64), places.tolist(), got.tolist(), strict=True):
+        c = place // lm.CLASS_WORDS if place >= 0 else lm.CLASSES - 1 - place
+        want = log_softmax(x @ net.p["class"] + net.p["class_bias"])[c]
+        if place >= 0:
+            want += log_softmax(net.p["word"][c] @ x + net.p["word_bias"][c])[place % lm.CLASS_WORDS]
+        assert chance == pytest.approx(want / math.log(10), rel=1e-4, abs=1e-3)
+    g, _ = net.gradient(places[:, None] * 0, places[:, None], np.ones((300, 1), bool), h[:1] * 0)
+    assert all(np.isfinite(x).all() for x in g.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 4096])
+def test_head_finds_tokens_by_their_top_bits(n):
+    rng = np.random.default_rng(n)
+    tokens = np.unique(np.concatenate([rng.integers(0, 2**64, n, np.uint64), np.uint64([0, 1, 2**64 - 1])[: n - 1], np.arange(n // 8, dtype=np.uint64)]))
+    head = lm.Head(tokens, np.arange(len(tokens)) + 1, np.full(len(tokens), -1, np.int32), 1, 1, np.ones(lm.TAIL), np.ones(lm.TAIL))
+    asked = np.concatenate([tokens, tokens + np.uint64(1), tokens - np.uint64(1), rng.integers(0, 2**64, 500, np.uint64)])
+    assert np.array_equal(head._at(asked), np.minimum(np.searchsorted(tokens, asked), len(tokens) - 1))
+    here, counts, _ = head.look_up(asked)
+    assert np.array_equal(here, np.isin(asked, tokens))
+    assert np.array_equal(counts[: len(tokens)], head.counts)
+
+
 def brute_score(net, places):
     """One text, token by token, in double precision."""
     p = {k: v.astype(np.float64) for k, v in net.p.items()}
