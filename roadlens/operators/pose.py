@@ -26,23 +26,34 @@ def focal_pixels(f35: Column, width: Column, height: Column) -> Column:
 
 
 def edge_rows(left: Column, right: Column) -> Column:
-    """Rows with a road as an array of (y, l, r)."""
-    rows = F.transform(left, lambda v, y: F.struct(y.cast("long").alias("y"), v.cast("long").alias("l"), F.get(right, y).cast("long").alias("r")))
+    """Rows with a road as an array of (y, l, r).
+
+    The arrays are zipped: looked up row by row, ``right`` would be made anew for each row of ``left`` wherever its
+    expression is merged into this one.
+    """
+    none = F.array().cast("array<int>")
+    both = F.arrays_zip(left.alias("l"), F.when(left.isNotNull(), F.coalesce(right, none)).alias("r"))
+    rows = F.transform(both, lambda e, y: F.struct(y.cast("long").alias("y"), e["l"].cast("long").alias("l"), e["r"].cast("long").alias("r")))
     return F.filter(rows, lambda e: e["l"] >= 0)
 
 
+def _edge(rows: Column, side: str, seg_width: Column) -> Column:
+    """The points of an edge that are not at the raster's border, as an array of (y, v, yy, yv)."""
+    inside = F.filter(rows, lambda e: (e[side] > MARGIN_LEFT) & (e[side] < seg_width - MARGIN_RIGHT))
+    return F.transform(inside, lambda e: F.struct(e["y"].alias("y"), e[side].alias("v"), (e["y"] * e["y"]).alias("yy"), (e["y"] * e[side]).alias("yv")))
+
+
 def _within(rows: Column, low: Column, high: Column) -> Column:
     return F.filter(rows, lambda e: (e["y"] >= low) & (e["y"] <= high))
 
 
-def _sums(rows: Column, side: str, seg_width: Column) -> Column:
-    """n and whole sums of y, v, y*y and y*v over the points of an edge that are not at the raster's border."""
+def _sums(points: Column) -> Column:
+    """n and whole sums of y, v, y*y and y*v over the points of an edge."""
     zero = F.lit(0).cast("long")
     names = ("n", "y", "v", "yy", "yv")
-    inside = F.filter(rows, lambda e: (e[side] > MARGIN_LEFT) & (e[side] < seg_width - MARGIN_RIGHT))
     return F.aggregate(
-        inside, F.struct(*[zero.alias(n) for n in names]),
-        lambda s, e: F.struct(*[(s[n] + x).alias(n) for n, x in zip(names, (F.lit(1), e["y"], e[side], e["y"] * e["y"], e["y"] * e[side]), strict=True)]),
+        points, F.struct(*[zero.alias(n) for n in names]),
+        lambda s, e: F.struct((s["n"] + 1).alias("n"), *[(s[n] + e[n]).alias(n) for n in names[1:]]),
     )
 
 
@@ -71,13 +82,13 @@ def edge_pose(photos: DataFrame, from_m: float, to_m: float, height_m: float) ->
     cx, cy = F.col("image_width") / 2, F.col("image_height") / 2
     focal = focal_pixels(F.col("f35"), F.col("image_width"), F.col("image_height"))
     rows = photos.withColumn("_e", F.coalesce(edge_rows(F.col("left"), F.col("right")), F.expr("array()").cast("array<struct<y: bigint, l: bigint, r: bigint>>")))
+    rows = rows.withColumns({f"_p{side}": _edge(F.col("_e"), side, F.col("seg_width")) for side in "lr"})
     first, last = F.get("_e", F.lit(0))["y"], F.element_at(F.col("_e"), -1)["y"]
     rows = rows.withColumn("_low", F.when(F.size("_e") > 0, first + UPPER_SHARE * (last - first))).withColumn("_high", F.lit(float("inf")))
     none = F.lit(None).cast("double")
     rows = rows.withColumns({"_error": F.when(F.size("_e") < LEAST_ROWS, "no_lane"), "_on": F.lit(True), "_pose": F.struct(none.alias("theta"), none.alias("psi"), none.alias("ratio"))})
     for _ in range(ROUNDS):
-        used = _within(F.col("_e"), F.col("_low"), F.col("_high"))
-        rows = rows.withColumn("_used", used).withColumns({"_l": _sums(F.col("_used"), "l", F.col("seg_width")), "_r": _sums(F.col("_used"), "r", F.col("seg_width"))})
+        rows = rows.withColumns({f"_{side}": _sums(_within(F.col(f"_p{side}"), F.col("_low"), F.col("_high"))) for side in "lr"})
         (al, bl), (ar, br) = _line("_l", scale), _line("_r", scale)
         rows = rows.withColumns({"_al": al, "_bl": bl, "_ar": ar, "_br": br})
         yh = (F.col("_br") - F.col("_bl")) / (F.col("_al") - F.col("_ar"))

@@ -1,6 +1,7 @@
 """Poses that are known beforehand come out of their edges."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -62,3 +63,14 @@ def test_errors(spark):
     assert error["aside"] in ("yaw", "edge_missing") and error["wide"] in ("ratio", "edge_missing")
     assert all((r["road_width"] is None) == (r["error"] is not None) for r in got.values())
     assert pose.edge_pose(photos.limit(0), 4.0, 9.0, HEIGHT).count() == 0
+
+
+def test_edges_that_are_expressions_are_made_once(spark):
+    """No edge that the plan computes stands within the other's loop, where each row of a photo would make it anew."""
+    made = lambda slope: F.transform(F.sequence(F.lit(0), F.lit(1199)), lambda y: (800 + F.col("id") + slope * y / 4).cast("int"))
+    photos = spark.range(3).select("id", made(-1).alias("left"), made(1).alias("right"), F.lit(SEG_W).alias("seg_width"), F.lit(W).alias("image_width"), F.lit(H).alias("image_height"), F.lit(None).cast("int").alias("f35"))
+    found = pose.edge_pose(photos, 4.0, 9.0, HEIGHT).select("id", "theta", "psi", "ratio", "error")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\)\[lambda ", plan), "an array is looked up within a loop"
+    kept = spark.createDataFrame(photos.collect(), photos.schema)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pose.edge_pose(kept, 4.0, 9.0, HEIGHT).select(*found.columns).collect()))
