@@ -5,6 +5,7 @@ import hmac
 import json
 import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +249,19 @@ def test_evaluation_from_texts_to_rows(spark):
     assert {r["rejected"] for r in s.kpis.collect()} == {1}
     events = reminders(s.decisions, s.routes).collect()
     assert [r["route_id"] for r in events] == ["gut"] and "DTSTART;VALUE=DATE:20270228" in events[0]["event"]
+
+
+def test_one_pass_says_what_validation_says(spark):
+    """Verdicts and numbers of sections without the sections, in code short enough for the JVM to compile (8,000 bytes a method)."""
+    from roadlens.operators.validate import validated
+
+    docs = [document("gut"), document("mittel") | {"fahrbahnbreite_m": "5,8"}, document("schwer") | {"abschnitte": [1, None]}, fixture(1), "[]", document("gut") | {"schema": "x"}]
+    raw = spark.createDataFrame([(str(k), d if isinstance(d, str) else json.dumps(d)) for k, d in enumerate(docs)], "doc string, json string")
+    once = validated(raw, ORIGINS).select("doc", "n_sections", "error")
+    routes, sections, bad = validate_routes(raw, ORIGINS)
+    wanted = {r["doc"]: (r["count"], None) for r in sections.groupBy("doc").count().collect()} | {r["doc"]: (None, r["error"]) for r in bad.collect()}
+    assert {r["doc"]: (r["n_sections"] if r["error"] is None else None, r["error"]) for r in once.collect()} == wanted and len(wanted) == len(docs)
+    assert wanted["0"] == (8, None) and wanted["2"] == (None, "type:section")
+    debug = spark._jvm.org.apache.spark.sql.execution.debug
+    code = getattr(debug, "package$").__getattr__("MODULE$").codegenString(once._jdf.queryExecution().executedPlan())
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
