@@ -16,15 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as sections of their order; one shuffle by route, which later groupings reuse."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    by = Window.partitionBy("l_orderkey").orderBy(*order)
-    area, share = F.col("l_quantity").cast("decimal(10,2)"), F.col("l_discount").cast("decimal(4,2)") * 500
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("route_id"),
-        F.row_number().over(by).alias("nr"),
-        (F.row_number().over(by) - 1).alias("pos"),
-        F.sum(area).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("station_to_m"),
+    """Line items as sections of their order; one shuffle by route, which all branches of a query and later groupings reuse.
+
+    The key has its later name before the window: of a key renamed beside it Spark doesn't know that rows are already
+    dealt by it, and would shuffle them again for each grouping and join.  Everything but the window's own columns is
+    derived behind the window, and the order names every column that is read (the last two settle nothing but rows
+    alike in all others), so that no branch prunes or derives columns below its shuffle that another one keeps: the
+    shuffles are the same, and Spark makes one of them.
+    """
+    quantity = F.col("l_quantity").cast("decimal(10,2)").alias("quantity")
+    raw = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag"]
+    by = Window.partitionBy("route_id").orderBy(*raw, "quantity")
+    placed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route_id"), *raw, quantity)
+    placed = placed.withColumns({"nr": F.row_number().over(by), "sofar": F.sum("quantity").over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    area, share = F.col("quantity"), F.col("l_discount").cast("decimal(4,2)") * 500
+    rows = placed.select(
+        "route_id",
+        "nr",
+        (F.col("nr") - 1).alias("pos"),
+        F.col("sofar").cast("double").alias("station_to_m"),
         area.cast("double").alias("area_m2"),
         (area * share / 100).cast("double").alias("damage_m2"),
         share.cast("double").alias("share_pct"),
